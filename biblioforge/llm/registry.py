@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import packing, quality, warc
 
-_MODULES = (quality,)
+_MODULES = (warc, quality, packing)
 
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in getattr(m, "ORACLES", {}).items()}
