@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, quality, simhash, warc
+from . import bpe, packing, quality, simhash, warc
 
-_MODULES = (warc, quality, packing, simhash)
+_MODULES = (warc, quality, packing, simhash, bpe)
 
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in getattr(m, "ORACLES", {}).items()}
