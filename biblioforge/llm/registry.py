@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, simhash, toxicity, warc
+from . import bpe, packing, quality, simhash, suffix_dedup, topk, toxicity, warc
 
-_MODULES = (toxicity, warc, quality, packing, simhash, bpe)
+_MODULES = (toxicity, warc, quality, suffix_dedup, packing, simhash, topk, bpe)
 
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in getattr(m, "ORACLES", {}).items()}
