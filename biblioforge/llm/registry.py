@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, lm_score, packing, quality, simhash, suffix_dedup, topk, toxicity, warc
+from . import bpe, html_extract, lm_score, packing, quality, simhash, suffix_dedup, topk, toxicity, warc
 
-_MODULES = (toxicity, warc, lm_score, quality, suffix_dedup, packing, simhash, topk, bpe)
+_MODULES = (toxicity, warc, lm_score, quality, html_extract, suffix_dedup, packing, simhash, topk, bpe)
 
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in getattr(m, "ORACLES", {}).items()}

@@ -46,15 +46,19 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn(KEY, F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))))
 
 
-def runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(key, anchor, seg, first, last, back): a row per run of windows with one anchor."""
+def runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(key, anchor, seg, first, last, back): a row per run of windows with one anchor.
+    With a third column, its text keeps anchors of different scopes apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+            scopes = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+            for key, text, scope in zip(batch.column(0), batch.column(1), scopes, strict=True):
                 raw = (text.as_py() or "").encode()
                 anchor, first, last, back = anchored_runs(np.frombuffer(raw, np.uint8), length, gram)
+                if scope is not None:
+                    anchor = anchor ^ np.uint64(xxhash.xxh3_64_intdigest(scope))
                 if len(anchor):
                     view = memoryview(raw)
                     seg = np.array([xxhash.xxh3_64_intdigest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
@@ -73,7 +77,7 @@ def runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
         nums = [pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), pa.array(cols[4])]
         return pa.RecordBatch.from_arrays([keys, *nums], names=["key", "anchor", "seg", "first", "last", "back"])
 
-    return keyed(docs).select(KEY, "text").mapInArrow(run, "key binary, anchor long, seg long, first int, last int, back boolean")
+    return texts.mapInArrow(run, "key binary, anchor long, seg long, first int, last int, back boolean")
 
 
 def covered(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -84,8 +88,9 @@ def covered(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, cut + 1]].tolist(), (starts[np.r_[cut, len(starts) - 1]] + length).tolist(), strict=True))
 
 
-def repeats_in(segments: list[tuple[int, bytes]], length: int) -> list[list[tuple[int, int]]]:
-    """For each (count, bytes): the ranges covered by windows that occur twice, by suffix sorting all of them."""
+def repeats_in(segments: list[tuple[int, bytes]], length: int, owners: list[bytes] | None = None) -> list[list[tuple[int, int]]]:
+    """For each (count, bytes): the ranges covered by windows that occur twice, by suffix
+    sorting all of them. With owners, twice means in segments of two owners."""
     sizes = np.array([len(d) for _, d in segments])
     begin = np.cumsum(sizes + 1) - sizes - 1
     text = np.zeros(int(sizes.sum()) + len(segments), np.int32)
@@ -98,9 +103,20 @@ def repeats_in(segments: list[tuple[int, bytes]], length: int) -> list[list[tupl
     np.add.at(delta, begin, 1)
     np.add.at(delta, begin + np.maximum(0, sizes - length + 1), -1)
     whole[:] = np.cumsum(delta[:-1]) > 0
-    same = np.flatnonzero((lcp >= length) & whole[sa])
     hit = np.zeros(len(text), bool)
-    hit[sa[same]] = hit[sa[same - 1]] = True
+    if owners is None:
+        same = np.flatnonzero((lcp >= length) & whole[sa])
+        hit[sa[same]] = hit[sa[same - 1]] = True
+    else:
+        windows = np.flatnonzero(whole[sa])
+        new = lcp[windows] < length  # neighbours that share a window lie side by side
+        new[:1] = True
+        group = np.cumsum(new) - 1
+        number = {o: i for i, o in enumerate(dict.fromkeys(owners))}
+        owner = np.array([number[o] for o in owners])[np.searchsorted(begin, sa[windows], "right") - 1]
+        at = np.flatnonzero(new)
+        mixed = np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at) if len(at) else np.zeros(0, bool)
+        hit[sa[windows[mixed[group]]]] = True
     for at, n, (count, _) in zip(begin.tolist(), sizes.tolist(), segments, strict=True):
         if count > 1 and n >= length:
             hit[at : at + n - length + 1] = True
@@ -109,15 +125,15 @@ def repeats_in(segments: list[tuple[int, bytes]], length: int) -> list[list[tupl
     return [covered(found[a:b] - at, length) for a, b, at in zip(parts[:-1], parts[1:], begin, strict=True)]
 
 
-def sort_segments(segments: DataFrame, length: int) -> DataFrame:
-    """(anchor, seg, n, data) -> (anchor, seg, ranges), shard by shard."""
+def sort_segments(segments: DataFrame, length: int, across: bool = False) -> DataFrame:
+    """(anchor, seg, n, data, key) -> (anchor, seg, ranges), shard by shard."""
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # whole anchors, then the rows of the current one
         size, mark = 0, 0  # bytes held; where the current anchor's rows begin
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if held and row[:2] == held[-1][:2]:
                     continue  # a repeated row of the same text
                 if held and row[0] != held[-1][0]:
@@ -131,7 +147,7 @@ def sort_segments(segments: DataFrame, length: int) -> DataFrame:
             yield sort(held)
 
     def sort(rows: list[tuple]) -> pa.RecordBatch:
-        found = repeats_in([(r[2], r[3]) for r in rows], length)
+        found = repeats_in([(r[2], r[3]) for r in rows], length, [r[4] for r in rows] if across else None)
         keep = [(r[0], r[1], [{"a": a, "b": b} for a, b in f]) for r, f in zip(rows, found, strict=True) if f]
         cols = list(zip(*keep, strict=True)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], kind)], names=["anchor", "seg", "ranges"])
@@ -140,28 +156,34 @@ def sort_segments(segments: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "anchor long, seg long, ranges array<struct<a: int, b: int>>")
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(__text_key, __ranges): the repeated byte ranges of each text that has any."""
-    every = materialize(runs(docs, length, gram))
-    twice = every.groupBy("anchor").agg(F.count("*").alias("n"), F.max("back").alias("b")).where("n > 1 OR b").select("anchor")
+def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, across: bool = False) -> DataFrame:
+    """(__text_key, __ranges): the repeated byte ranges of each text that has any, for rows
+    (__text_key, text) and perhaps a scope inside which repeats count. With ``across`` a
+    string must be in texts of two keys; otherwise one text may repeat it by itself."""
+    every = materialize(runs(texts, length, gram))
+    if across:
+        every = every.withColumn("back", F.lit(False))
+    # a class counts its occurrences, or the keys it is in
+    times = F.count("*") if not across else F.when(F.min("key") != F.max("key"), 2).otherwise(1).cast("long")
+    twice = every.groupBy("anchor").agg(times.alias("n"), F.max("back").alias("b")).where("n > 1 OR b").select("anchor")
     live = materialize(every.join(twice, "anchor"))
-    classes = live.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.max("back").alias("back"), F.min(F.struct("key", "first", "last")).alias("rep"))
+    classes = live.groupBy("anchor", "seg").agg(times.alias("n"), F.max("back").alias("back"), F.min(F.struct("key", "first", "last")).alias("rep"))
     classes = materialize(classes)
     many = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.max("back").alias("b")).where("k > 1 OR b").select("anchor")
     unsorted = materialize(classes.join(many, "anchor"))
 
     # the bytes of one holder of each segment
     wanted = unsorted.groupBy(F.col("rep.key").alias(KEY)).agg(F.collect_list(F.struct("anchor", "seg", "n", "rep.first", "rep.last")).alias("want"))
-    one_each = keyed(docs.select("text")).groupBy(KEY).agg(F.first("text").alias("text"))
-    with_text = one_each.join(wanted, KEY).select("text", "want")
+    one_each = texts.groupBy(KEY).agg(F.first("text").alias("text"))
+    with_text = one_each.join(wanted, KEY).select("text", "want", KEY)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
-            for text, want in zip(batch.column(0), batch.column(1), strict=True):
-                raw = (text.as_py() or "").encode()
+            for text, want, key in zip(*batch.columns, strict=True):
+                raw, owner = (text.as_py() or "").encode(), key.as_py()
                 for w in want.as_py():
-                    rows.append((w["anchor"], w["seg"], w["n"], raw[w["first"] : w["last"] + length]))
+                    rows.append((w["anchor"], w["seg"], w["n"], raw[w["first"] : w["last"] + length], owner))
                     size += len(rows[-1][3])
                 if size > 8 << 20:
                     yield segment_batch(rows)
@@ -170,11 +192,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 yield segment_batch(rows)
 
     def segment_batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["anchor", "seg", "n", "data"])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["anchor", "seg", "n", "data", "owner"])
 
-    segments = with_text.mapInArrow(cut, "anchor long, seg long, n long, data binary")
-    found = sort_segments(segments, length)
+    segments = with_text.mapInArrow(cut, "anchor long, seg long, n long, data binary, owner binary")
+    found = sort_segments(segments, length, across)
     alone = classes.join(many, "anchor", "left_anti").where("n > 1").select(
         "anchor", "seg", F.array(F.struct(F.lit(0).alias("a"), (F.col("rep.last") - F.col("rep.first") + length).cast("int").alias("b"))).alias("ranges")
     )
@@ -198,7 +220,7 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Every row with its text cut (whole characters only) and what the cut was, in a struct
     ``cut``: n_bytes, n_removed, n_spans, kept_sha256 (of the exact remaining bytes)."""
-    given = keyed(docs).join(repeated_ranges(docs, length, gram), KEY, "left").select(
+    given = keyed(docs).join(repeated_ranges(keyed(docs).select(KEY, "text"), length, gram), KEY, "left").select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__rest"), "text", RANGES
     )
     rest = given.schema["__rest"].dataType.simpleString()
