@@ -35,6 +35,8 @@ from .components import connected_components
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Longest piece of a posting list that one task compares with one other.
 BLOCK = 4096
+#: Lists up to this length are compared many at a time.
+SHORT = 64
 BYTES = 8
 
 
@@ -62,13 +64,18 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, fp long")
 
 
-def index_keys(n: int) -> list[tuple[int, ...]]:
-    """Position combinations of the index. Any five of eight positions contain one of them:
-    pairs of neighbours (four keys), or all triples of either half (eight keys), the longer
-    key once lists of two bytes would outgrow a block."""
-    if n <= 65536 * 64:
-        return [(0, 1), (2, 3), (4, 5), (6, 7)]
-    return [c for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for c in combinations(half, 3)]
+def index_keys(n: int, max_bits: int = MAX_BITS) -> list[tuple[int, ...]]:
+    """Position combinations of the index, chosen so that any ``BYTES - max_bits`` agreeing
+    positions contain one: pairs inside one fewer groups than positions must agree, so two of
+    them share a group. Where five must agree and lists of two bytes would grow long, all
+    triples of either half serve instead (three of five lie in one half)."""
+    agree = BYTES - max_bits
+    if agree >= 5 and n > 65536 * 64:
+        return [c for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for c in combinations(half, 3)]
+    if agree < 2:
+        raise ValueError("at least two byte positions must agree")
+    groups = np.array_split(np.arange(BYTES), agree - 1)
+    return [c for g in groups for c in combinations(g.tolist(), 2)]
 
 
 def _linked(a: np.ndarray, b: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +115,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 
 def link_edges(distinct_fps: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints, enough to connect all that link."""
-    keys = index_keys(n)
+    keys = index_keys(n, max_bits)
     # the key holds which positions it is made of, so lists of different positions never mix
     masks = [sum(0xFF << 8 * p for p in c) for c in keys]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
@@ -123,41 +130,65 @@ def link_edges(distinct_fps: DataFrame, n: int, max_bits: int = MAX_BITS) -> Dat
         "fp", "k", "v", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
     )
 
-    def link(rows: pd.DataFrame) -> list[tuple[int, int]]:
-        first = int(rows["lo"].iloc[0])
-        one = rows["fp"][rows["own"] == first].to_numpy().view(np.uint64)
-        if first == int(rows["hi"].iloc[0]):
-            i, j = _linked(one, one, max_bits)
-            i, j = i[i < j], j[i < j]
-            all_ = one
+    def long_list(fp: np.ndarray, first: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
+        """Edges of one meeting of two blocks, or of a block with itself."""
+        one = fp[first == lo]
+        two = one if lo == hi else fp[first != lo]
+        i, j = _linked(one, two, max_bits)
+        if lo == hi:
+            i, j, all_ = i[i < j], j[i < j], one
         else:
-            two = rows["fp"][rows["own"] != first].to_numpy().view(np.uint64)
-            i, j = _linked(one, two, max_bits)
             j, all_ = j + len(one), np.concatenate([one, two])
         ids = all_.view(np.int64)
         return [(int(ids[x]), int(ids[y])) for x, y in forest(len(ids), i, j)]
 
+    def short_lists(fp: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+        """Edges of many lists at once: pairs at distance 1, 2, ... inside their lists."""
+        left = np.repeat(start + size, size) - np.arange(len(fp)) - 1  # rows of the list after each
+        ii, jj = [], []
+        for d in range(1, int(size.max())):
+            i = np.flatnonzero(left >= d)
+            diff = fp[i] ^ fp[i + d]
+            tally = (diff.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
+            i = i[(tally >= BYTES - max_bits) & (np.bitwise_count(diff) <= max_bits)]
+            ii.append(i)
+            jj.append(i + d)
+        i, j = np.concatenate(ii), np.concatenate(jj)
+        used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+        ids = fp.view(np.int64)
+        return [(int(ids[used[x]]), int(ids[used[y]])) for x, y in forest(len(used), back[: len(i)], back[len(i) :])]
+
     spread = met.repartition("k", "v", "lo", "hi").sortWithinPartitions("k", "v", "lo", "hi")
 
+    def edges_of(fp: np.ndarray, at: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+        """Rows of whole lists that begin at ``at``."""
+        size = np.diff(np.r_[at, len(fp)])
+        many = size > SHORT
+        out = [e for a, n in zip(at[many], size[many], strict=True) for e in long_list(fp[a : a + n], own[a : a + n], int(lo[a]), int(hi[a]))]
+        few = ~many & (size > 1)
+        if few.any():
+            rows = np.repeat(few, size)
+            n = size[few]
+            out += short_lists(fp[rows], np.cumsum(n) - n, n)
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lists arrive sorted; each is at most two blocks long, most are a few rows."""
-        held: pd.DataFrame | None = None
+        names = ("fp", "k", "v", "own", "lo", "hi")
+        held = None
         for batch in batches:
-            rows = batch.to_pandas()
-            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            change = np.flatnonzero(np.any([np.diff(rows[c].to_numpy()) != 0 for c in ("k", "v", "lo", "hi")], axis=0)) + 1
+            rows = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            _, k, v, _, lo, hi = rows
+            change = np.flatnonzero((k[1:] != k[:-1]) | (v[1:] != v[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             cut = int(change[-1]) if len(change) else 0
-            held = rows.iloc[cut:].reset_index(drop=True)
+            held = [x[cut:] for x in rows]
             if cut:
-                yield edge_batch([e for a, b in zip([0, *change[:-1]], change, strict=True) if b - a > 1 for e in small(rows, a, b)])
-        if held is not None and len(held) > 1:
-            yield edge_batch(link(held))
-
-    def small(rows: pd.DataFrame, a: int, b: int) -> list[tuple[int, int]]:
-        if b - a > 2:
-            return link(rows.iloc[a:b])
-        x, y = rows["fp"].to_numpy()[a:b].tolist()
-        return [(x, y)] if ((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() <= max_bits else []
+                fp, _, _, own, lo, hi = (x[:cut] for x in rows)
+                yield edge_batch(edges_of(fp.view(np.uint64), np.r_[0, change[:-1]], own, lo, hi))
+        if held is not None and len(held[0]) > 1:
+            yield edge_batch(edges_of(held[0].view(np.uint64), np.zeros(1, np.int64), held[3], held[4], held[5]))
 
     def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
         pairs = np.array(edges, np.int64).reshape(-1, 2)
@@ -166,15 +197,36 @@ def link_edges(distinct_fps: DataFrame, n: int, max_bits: int = MAX_BITS) -> Dat
     return spread.mapInArrow(run, "a long, b long")
 
 
+def components_of(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, root): every distinct fingerprint of a materialized table with that of its component."""
+    classes = materialize(fps.select("fp").distinct())
+    labels = connected_components(link_edges(classes, classes.count(), max_bits))
+    return classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id of the component)."""
     fps = materialize(fingerprints(docs, shingle))
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = connected_components(link_edges(classes.select("fp"), classes.count(), max_bits))
-    named = classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    heads = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(heads, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    roots = materialize(components_of(fps, max_bits))
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    heads = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
+    return fps.join(roots.join(heads, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` (any columns, a doc_id and a text) but for all of each component
+    save the one with the smallest doc_id; of rows alike in that, one."""
+
+    @F.pandas_udf("long")
+    def fp_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+
+    rows = materialize(docs.select(F.struct("*").alias("doc")).select("doc", fp_of("doc.text").alias("fp"), F.monotonically_increasing_id().alias("row")))
+    roots = components_of(rows, max_bits)
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
+    best = rows.select(F.col("doc.doc_id").alias("id"), "fp", "row").groupBy("fp").agg(F.min(order).alias("best"))
+    kept = best.join(roots, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

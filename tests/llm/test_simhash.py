@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from biblioforge.llm import simhash
@@ -54,8 +55,10 @@ def test_matches_brute_force(spark):
     assert run(spark, rows()) == brute(rows())
 
 
-def test_blocks_of_long_lists(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 3)
+@pytest.mark.parametrize("block,short", [(3, 2), (64, 2), (4096, 64)])
+def test_blocks_of_long_lists(spark, monkeypatch, block, short):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SHORT", short)
     fps = [(1 << 40) + (i if i < 64 else i << 20) for i in range(128)]
     df = spark.createDataFrame([(x,) for x in fps], "fp long").distinct()
     from biblioforge.llm.components import connected_components
@@ -75,11 +78,31 @@ def test_blocks_of_long_lists(spark, monkeypatch):
 
 
 def test_keys_cover_every_pair():
-    for n in (1, 1 << 40):
-        keys = simhash.index_keys(n)
-        from itertools import combinations
+    from itertools import combinations
 
-        assert all(any(set(k) <= set(five) for k in keys) for five in combinations(range(8), 5))
+    for n, bits in ((1, 3), (1 << 40, 3), (1, 4), (1 << 40, 5), (1, 6)):
+        keys = simhash.index_keys(n, bits)
+        assert all(any(set(k) <= set(agree) for k in keys) for agree in combinations(range(8), 8 - bits))
+
+
+def test_keep_one_and_more_bits(spark):
+    data = rows()
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(data)], "doc_id long, text string, row long")
+    kept = {r.row for r in simhash.keep_one(df, max_bits=6).collect()}
+    fps = [brute_fp(t) for _, t in data]
+    comp = list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 6 and comp[i] != comp[j]:
+                a, b = comp[i], comp[j]
+                comp = [b if c == a else c for c in comp]
+    groups = {}
+    for i, c in enumerate(comp):
+        groups.setdefault(c, []).append(i)
+    assert len(kept) == len(groups)
+    for members in groups.values():
+        [one] = kept & set(members)
+        assert data[one][0] == min((data[m][0] for m in members if data[m][0] is not None), default=None)
 
 
 def test_empty_table(spark):
