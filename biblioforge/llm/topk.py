@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import map_batches, materialize, table
 
 K, SCALE = 20, 64
-QUERY_BLOCK, CANDIDATE_BLOCK, LEAF = 2048, 8192, 48
+QUERY_BLOCK, CANDIDATE_BLOCK, LEAF = 2048, 8192, 128
+#: Centers of a net, and the points that stay one leaf where so few centers cannot halve the radius.
+NET, SPREAD_LEAF = 16, 1024
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
@@ -74,14 +76,15 @@ class CoverTree:
             return me
         # a net of half the radius: the center, then always the point farthest from all before
         near, owner, centers = dist.copy(), np.zeros(len(members), np.int64), [center]
-        while near.max() > radius / 2 and len(centers) < 64:
+        while near.max() > radius / 2 and len(centers) < NET:
             c = int(members[int(near.argmax())])
             d = self._distance(c, members)
             closer = d < near
             near[closer], owner[closer] = d[closer], len(centers)
             centers.append(c)
         parts = [(c, members[owner == k], near[owner == k]) for k, c in enumerate(centers)]
-        if len(parts) == 1 or max(len(m) for _, m, _ in parts) == len(members):
+        spread = near.max() > radius / 2 and len(members) <= SPREAD_LEAF  # as in many dimensions
+        if spread or max(len(m) for _, m, _ in parts) == len(members):
             self.members[me] = members
             return me
         self.children[me] = [self._build(c, m, d, leaf) for c, m, d in parts]
