@@ -44,11 +44,12 @@ BASE = Policy("base", 1, ("few_words", "repeated_windows"))
 CORPUS = Policy("corpus", 1, ("few_words", "repeated_windows", "symbols", "shouting", "stutter", "repeated_lines"))
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8) -> DataFrame:
-    """One row of counts per document, in three projections over its word array."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = docs.select(F.col(id_col).alias("doc_id"), text.alias("_t")).select(
-        "doc_id", "_t", F.filter(F.split("_t", WS), lambda w: w != "").alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l")
+def measure(docs: DataFrame, head: Column | str = "doc_id", text_col: str = "text", window: int = 8) -> DataFrame:
+    """One row of counts per document, in three projections over its word array. ``head`` is
+    the one column that goes along, the id or a struct of more."""
+    head = (F.col(head) if isinstance(head, str) else head).alias("_head")
+    words = docs.select(head, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).select(
+        "_head", "_t", F.filter(F.split("_t", WS), lambda w: w != "").alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l")
     )
     hashed = words.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     windows = hashed.withColumn(
@@ -58,7 +59,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         ),
     )
     return windows.select(
-        "doc_id",
+        "_head",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "_w")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -90,8 +91,12 @@ def _covered(grams: Column, window: int) -> Column:
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measurements and ``rule_bits`` per document."""
-    m = measure(docs, id_col, text_col)
+    """doc_id, measurements and ``rule_bits`` per document."""
+    return rule_bits(measure(docs, id_col, text_col)).withColumnRenamed("_head", "doc_id")
+
+
+def rule_bits(m: DataFrame) -> DataFrame:
+    """Every rule once, as a bit of one column."""
     fails = {
         "few_words": F.col("n_words") < 20,
         "repeated_windows": 100 * F.col("n_repeat_words") > 30 * F.col("n_words"),
@@ -130,6 +135,11 @@ def ablation(rows: DataFrame, policy: Policy = CORPUS) -> DataFrame:
     )
 
 
+def keep_good(docs: DataFrame, policy: Policy = CORPUS) -> DataFrame:
+    """The rows of ``docs`` (any columns, a text) that a policy keeps."""
+    return apply_policy(rule_bits(measure(docs, F.struct("*"))), policy).where("kept").select("_head.*")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_policy(ledger(table(spark, sf_dir, "documents")))
 

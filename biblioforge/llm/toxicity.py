@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -250,6 +251,17 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     return map_batches(docs.select(id_col, text_col), run, "doc_id long, score double, passages array<struct<first: long, last: long, score: double, log_e: double>>")
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (any columns, a text) that score below a threshold."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        s = Scorer(model)
+        return pd.Series([s.score(s.evidence(s.passages(t)[1])) for t in texts], dtype="float64")
+
+    return docs.where(score("text") < threshold)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
