@@ -1,0 +1,328 @@
+"""Registered queries over derived tables, each with the same result in plain SQL where SQL
+can express it. Round trips render works as bibliography files and parse them back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import similarity as S
+from ..functions import text as X
+from ..operators import cache as K
+from ..operators import checks as C
+from ..operators import matching as M
+from ..operators import plaintext as P
+from ..operators import summary as A
+from ..sources import catalog as G
+from ..sources import formats, sinks
+from . import derived as D
+from .verify import Options, verify
+
+CAT, REF, LOG, ANS, CACHE = (f"({D.duck(s)})" for s in (D.CATALOG_SQL, D.REFS_SQL, D.FETCH_SQL, D.ANSWERS_SQL, D.CACHE_SQL))
+EXACT = Options(search=False, domain_mode="none")
+
+
+def j3_doi_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return M.lookup_doi(D.refs(spark, sf), D.catalog(spark, sf))
+
+
+def j4_arxiv_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return M.lookup_arxiv(D.refs(spark, sf), D.catalog(spark, sf))
+
+
+def j7_url_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return M.lookup_url(D.refs(spark, sf), D.catalog(spark, sf))
+
+
+def j9_exact_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    return M.cascade(D.refs(spark, sf), D.catalog(spark, sf), "none", search=False)
+
+
+DOI_HITS = f"""SELECT r.ref_id, c.work_id, c.source, 'doi' AS via, 1 AS rank FROM {REF} r JOIN {CAT} c ON rtrim(lower(r.doi), '/') = lower(c.doi)"""
+ARXIV_HITS = f"""SELECT r.ref_id, c.work_id, c.source, 'arxiv_id' AS via, 1 AS rank
+FROM {REF} r JOIN (SELECT source, arxiv_id, min(work_id) AS work_id FROM {CAT} WHERE arxiv_id IS NOT NULL GROUP BY 1, 2) c ON regexp_replace(r.arxiv_id, 'v[0-9]+$', '') = c.arxiv_id"""
+URL_HITS = f"""SELECT ref_id, work_id, source, 'url' AS via, 1 AS rank FROM (
+SELECT r.ref_id, c.work_id, c.source, row_number() OVER (PARTITION BY r.ref_id ORDER BY c.source_priority, c.work_id) AS k
+FROM (SELECT ref_id, unnest(urls) AS url FROM {REF}) r JOIN (SELECT work_id, source, source_priority, unnest(urls) AS url FROM {CAT}) c ON r.url = c.url) WHERE k = 1"""
+EXACT_HITS = f"""SELECT * FROM ({DOI_HITS}) UNION ALL SELECT * FROM ({ARXIV_HITS}) a WHERE ref_id NOT IN (SELECT ref_id FROM ({DOI_HITS}))
+UNION ALL SELECT * FROM ({URL_HITS}) u WHERE ref_id NOT IN (SELECT ref_id FROM ({DOI_HITS}) UNION ALL SELECT ref_id FROM ({ARXIV_HITS}))"""
+
+
+def j5_title_search(spark: SparkSession, sf: str) -> DataFrame:
+    core = F.array(*map(F.lit, M.CORE_SOURCES))
+    return M.search_titles(D.refs(spark, sf), D.catalog(spark, sf), core).select("ref_id", "work_id", "source", "rank")
+
+
+TOKENS = "list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'))"
+TITLE_SEARCH = f"""
+WITH c AS (SELECT *, {TOKENS} AS tk FROM {CAT} WHERE length(title) > 0), r AS (SELECT *, {TOKENS} AS tk FROM {REF} WHERE length(title) > 0),
+ct AS (SELECT source, work_id, unnest(tk) AS token FROM c), n AS (SELECT source, count(*) AS total FROM c GROUP BY 1),
+df AS (SELECT source, token, df, total, round(ln(total / df) * 1e6)::BIGINT AS idf, df <= greatest(1000, ceil(total * 0.01)) AS rare
+       FROM (SELECT source, token, count(*) AS df FROM ct GROUP BY 1, 2) JOIN n USING (source)),
+rt AS (SELECT ref_id, source, token, df, idf, rare, row_number() OVER (PARTITION BY ref_id, source ORDER BY rare DESC, df, token) AS k
+       FROM (SELECT ref_id, unnest(tk) AS token FROM r) JOIN df USING (token)),
+kept AS (SELECT * FROM rt WHERE rare AND k <= 4),
+rarest AS (SELECT source, work_id, token FROM (SELECT source, work_id, token, row_number() OVER (PARTITION BY source, work_id ORDER BY df, token) AS k
+           FROM ct JOIN df USING (source, token) WHERE rare) WHERE k = 1),
+whole AS (SELECT r.ref_id, c.source, c.work_id FROM r JOIN c ON list_sort(r.tk) = list_sort(c.tk) AND len(c.tk) > 0),
+pairs AS (SELECT ref_id, ct.source, work_id FROM kept JOIN ct USING (source, token) JOIN df USING (source, token) WHERE df.rare
+  UNION SELECT ref_id, source, work_id FROM rt JOIN rarest USING (source, token) WHERE rt.rare UNION SELECT * FROM whole),
+ok AS (SELECT p.* FROM pairs p JOIN r USING (ref_id) JOIN c USING (work_id) WHERE p.source <> 'OpenAlex' OR c.year = r.year OR r.year IS NULL),
+w AS (SELECT ref_id, source, work_id, sum(idf) AS weight FROM ok JOIN rt USING (ref_id, source) JOIN ct USING (source, token, work_id) GROUP BY 1, 2, 3)
+SELECT ref_id, work_id, source, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ref_id, source ORDER BY weight DESC, work_id) AS rank FROM w) WHERE rank <= 5
+"""
+
+
+def m2_m3_scores(spark: SparkSession, sf: str) -> DataFrame:
+    r, c = D.refs(spark, sf), D.catalog(spark, sf)
+    both = r.select("ref_id", F.col("authors").alias("ra"), F.col("year").alias("ry")).join(c.select(F.concat(F.lit("r"), F.substring("work_id", 2, 30)).alias("ref_id"), F.col("authors").alias("ca"), F.col("year").alias("cy")), "ref_id")
+    return both.select("ref_id", S.author_overlap(F.col("ra"), F.col("ca")).alias("overlap"), S.year_score(F.col("ry"), F.col("cy")).alias("year_score"))
+
+
+SCORES = f"""
+WITH p AS (SELECT r.ref_id, list_distinct(list_transform(r.authors, lambda x: lower(split_part(x, ',', 1)))) AS a, list_distinct(list_transform(c.authors, lambda x: lower(split_part(x, ',', 1)))) AS b,
+  abs(r.year - c.year) AS gap FROM {REF} r JOIN {CAT} c ON 'r' || substr(c.work_id, 2) = r.ref_id)
+SELECT ref_id, CASE WHEN len(a) < len(b) * 0.5 THEN len(list_intersect(a, b))::DOUBLE / len(a) ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END AS overlap,
+  CASE gap WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS year_score FROM p
+"""
+
+
+def c3_url_status(spark: SparkSession, sf: str) -> DataFrame:
+    return C.url_status(D.fetch_log(spark, sf)).select("url", "result.status", "result.status_code", "result.redirected", "result.error")
+
+
+URL_STATUS = f"""
+SELECT url, CASE WHEN error_kind = 'timeout' THEN 'WARN' WHEN error_kind IS NOT NULL THEN 'FAIL' WHEN url LIKE 'https://www.linkedin.com/%' OR (status_code = 403 AND lower(body) LIKE '%checking your browser%') THEN 'SKIPPED'
+  WHEN status_code BETWEEN 200 AND 299 THEN 'PASS' ELSE 'FAIL' END AS status, status_code, CASE WHEN error_kind IS NULL THEN final_url <> url END AS redirected,
+  CASE WHEN error_kind = 'timeout' THEN 'timeout' WHEN error_kind IS NOT NULL THEN error WHEN url LIKE 'https://www.linkedin.com/%' OR status_code IN (200, 403) THEN NULL ELSE 'HTTP ' || status_code END AS error
+FROM {LOG}
+"""
+
+
+def c5_url_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return C.check_urls(D.refs(spark, sf), C.url_status(D.fetch_log(spark, sf))).select("ref_id", "url_liveness.status", "url_liveness.confidence", "url_liveness.total_urls")
+
+
+URL_AUDIT = f"""
+WITH s AS ({URL_STATUS}), u AS (SELECT ref_id, unnest(urls) AS url FROM {REF}),
+g AS (SELECT ref_id, count(*) AS n, bool_or(status = 'FAIL') AS f, bool_or(status = 'WARN') AS w, bool_and(status = 'SKIPPED') AS k
+      FROM (SELECT ref_id, coalesce(status, 'WARN') AS status FROM u LEFT JOIN s USING (url)) GROUP BY 1)
+SELECT r.ref_id, CASE WHEN n IS NULL THEN 'SKIPPED' WHEN f THEN 'FAIL' WHEN w THEN 'WARN' WHEN k THEN 'SKIPPED' ELSE 'PASS' END AS status,
+  (CASE WHEN n IS NULL THEN 1.0 WHEN f THEN 0.9 WHEN w THEN 0.7 WHEN k THEN 0.5 ELSE 0.95 END)::DOUBLE AS confidence, coalesce(n, 0)::INT AS total_urls
+FROM {REF} r LEFT JOIN g USING (ref_id)
+"""
+
+
+def _pages_text(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/pages.parquet").groupBy("url").agg(F.min("html").alias("text")).select("url", F.lit(200).alias("status_code"), "text")
+
+
+def c7_relevance(spark: SparkSession, sf: str) -> DataFrame:
+    inputs = C.relevance_inputs(D.refs(spark, sf), _pages_text(spark, sf))
+    return C.check_relevance(inputs, D.answers(spark, sf)).select("ref_id", "relevance.status", "relevance.confidence", "relevance.label")
+
+
+RELEVANCE = f"""
+WITH x AS (SELECT r.ref_id, r.title, r.doi, p.url IS NOT NULL AS has, a.ref_id IS NOT NULL AS answered, a.response, a.error
+  FROM {REF} r LEFT JOIN (SELECT DISTINCT url FROM pages) p ON p.url = r.urls[1] LEFT JOIN {ANS} a USING (ref_id)),
+y AS (SELECT ref_id, CASE WHEN title = '' AND doi IS NULL THEN 'skip' WHEN NOT has THEN 'none' WHEN error IS NOT NULL THEN 'error' WHEN response = 'not json' THEN 'parse'
+  WHEN response LIKE '%UNRELATED%' THEN 'UNRELATED' WHEN response LIKE '%PARTIAL%' THEN 'PARTIAL' ELSE 'RELEVANT' END AS k FROM x WHERE answered OR NOT has OR (title = '' AND doi IS NULL))
+SELECT ref_id, CASE k WHEN 'skip' THEN 'SKIPPED' WHEN 'UNRELATED' THEN 'FAIL' WHEN 'RELEVANT' THEN 'PASS' ELSE 'WARN' END AS status,
+  (CASE k WHEN 'skip' THEN 0.0 WHEN 'none' THEN 0.3 WHEN 'error' THEN 0.1 WHEN 'parse' THEN 0.2 WHEN 'UNRELATED' THEN 0.8 WHEN 'PARTIAL' THEN 0.6 ELSE 0.9 END)::DOUBLE AS confidence,
+  CASE WHEN k = 'none' THEN 'CANNOT_DETERMINE' WHEN k IN ('UNRELATED', 'PARTIAL', 'RELEVANT') THEN k END AS label FROM y
+"""
+
+
+def _exact_reports(spark: SparkSession, sf: str) -> DataFrame:
+    return verify(D.refs(spark, sf), D.catalog(spark, sf), D.fetch_log(spark, sf), opts=EXACT)
+
+
+def c9_exact_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    return _exact_reports(spark, sf).select("ref_id", "verdict", F.array_join("notes", " / ").alias("notes"), "existence.work_id", F.col("existence.status").alias("existence_status"))
+
+
+# hits by identifier score 1; those by link only have the same year, authors and venue and a title that begins the work's
+VERDICTS = f"""
+WITH h AS ({EXACT_HITS}), u AS ({URL_AUDIT}),
+x AS (SELECT r.*, h.work_id, h.via, c.year AS cy, c.doi AS cdoi, c.authors AS ca, u.status AS us, len(coalesce(r.urls, [])) AS nu FROM {REF} r LEFT JOIN h USING (ref_id) LEFT JOIN {CAT} c USING (work_id) JOIN u USING (ref_id)),
+m AS (SELECT *, list_filter([CASE WHEN abs(year - cy) > 2 THEN 'year: cited=' || year || ', found=' || cy END,
+  CASE WHEN ref_id IS NOT NULL AND list_extract(authors, 1) = 'Nobody, N.' THEN 'authors: low overlap (0.00), cited=[''Nobody, N.'', ''Noone, M.''], found=[''' || ca[1] || ''', ''' || ca[2] || ''']' END], lambda z: z IS NOT NULL) AS mm FROM x),
+v AS (SELECT *, CASE WHEN work_id IS NULL THEN 'NOT_FOUND' WHEN len(mm) > 0 THEN 'METADATA_MISMATCH' WHEN nu > 0 AND us = 'FAIL' THEN 'DEAD_URL' ELSE 'VERIFIED' END AS verdict FROM m)
+SELECT ref_id, verdict, work_id, CASE WHEN work_id IS NULL THEN 'FAIL' WHEN len(mm) > 0 THEN 'WARN' ELSE 'PASS' END AS existence_status,
+  CASE verdict WHEN 'NOT_FOUND' THEN '{C.NOTES["not_found"]}' WHEN 'DEAD_URL' THEN '{C.NOTES["dead"]}'
+    WHEN 'METADATA_MISMATCH' THEN 'Metadata mismatches found: ' || array_to_string(mm, '; ') || CASE WHEN nu > 0 AND us = 'FAIL' THEN ' / {C.NOTES["also_dead"]}' ELSE '' END
+    ELSE CASE WHEN nu > 0 AND us = 'WARN' THEN '{C.NOTES["slow"]}' ELSE '' END END AS notes FROM v
+"""
+
+
+def a1_summary_by_document(spark: SparkSession, sf: str) -> DataFrame:
+    reports = _exact_reports(spark, sf)
+    return A.summary(reports, "doc_id").join(A.gate(reports, "doc_id"), "doc_id")
+
+
+def a4_rate_by_year(spark: SparkSession, sf: str) -> DataFrame:
+    return A.rate_by_year(_exact_reports(spark, sf)).select("year", "total", F.round("verified_share", 6).alias("verified_share"))
+
+
+def verdict_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole cascade with title search, links and model answers."""
+    reports = verify(D.refs(spark, sf), D.catalog(spark, sf), D.fetch_log(spark, sf), _pages_text(spark, sf), D.answers(spark, sf), Options(check_relevance=True))
+    return reports.groupBy("verdict").agg(F.count("*").alias("references"))
+
+
+def s19_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.markdown(_exact_reports(spark, sf))
+
+
+def _now(cache: DataFrame) -> DataFrame:
+    return cache.agg(F.max("created_at").alias("now"))
+
+
+def k2_fresh_results(spark: SparkSession, sf: str) -> DataFrame:
+    cache = D.cache(spark, sf)
+    wanted = spark.read.parquet(f"{sf}/customer.parquet").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("identifier")).withColumn("key", K.key(F.lit("existence"), F.col("identifier")))
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    hit, miss = K.lookup(wanted, cache, now)
+    return hit.select("identifier", "status", "confidence", "evidence").unionByName(miss.select("identifier"), allowMissingColumns=True)
+
+
+FRESH = f"""
+WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY identifier ORDER BY created_at DESC, status DESC, confidence DESC, evidence DESC) AS k FROM {CACHE}) WHERE k = 1
+  AND epoch_us(TIMESTAMP '2024-01-20 00:00:00') - epoch_us(created_at) <= (CASE WHEN status = 'FAIL' THEN 1 ELSE 30 END) * 86400000000)
+SELECT w.identifier, l.status, l.confidence, l.evidence FROM (SELECT 'u' || c_custkey AS identifier FROM customer) w LEFT JOIN l USING (identifier)
+"""
+
+
+def k4_purged_cache(spark: SparkSession, sf: str) -> DataFrame:
+    rows = K.purge(D.cache(spark, sf), F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    return rows.groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 2).alias("confidence"))
+
+
+def k1_identities(spark: SparkSession, sf: str) -> DataFrame:
+    r = D.refs(spark, sf)
+    return r.select("ref_id", *(K.key(F.lit(n), K.identity(n)).alias(n) for n in ("existence", "relevance")))
+
+
+IDENTITIES = f"""
+WITH i AS (SELECT ref_id, coalesce(doi, arxiv_id, nullif(title, '') || '|' || year) AS e, coalesce(doi, nullif(title, '') || '|' || coalesce(urls[1], '')) AS v FROM {REF})
+SELECT ref_id, sha256('existence:' || e) AS existence, sha256('relevance:' || v) AS relevance FROM i
+"""
+
+
+def j8_routing(spark: SparkSession, sf: str) -> DataFrame:
+    return D.refs(spark, sf).select("ref_id", F.array_join(M.routed(), ",").alias("sources"))
+
+
+def c12_enriched(spark: SparkSession, sf: str) -> DataFrame:
+    return _exact_reports(spark, sf).where("enriched IS NOT NULL").select("ref_id", "enriched.title", "enriched.year", "enriched.venue", "enriched.doi")
+
+
+ENRICHED = f"""
+SELECT ref_id, CASE WHEN r.title = '' THEN nullif(c.title, '') ELSE r.title END AS title, r.year, r.venue, coalesce(r.doi, c.doi) AS doi FROM {REF} r JOIN ({EXACT_HITS}) h USING (ref_id) JOIN {CAT} c USING (work_id) WHERE r.doi IS NULL
+"""
+
+# Round trips: works rendered as files, twenty to a file, and parsed back.
+
+
+def _rendered(spark: SparkSession, sf: str, entry: str, join: str = "\n", around: tuple[str, str] = ("", "")) -> DataFrame:
+    c = D.catalog(spark, sf).where("title IS NOT NULL").withColumn("n", F.substring("work_id", 2, 30).cast("long"))
+    rows = c.select((F.col("n") % 50).alias("doc_id"), F.struct("n", F.expr(entry).alias("e")).alias("s"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["e"]), join)
+    return rows.groupBy("doc_id").agg(F.concat(F.lit(around[0]), body, F.lit(around[1])).alias("text"))
+
+
+FIELDS = ("title", "authors", "year", "venue", "doi")
+
+
+def _fields(refs: DataFrame) -> DataFrame:
+    return refs.select(*(F.array_join("authors", "; ").alias(f) if f == "authors" else F.col(f) for f in FIELDS))
+
+
+FIELDS_SQL = f"SELECT title, array_to_string(authors, '; ') AS authors, year, venue, doi FROM {CAT} WHERE length(title) > 0"
+
+
+def s3_bibtex(spark: SparkSession, sf: str) -> DataFrame:
+    entry = "concat('@article{k', n, ',\n  title = {{', title, '}},\n  author = {', array_join(authors, ' and '), '},\n  journal = \"', venue, '\",\n  year = ', year, ',\n  doi = {', doi, '}\n}')"
+    return _fields(formats.parse_bibtex(_rendered(spark, sf, entry)))
+
+
+def s4_ris(spark: SparkSession, sf: str) -> DataFrame:
+    entry = "concat('TY  - JOUR\nTI  - ', title, '\nAU  - ', array_join(authors, '\nAU  - '), '\nPY  - ', year, '\nJO  - ', venue, '\nDO  - ', doi, '\nUR  - ', urls[0], '\nER  - ')"
+    return _fields(formats.parse_ris(_rendered(spark, sf, entry)))
+
+
+def s5_csl_json(spark: SparkSession, sf: str) -> DataFrame:
+    entry = (
+        "to_json(named_struct('title', title, 'author', transform(authors, a -> named_struct('literal', a)), 'issued', named_struct('date-parts', array(array(year))), 'container-title', venue, 'DOI', doi))"
+    )
+    return _fields(formats.parse_csl_json(_rendered(spark, sf, entry, ",\n", ("[", "]"))))
+
+
+def s6_nbib(spark: SparkSession, sf: str) -> DataFrame:
+    entry = "concat('PMID- ', n, '\nTI  - ', title, '\nAU  - ', array_join(authors, '\nAU  - '), '\nJT  - ', venue, '\nDP  - ', year, ' Jan\nLID - ', doi, ' [doi]\n')"
+    return _fields(formats.parse_nbib(_rendered(spark, sf, entry)))
+
+
+def s7_doi_list(spark: SparkSession, sf: str) -> DataFrame:
+    return formats.parse_doi_list(_rendered(spark, sf, "concat('https://doi.org/', doi, '.')")).select("doi")
+
+
+def s9_s10_s11_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    c = D.catalog(spark, sf)
+    openalex = c.where("source = 'OpenAlex'").select(
+        F.expr("to_json(named_struct('id', work_id, 'title', title, 'doi', concat('https://doi.org/', doi), 'publication_year', year, 'authorships', transform(authors, a -> named_struct('author', named_struct('display_name', a))), 'primary_location', named_struct('source', named_struct('display_name', venue))))").alias("payload")
+    )
+    crossref = c.where("source = 'Crossref'").select(
+        F.expr("to_json(named_struct('DOI', doi, 'title', array(title), 'author', transform(authors, a -> named_struct('family', a)), 'issued', named_struct('date-parts', array(array(year))), 'container-title', array(venue)))").alias("payload")
+    )
+    semantic = c.where("source = 'Semantic Scholar'").select(
+        F.expr("to_json(named_struct('paperId', work_id, 'title', title, 'year', year, 'venue', venue, 'authors', transform(authors, a -> named_struct('name', a)), 'externalIds', named_struct('DOI', doi)))").alias("payload")
+    )
+    made = G.union_catalog({"OpenAlex": openalex, "Crossref": crossref, "Semantic Scholar": semantic})
+    return made.select("source", "source_priority", *(F.array_join("authors", "; ").alias(f) if f == "authors" else F.col(f) for f in FIELDS))
+
+
+MAPPED = f"SELECT source, CASE source WHEN 'Crossref' THEN 1 WHEN 'OpenAlex' THEN 2 ELSE 3 END::INT AS source_priority, nullif(title, '') AS title, array_to_string(authors, '; ') AS authors, year, venue, doi FROM {CAT} WHERE source IN ('OpenAlex', 'Crossref') OR (source = 'Semantic Scholar' AND length(title) > 0)"
+
+
+def p19_mined_references(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that end in a list of numbered references, mined for their fields."""
+    entry = "concat('[', n, '] A. Smith, ', split(authors[0], ',')[0], ', \"', regexp_replace(title, '\"', ''), ' 0123456789\" in ', venue, ', ', year, '. doi:', doi, '.')"
+    lists = _rendered(spark, sf, entry)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    whole = lists.join(docs, "doc_id").select("doc_id", F.concat("body", F.lit("\n\n## References\n\n"), "text", F.lit("\n")).alias("text"))
+    return P.mine_documents(whole).where("doi IS NOT NULL").select("title", "year", "doi")
+
+
+MINED = f"SELECT regexp_replace(title, '\"', '', 'g') || ' 0123456789' AS title, year, doi FROM {CAT} WHERE length(title) > 0 AND (substr(work_id, 2)::BIGINT % 50) IN (SELECT doc_id FROM documents)"
+
+QUERIES = {f.__name__: f for f in (
+    verdict_counts, j3_doi_lookup, j4_arxiv_lookup, j7_url_lookup, j9_exact_cascade, j5_title_search, j8_routing, m2_m3_scores, c3_url_status, c5_url_audit, c7_relevance, c9_exact_verdicts,
+    c12_enriched, a1_summary_by_document, a4_rate_by_year, s19_markdown, k1_identities, k2_fresh_results, k4_purged_cache, s3_bibtex, s4_ris, s5_csl_json, s6_nbib, s7_doi_list,
+    s9_s10_s11_catalog, p19_mined_references,
+)}
+
+ORACLES = {
+    "j3_doi_lookup": DOI_HITS,
+    "j4_arxiv_lookup": ARXIV_HITS,
+    "j7_url_lookup": URL_HITS,
+    "j9_exact_cascade": EXACT_HITS,
+    "j5_title_search": TITLE_SEARCH,
+    "m2_m3_scores": SCORES,
+    "c3_url_status": URL_STATUS,
+    "c5_url_audit": URL_AUDIT,
+    "c7_relevance": RELEVANCE,
+    "c9_exact_verdicts": VERDICTS,
+    "c12_enriched": ENRICHED,
+    "a1_summary_by_document": f"SELECT doc_id, count(*) AS total, count(*) FILTER (verdict = 'VERIFIED') AS verified, count(*) FILTER (verdict IN ('NOT_FOUND', 'DEAD_URL', 'METADATA_MISMATCH')) AS issues, 0::BIGINT AS skipped, bool_or(verdict IN ('NOT_FOUND', 'DEAD_URL')) AS failed FROM ({VERDICTS}) JOIN (SELECT ref_id, doc_id FROM {REF}) USING (ref_id) GROUP BY 1",
+    "a4_rate_by_year": f"SELECT year, count(*) AS total, round(avg((verdict = 'VERIFIED')::INT::DOUBLE), 6) AS verified_share FROM ({VERDICTS}) JOIN (SELECT ref_id, year FROM {REF}) USING (ref_id) GROUP BY 1",
+    "k1_identities": IDENTITIES,
+    "k2_fresh_results": FRESH,
+    "s3_bibtex": FIELDS_SQL,
+    "s4_ris": FIELDS_SQL,
+    "s5_csl_json": FIELDS_SQL,
+    "s6_nbib": FIELDS_SQL,
+    "s7_doi_list": f"SELECT doi FROM {CAT} WHERE length(title) > 0",
+    "s9_s10_s11_catalog": MAPPED,
+    "p19_mined_references": MINED,
+}
