@@ -90,7 +90,7 @@ def scan_entry(entry: str) -> dict[str, str] | None:
             at += 1
         value = entry[start:at].strip()
         out[m[1].lower()] = value[1:-1] if value[:1] == '"' and value[-1:] == '"' and len(value) > 1 else value
-        at = (rest := re.compile(r"\s*,?").match(entry, at)).end() if rest is not None else at + 1
+        at = re.compile(r"\s*,?").match(entry, at).end()
     return out
 
 
