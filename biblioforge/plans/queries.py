@@ -13,6 +13,7 @@ from ..operators import checks as C
 from ..operators import matching as M
 from ..operators import plaintext as P
 from ..operators import summary as A
+from ..schemas import REFS, conform
 from ..sources import catalog as G
 from ..sources import formats, sinks
 from . import derived as D
@@ -133,6 +134,13 @@ SELECT ref_id, CASE k WHEN 'skip' THEN 'SKIPPED' WHEN 'UNRELATED' THEN 'FAIL' WH
 """
 
 
+def a3_unparsed(spark: SparkSession, sf: str) -> DataFrame:
+    return A.unparsed(D.refs(spark, sf).withColumn("authors", F.filter("authors", lambda a: F.col("year") % 3 > 0)))
+
+
+UNPARSED = f"SELECT count(*) FILTER (coalesce(title, '') = '' AND doi IS NULL AND arxiv_id IS NULL AND year % 3 = 0) AS unparsed FROM {REF}"
+
+
 def _exact_reports(spark: SparkSession, sf: str) -> DataFrame:
     return verify(D.refs(spark, sf), D.catalog(spark, sf), D.fetch_log(spark, sf), opts=EXACT)
 
@@ -296,10 +304,58 @@ def p19_mined_references(spark: SparkSession, sf: str) -> DataFrame:
 
 MINED = f"SELECT regexp_replace(title, '\"', '', 'g') || ' 0123456789' AS title, year, doi FROM {CAT} WHERE length(title) > 0 AND (substr(work_id, 2)::BIGINT % 50) IN (SELECT doc_id FROM documents)"
 
+PLAIN = "trim(concat(regexp_replace(title, '[^A-Za-z0-9]+', ' '), ' x'))"
+
+
+def _styled(spark: SparkSession, sf: str, entry: str) -> DataFrame:
+    refs = P.parse_lists(_rendered(spark, sf, entry, "\n\n"))
+    return refs.select("title", F.array_join("authors", "; ").alias("authors"), "year", "venue", "doi")
+
+
+def p12_apa_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return _styled(spark, sf, f"concat('Smith, A., Jones, B. (', year, '). ', {PLAIN}, '. Journal. doi:', doi, '.')")
+
+
+def p13_vancouver_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return _styled(spark, sf, f"concat('Smith A, Jones B. ', {PLAIN}, '. Journal. ', year, ';12(3):45-67. doi:', doi, '.')")
+
+
+def p14_lncs_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return _styled(spark, sf, f"concat('Smith, A., Jones, B.: ', {PLAIN}, '. ', venue, ' (', year, '). doi:', doi, '.')")
+
+
+def _styled_sql(authors: str, venue: str) -> str:
+    return f"SELECT trim(regexp_replace(title || ' x', '[^A-Za-z0-9]+', ' ', 'g')) AS title, '{authors}' AS authors, year, {venue} AS venue, doi FROM {CAT} WHERE length(title) > 0"
+
+
+def k3_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    rows = D.cache(spark, sf)
+    late = F.col("created_at") >= F.lit("2024-01-10 00:00:00").cast("timestamp")
+    return K.upsert(rows.where(~late), rows.where(late)).select("identifier", "status", "confidence", "evidence")
+
+
+UPSERT = f"""SELECT identifier, status, confidence, evidence FROM (SELECT *, row_number() OVER (PARTITION BY identifier ORDER BY created_at DESC, status DESC, confidence DESC, evidence DESC) AS k FROM {CACHE}) WHERE k = 1"""
+
+
+def s16_open_access(spark: SparkSession, sf: str) -> DataFrame:
+    payload = F.expr("to_json(named_struct('doi', doi, 'best_oa_location', named_struct('url_for_pdf', if(year % 2 = 0, concat(urls[0], '.pdf'), null), 'url', urls[0])))").alias("payload")
+    return G.open_access(D.refs(spark, sf), D.catalog(spark, sf).select(payload)).select("ref_id", "oa_url")
+
+
+OPEN_ACCESS = f"SELECT ref_id, CASE WHEN c.year % 2 = 0 THEN c.urls[1] || '.pdf' ELSE c.urls[1] END AS oa_url FROM {REF} r LEFT JOIN {CAT} c ON rtrim(lower(r.doi), '/') = lower(c.doi)"
+
+
+def p20_recovery_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    raw = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("ref_id"), F.col("text").alias("raw"))
+    return P.recovery_prompts(conform(raw, REFS)).select("ref_id", F.length("prompt").alias("n"))
+
+
+PROMPTS = f"SELECT CAST(doc_id AS STRING) AS ref_id, (length(text) + {len(P.RECOVERY_PROMPT) - 2})::INT AS n FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\r]')"
+
 QUERIES = {f.__name__: f for f in (
     verdict_counts, j3_doi_lookup, j4_arxiv_lookup, j7_url_lookup, j9_exact_cascade, j5_title_search, j8_routing, m2_m3_scores, c3_url_status, c5_url_audit, c7_relevance, c9_exact_verdicts,
     c12_enriched, a1_summary_by_document, a4_rate_by_year, s19_markdown, k1_identities, k2_fresh_results, k4_purged_cache, s3_bibtex, s4_ris, s5_csl_json, s6_nbib, s7_doi_list,
-    s9_s10_s11_catalog, p19_mined_references,
+    s9_s10_s11_catalog, p19_mined_references, p12_apa_lists, p13_vancouver_lists, p14_lncs_lists, k3_upsert, s16_open_access, p20_recovery_prompts, a3_unparsed,
 )}
 
 ORACLES = {
@@ -325,4 +381,11 @@ ORACLES = {
     "s7_doi_list": f"SELECT doi FROM {CAT} WHERE length(title) > 0",
     "s9_s10_s11_catalog": MAPPED,
     "p19_mined_references": MINED,
+    "p12_apa_lists": _styled_sql("Smith, A; Jones, B", "NULL::STRING"),
+    "p13_vancouver_lists": _styled_sql("Smith A; Jones B", "NULL::STRING"),
+    "p14_lncs_lists": _styled_sql("Smith, A; Jones, B", "venue"),
+    "k3_upsert": UPSERT,
+    "a3_unparsed": UNPARSED,
+    "s16_open_access": OPEN_ACCESS,
+    "p20_recovery_prompts": PROMPTS,
 }
