@@ -136,8 +136,11 @@ def ablation(rows: DataFrame, policy: Policy = CORPUS) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: Policy = CORPUS) -> DataFrame:
-    """The rows of ``docs`` (any columns, a text) that a policy keeps."""
-    return apply_policy(rule_bits(measure(docs, F.struct("*"))), policy).where("kept").select("_head.*")
+    """The rows of ``docs`` (any columns, a text) that a policy keeps. A row is exploded into
+    itself or nothing: a filter would be pushed below the projections and every rule's
+    expression be copied into it."""
+    judged = apply_policy(rule_bits(measure(docs, F.struct("*"))), policy)
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("_head")).otherwise(F.array())).alias("_head")).select("_head.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
