@@ -35,9 +35,9 @@ from .anchors import anchored_runs
 from .common import map_batches, materialize, table
 from .induced import suffix_array
 
-LENGTH, GRAM = 400, 128
+LENGTH, GRAM = 400, 176
 #: Bytes of distinct segments that one call of the sorter takes, if anchors end there.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 KEY, RANGES = "__text_key", "__ranges"
 
 
