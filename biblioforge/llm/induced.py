@@ -19,6 +19,8 @@ import numpy as np
 
 #: Arrays of one level larger than this lie in files of the task's own spill folder.
 MEMORY_BYTES = 96 << 20
+#: Names of a recursion are sorted by prefix doubling from this length down; longer ones recurse.
+BASE = 1 << 20
 
 
 class Store:
@@ -59,10 +61,12 @@ def suffix_array(text: np.ndarray, cap: int, memory_bytes: int = MEMORY_BYTES) -
         return np.array(sa), np.array(lcp)
 
 
-def _sort(t: np.ndarray, cap: int, s: Store) -> tuple[np.ndarray, np.ndarray]:
+def _sort(t: np.ndarray, cap: int, s: Store, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
     n = len(t)
     if n < 2:
         return np.zeros(n, np.int32), np.zeros(n, np.int16)
+    if n <= BASE and (depth or n < 64):
+        return _sort_base(t, cap)
     ends_run = s.full(n, n - 1, np.int32)
     ends_run[:-1][t[:-1] != t[1:]] = np.flatnonzero(t[:-1] != t[1:])
     ends_run[:-1][t[:-1] == t[1:]] = n - 1
@@ -86,7 +90,7 @@ def _sort(t: np.ndarray, cap: int, s: Store) -> tuple[np.ndarray, np.ndarray]:
     q[start[some]] = 0
     q[n] = 0
     if len(seeds):
-        order, shared = _sort_seeds(t, seeds, cap, s)
+        order, shared = _sort_seeds(t, seeds, cap, s, depth)
         ordered = seeds[order]
         c = t[ordered]
         first = np.r_[True, c[1:] != c[:-1]]
@@ -104,12 +108,42 @@ def _sort(t: np.ndarray, cap: int, s: Store) -> tuple[np.ndarray, np.ndarray]:
     return sa, q[:n]
 
 
+def _sort_base(t: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The end of the recursion: ranks of doubling prefixes; they also give the shared ones."""
+    n = len(t)
+    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
+    levels, width = [], 1
+    while True:
+        levels.append(rank.astype(np.int32))
+        if rank.max() == n - 1:
+            break
+        key = rank * (n + 1)
+        key[:-width] += rank[width:] + 1
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
+        width *= 2
+    sa = np.argsort(rank, kind="stable")
+    a, b = sa[:-1].copy(), sa[1:].copy()
+    live = np.arange(n - 1)
+    for i in reversed(range(len(levels) - 1)):
+        x, y = a[live], b[live]
+        ok = live[(x < n) & (y < n)]
+        same = ok[levels[i][a[ok]] == levels[i][b[ok]]]
+        a[same] += 1 << i
+        b[same] += 1 << i
+    lcp = np.zeros(n, np.int16)
+    lcp[1:] = np.minimum(a - sa[:-1], cap)
+    return sa.astype(np.int32), lcp
+
+
 def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     n = b - a
     return np.repeat(b - np.cumsum(n), n) + np.arange(n.sum())
 
 
-def _sort_seeds(t: np.ndarray, seeds: np.ndarray, cap: int, s: Store) -> tuple[np.ndarray, np.ndarray]:
+def _sort_seeds(t: np.ndarray, seeds: np.ndarray, cap: int, s: Store, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the seeds' suffixes, and their shared prefixes: name the substrings between
     seeds, recurse on the names, translate common names back into common symbols."""
     m, n = len(seeds), len(t)
@@ -118,7 +152,7 @@ def _sort_seeds(t: np.ndarray, seeds: np.ndarray, cap: int, s: Store) -> tuple[n
     if int(names.max()) == m - 1:
         order, same = np.argsort(names, kind="stable"), np.zeros(m, np.int64)
     else:
-        order, same = _sort(names.astype(np.int32), cap, s)
+        order, same = _sort(names.astype(np.int32), cap, s, depth + 1)
         same = same.astype(np.int64)
     order = np.asarray(order, np.int64)
     places = np.append(seeds, n)
@@ -175,11 +209,21 @@ def _name(t: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _firsts(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each group of equal keys begins, and the end."""
+    change = np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1])
+    out = np.empty(len(change) + 2, np.int64)
+    out[0], out[1:-1], out[-1] = 0, change, len(sorted_keys)
+    out[1:-1] += 1
+    return out
+
+
 def _induce(sa: np.ndarray, q: np.ndarray, t: np.ndarray, wanted: np.ndarray, heads: np.ndarray, cap: int, end: int | None) -> None:
     """One pass. ``sa`` and ``q`` are the queue's slots in popping order; a popped suffix
     pushes the one before it, if wanted, to the head of that one's bucket."""
     n, k = len(sa), len(heads)
-    last_batch, last_min = np.full(k, -2), np.full(k, cap, np.int64)
+    key_type = np.uint16 if k <= 1 << 16 else np.int32  # short keys are sorted by radix
+    last_batch, last_min = np.full(k, -2), np.full(k, cap, np.int16)
     if end is not None:  # the empty suffix comes first and pushes the last one
         sa[heads[t[end]]] = end
         heads[t[end]] += 1
@@ -189,39 +233,62 @@ def _induce(sa: np.ndarray, q: np.ndarray, t: np.ndarray, wanted: np.ndarray, he
     i, size, batch = 0, 1024, 0
     while i < n:
         e = min(n, i + size)
-        src = np.flatnonzero(sa[i:e] > 0)
-        pre = sa[i:e][src].astype(np.int64) - 1
+        pre = sa[i:e]
+        src = np.flatnonzero(pre > 0)
+        pre = pre[src] - 1
         ok = wanted[pre]
         src, pre = src[ok], pre[ok]
+        a = np.asarray(q[i:e])
         if len(src):
-            p = t[pre]
-            order = np.argsort(p, kind="stable")
+            p = t[pre].astype(key_type)
+            order = p.argsort(kind="stable")
+            po = p[order]
+            first = _firsts(po)
+            many = np.diff(first)
+            place = heads[po]
+            place += np.arange(len(po))
+            place -= np.repeat(first[:-1], many)
             slot = np.empty(len(src), np.int64)
-            slot[order] = heads[p[order]] + _nth(p[order])
+            slot[order] = place
             low = np.minimum.accumulate(slot)
-            cut = np.flatnonzero(low <= np.append(i + src[1:], e))
+            follow = np.empty(len(src), np.int64)
+            follow[:-1], follow[-1] = src[1:], e - i
+            follow += i
+            cut = np.flatnonzero(low <= follow)
             if len(cut):
                 e = min(e, int(low[cut[0]]))
                 keep = int(cut[0]) + 1
-                src, pre, p, slot, order = src[:keep], pre[:keep], p[:keep], slot[:keep], order[order < keep]
-            a = np.asarray(q[i:e])
-            po, so = p[order], src[order]
-            new = np.r_[True, po[1:] != po[:-1]]
-            value = np.empty(len(order), np.int64)
-            value[~new] = _range_min(a, so[:-1][~new[1:]] + 1, so[1:][~new[1:]] + 1) if len(order) > 1 else 0
-            heads_of, head_src = po[new], so[new]
-            seen = last_batch[heads_of]
-            stack = np.searchsorted(np.array(ids), seen, "right") if ids else np.zeros(len(seen), int)
-            value[new] = np.minimum(np.minimum(last_min[heads_of], np.array([*mins, cap])[stack]), np.minimum.accumulate(a)[head_src])
+                src, pre, slot = src[:keep], pre[:keep], slot[:keep]
+                order = order[order < keep]
+                po = p[order]
+                first = _firsts(po)
+                many = np.diff(first)
+                a = a[: e - i]
+            so = src[order]
+            new = first[:-1]
+            value = np.empty(len(order), np.int16)
+            if len(new) < len(order):
+                old = np.ones(len(order), bool)
+                old[new] = False
+                later = np.flatnonzero(old)
+                value[later] = _range_min(a, so[later - 1] + 1, so[later] + 1)
+            of = po[new]
+            seen = last_batch[of]
+            stack = np.searchsorted(ids, seen, "right")
+            value[new] = np.minimum(np.minimum(last_min[of], np.array([*mins, cap], np.int16)[stack]), np.minimum.accumulate(a)[so[new]])
             sa[slot] = pre
-            known = ~new
-            known[new] = seen != -2
-            q[slot[order][known]] = np.minimum(value[known] + 1, cap)
-            tail = np.r_[new[1:], True]
-            heads[heads_of] += np.diff(np.r_[np.flatnonzero(new), len(po)])
-            after = np.append(np.minimum.accumulate(a[::-1])[::-1], cap)
-            last_batch[po[tail]], last_min[po[tail]] = batch, after[so[tail] + 1]
-        v = int(q[i:e].min())
+            value += 1
+            np.minimum(value, cap, out=value)
+            fresh = new[seen == -2]  # the first of a bucket keeps what its boundary says
+            where = slot[order]
+            value[fresh] = q[where[fresh]]
+            q[where] = value
+            heads[of] += many
+            tail = first[1:] - 1
+            after = np.full(e - i + 1, cap, np.int16)
+            after[:-1] = np.minimum.accumulate(a[::-1])[::-1]
+            last_batch[of], last_min[of] = batch, after[so[tail] + 1]
+        v = int(a.min())
         while mins and mins[-1] >= v:
             mins.pop()
             ids.pop()
@@ -231,20 +298,15 @@ def _induce(sa: np.ndarray, q: np.ndarray, t: np.ndarray, wanted: np.ndarray, he
         i, batch = e, batch + 1
 
 
-def _nth(sorted_keys: np.ndarray) -> np.ndarray:
-    first = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
-    return np.arange(len(sorted_keys)) - np.repeat(first, np.diff(np.r_[first, len(sorted_keys)]))
-
-
 def _range_min(a: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Minimum of a[low:high] for many ranges, none empty, by a doubling table."""
     if not len(low):
         return np.zeros(0, np.int64)
-    level = np.frexp((high - low).astype(float))[1] - 1
-    out = np.empty(len(low), np.int64)
+    level = (np.frexp((high - low).astype(np.float32))[1] - 1).astype(np.uint8)
+    out = np.empty(len(low), a.dtype)
     row, width = a, 1
     for lv in range(int(level.max()) + 1):
-        pick = level == lv
+        pick = np.flatnonzero(level == lv)
         out[pick] = np.minimum(row[low[pick]], row[high[pick] - width])
         if len(row) > width:
             row = np.minimum(row[:-width], row[width:])

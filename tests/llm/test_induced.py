@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from biblioforge.llm import induced
 from biblioforge.llm.induced import suffix_array
 
 
@@ -16,8 +17,9 @@ def brute(t, cap):
     return sa, lcp
 
 
-@pytest.mark.parametrize("limit", [1 << 30, 16])
-def test_like_brute_force(limit):
+@pytest.mark.parametrize("limit,base", [(1 << 30, 1 << 20), (16, 40), (16, 0)])
+def test_like_brute_force(limit, base, monkeypatch):
+    monkeypatch.setattr(induced, "BASE", base)
     rng = np.random.default_rng(4)
     cases = [np.array(x) for x in ([], [5], [1, 1], [2, 1], [1, 2], [0] * 50, [1, 0] * 30, list(range(40)), list(range(40, 0, -1)))]
     for _ in range(150):
