@@ -100,7 +100,8 @@ def count_models(docs: DataFrame, good: DataFrame, known: list[str]) -> tuple[Mo
     shared = spark.sparkContext.broadcast(known)  # bounded by the vocabulary's size
     size = len(known) + CLASSES + 1
     marked = good.select(F.col("doc_id").alias("good_id")).where("good_id IS NOT NULL").distinct()
-    rows = docs.select("doc_id", "text").join(marked, F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("good"))
+    # a merge join at every size: the list of target documents grows with the corpus
+    rows = docs.select("doc_id", "text").join(marked.hint("merge"), F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("good"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Words(shared.value)
