@@ -1,7 +1,10 @@
 import math
+import random
 import zlib
 from collections import Counter
 
+import pytest
+
 from biblioforge.llm import lm_score as L
 
 
@@ -54,3 +57,40 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert L.cross_entropy_difference(df, none).count() == 1
     assert L.cross_entropy_difference(df.limit(0), none).count() == 0
+
+
+def exact(rows, good):
+    """Both models over every word and bigram, with plain dictionaries."""
+    models, size = [], len({w for _, t in rows for w in t.split()}) + 1
+    for keep in (lambda d: d in good, lambda d: True):
+        one, pre, two = Counter(), Counter(), Counter()
+        for d, t in rows:
+            if keep(d):
+                x = t.split()
+                one.update(x)
+                pre.update([None, *x[:-1]])
+                two.update(zip([None, *x], x))
+        models.append((one, pre, two, sum(one.values())))
+    out = {}
+    for d, t in rows:
+        x = t.split()
+        out[d] = [
+            -sum(math.log((two[a, b] + L.MU * (one[b] + L.ALPHA) / (n + L.ALPHA * size)) / (pre[a] + L.MU)) for a, b in zip([None, *x], x)) / len(x) for one, pre, two, n in models
+        ]
+    return out
+
+
+@pytest.mark.parametrize("chunk,bucket,share", [(L.CHUNK, L.BUCKET_ROWS, L.HOT_SHARE), (3000, 20000, 2000), (3000, 20000, 20), (3000, 20000, 1)])
+def test_counts_grow_with_the_corpus(spark, monkeypatch, chunk, bucket, share):
+    for name, value in (("CHUNK", chunk), ("BUCKET_ROWS", bucket), ("HOT_SHARE", share)):
+        monkeypatch.setattr(L, name, value)
+    rng = random.Random(3)
+    rows = [(i, " ".join("the same pair" if rng.random() < 0.2 else f"w{rng.randrange(70000)}" for _ in range(rng.randrange(1, 4000)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    good = spark.createDataFrame([(i,) for i in range(0, 150, 3)], "doc_id long")
+    want = exact(rows, set(range(0, 150, 3)))
+    got = {r.doc_id: r for r in L.cross_entropy_difference(df, good).collect()}
+    assert len({w for _, t in rows for w in t.split()}) > 50_000
+    assert set(got) == set(want)
+    for d, (t, b) in want.items():
+        assert abs(got[d].loss_target - t) < 1e-9 and abs(got[d].loss_background - b) < 1e-9
