@@ -232,9 +232,10 @@ SELECT ref_id, CASE WHEN r.title = '' THEN nullif(c.title, '') ELSE r.title END
 # Round trips: works rendered as files, twenty to a file, and parsed back.
 
 
-def _rendered(spark: SparkSession, sf: str, entry: str, join: str = "\n", around: tuple[str, str] = ("", "")) -> DataFrame:
+def _rendered(spark: SparkSession, sf: str, entry: str, join: str = "\n", around: tuple[str, str] = ("", ""), works: int = 20) -> DataFrame:
+    """Files (doc_id, text) of ``works`` numbers each, so that their count grows with the catalog."""
     c = D.catalog(spark, sf).where("title IS NOT NULL").withColumn("n", F.substring("work_id", 2, 30).cast("long"))
-    rows = c.select((F.col("n") % 50).alias("doc_id"), F.struct("n", F.expr(entry).alias("e")).alias("s"))
+    rows = c.select(F.floor(F.col("n") / works).alias("doc_id"), F.struct("n", F.expr(entry).alias("e")).alias("s"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["e"]), join)
     return rows.groupBy("doc_id").agg(F.concat(F.lit(around[0]), body, F.lit(around[1])).alias("text"))
 
@@ -294,11 +295,12 @@ MAPPED = f"SELECT source, CASE source WHEN 'Crossref' THEN 1 WHEN 'OpenAlex' THE
 
 
 def p19_mined_references(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that end in a list of numbered references, mined for their fields."""
-    entry = "concat('[', n, '] A. Smith, ', split(authors[0], ',')[0], ', \"', regexp_replace(title, '\"', ''), ' 0123456789\" in ', venue, ', ', year, '. doi:', doi, '.')"
-    lists = _rendered(spark, sf, entry)
+    """All documents, each ending in a list of references (its own work's), mined for their fields."""
+    entry = "concat('[1] A. Smith, ', split(authors[0], ',')[0], ', \"', regexp_replace(title, '\"', ''), ' 0123456789\" in ', venue, ', ', year, '. doi:', doi, '.')"
+    lists = _rendered(spark, sf, entry, works=1)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
-    whole = lists.join(docs, "doc_id").select("doc_id", F.concat("body", F.lit("\n\n## References\n\n"), "text", F.lit("\n")).alias("text"))
+    ending = F.coalesce(F.concat(F.lit("\n\n## References\n\n"), "text", F.lit("\n")), F.lit(""))
+    whole = docs.join(lists, "doc_id", "left").select("doc_id", F.concat("body", ending).alias("text"))
     return P.mine_documents(whole).where("doi IS NOT NULL").select("title", "year", "doi")
 
 

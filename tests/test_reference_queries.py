@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__
+from biblioforge.plans import queries
 from biblioforge.plans.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -38,3 +39,20 @@ def test_like_sql(spark, duck, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["verdict", "references"]
+
+
+def test_files_hold_twenty_works(spark):
+    files = queries._rendered(spark, DATA, "concat(n)").collect()
+    assert len(files) >= 9
+    for f in files:
+        numbers = [int(x) for x in f.text.split("\n")]
+        assert len(numbers) <= 20 and {n // 20 for n in numbers} == {f.doc_id}
+
+
+def test_every_document_is_mined(spark, monkeypatch):
+    seen = []
+    mine = queries.P.mine_documents
+    monkeypatch.setattr(queries.P, "mine_documents", lambda docs: seen.append(docs) or mine(docs))
+    queries.p19_mined_references(spark, DATA)
+    want = {r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()}
+    assert {r.doc_id for r in seen[0].select("doc_id").collect()} == want and len(want) > 50
