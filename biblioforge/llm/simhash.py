@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -47,7 +46,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     join, h = b" ".join, xxhash.xxh64_intdigest
     if len(words) < shingle:
         return h(join(words), seed)
-    hashes = np.array([h(join(s), seed) for s in zip(*(words[i:] for i in range(shingle)))], ">u8")
+    return majority([h(join(s), seed) for s in zip(*(words[i:] for i in range(shingle)))])
+
+
+def majority(values: list[int]) -> int:
+    """The bits that are set in over half of the 64-bit values; zero for none."""
+    hashes = np.array(values, ">u8")
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         counts += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -78,18 +82,21 @@ def index_keys(n: int, max_bits: int = MAX_BITS) -> list[tuple[int, ...]]:
     return [c for g in groups for c in combinations(g.tolist(), 2)]
 
 
+def agreeing(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i of a, j of b) that agree in at least so many byte positions."""
+    ab, bb = a.view(np.uint8).reshape(-1, BYTES), b.view(np.uint8).reshape(-1, BYTES)
+    tally = np.zeros((len(a), len(b)), np.uint8)
+    for p in range(BYTES):
+        tally += ab[:, p, None] == bb[None, :, p]
+    return np.nonzero(tally >= least)
+
+
 def _linked(a: np.ndarray, b: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i of a, j of b) that link, in strips of bounded size."""
-    least = BYTES - max_bits
     step = max(1, (1 << 20) // max(1, len(b)))
     ii, jj = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    bb = b.view(np.uint8).reshape(-1, BYTES)
-    ab = a.view(np.uint8).reshape(-1, BYTES)
     for at in range(0, len(a), step):
-        tally = np.zeros((min(step, len(a) - at), len(b)), np.uint8)
-        for p in range(BYTES):
-            tally += ab[at : at + step, p, None] == bb[None, :, p]
-        i, j = np.nonzero(tally >= least)
+        i, j = agreeing(a[at : at + step], b, BYTES - max_bits)
         near = np.bitwise_count(a[at + i] ^ b[j]) <= max_bits
         ii.append(i[near] + at)
         jj.append(j[near])
@@ -113,22 +120,51 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return [(x, find(x)) for x in range(n) if find(x) != x]
 
 
-def link_edges(distinct_fps: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints, enough to connect all that link."""
+def postings(nodes: DataFrame, n: int, max_bits: int) -> DataFrame:
+    """Nodes (fps, any columns) under each key of each fingerprint: (k, v, fp, columns)."""
     keys = index_keys(n, max_bits)
     # the key holds which positions it is made of, so lists of different positions never mix
     masks = [sum(0xFF << 8 * p for p in c) for c in keys]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    posted = distinct_fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(signed)])).alias("x")).select(
-        "fp", "x.k", "x.v"
-    )
-    sizes = posted.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
-    lists = posted.join(sizes, ["k", "v"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rest = [c for c in nodes.columns if c != "fps"]
+    each = nodes.select(*rest, F.posexplode("fps").alias("s", "fp"))
+    under = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(signed)]))
+    return each.select(*rest, "s", "fp", under.alias("x")).select((F.col("s") * len(keys) + F.col("x.k")).cast("int").alias("k"), "x.v", "fp", *rest)
+
+
+def meetings(posted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Lists (k, v, n) of ``sizes`` dealt out: block b of a list meets every block of it, itself
+    too, as the task (lo, hi); each meeting's rows arrive together and in order."""
+    lists = posted.join(sizes, ["k", "v"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
     lists = lists.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    # block b of a list meets every block of it, itself too: task (min, max)
-    met = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "fp", "k", "v", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
-    )
+    met = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("blocks", "other")
+    return met.repartition("k", "v", "lo", "hi").sortWithinPartitions("k", "v", "lo", "hi")
+
+
+def whole_lists(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of whole lists, batch by batch, and where each list begins; names hold k, v, lo and hi."""
+    held, marks = None, [names.index(c) for c in ("k", "v", "lo", "hi")]
+    for batch in batches:
+        rows = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        new = np.zeros(max(0, len(rows[0]) - 1), bool)
+        for m in marks:
+            new |= rows[m][1:] != rows[m][:-1]
+        change = np.flatnonzero(new) + 1
+        cut = int(change[-1]) if len(change) else 0
+        held = [x[cut:] for x in rows]
+        if cut:
+            yield [x[:cut] for x in rows], np.r_[0, change[:-1]]
+    if held is not None and len(held[0]) > 1:
+        yield held, np.zeros(1, np.int64)
+
+
+def link_edges(distinct_fps: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints, enough to connect all that link."""
+    posted = postings(distinct_fps.select(F.array("fp").alias("fps")), n, max_bits)
+    sizes = posted.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
 
     def long_list(fp: np.ndarray, first: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
         """Edges of one meeting of two blocks, or of a block with itself."""
@@ -158,8 +194,6 @@ def link_edges(distinct_fps: DataFrame, n: int, max_bits: int = MAX_BITS) -> Dat
         ids = fp.view(np.int64)
         return [(int(ids[used[x]]), int(ids[used[y]])) for x, y in forest(len(used), back[: len(i)], back[len(i) :])]
 
-    spread = met.repartition("k", "v", "lo", "hi").sortWithinPartitions("k", "v", "lo", "hi")
-
     def edges_of(fp: np.ndarray, at: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
         """Rows of whole lists that begin at ``at``."""
         size = np.diff(np.r_[at, len(fp)])
@@ -174,27 +208,14 @@ def link_edges(distinct_fps: DataFrame, n: int, max_bits: int = MAX_BITS) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lists arrive sorted; each is at most two blocks long, most are a few rows."""
-        names = ("fp", "k", "v", "own", "lo", "hi")
-        held = None
-        for batch in batches:
-            rows = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            _, k, v, _, lo, hi = rows
-            change = np.flatnonzero((k[1:] != k[:-1]) | (v[1:] != v[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-            cut = int(change[-1]) if len(change) else 0
-            held = [x[cut:] for x in rows]
-            if cut:
-                fp, _, _, own, lo, hi = (x[:cut] for x in rows)
-                yield edge_batch(edges_of(fp.view(np.uint64), np.r_[0, change[:-1]], own, lo, hi))
-        if held is not None and len(held[0]) > 1:
-            yield edge_batch(edges_of(held[0].view(np.uint64), np.zeros(1, np.int64), held[3], held[4], held[5]))
+        for (fp, _, _, own, lo, hi), at in whole_lists(batches, ("fp", "k", "v", "own", "lo", "hi")):
+            yield edge_batch(edges_of(fp.view(np.uint64), at, own, lo, hi))
 
     def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
         pairs = np.array(edges, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return spread.mapInArrow(run, "a long, b long")
+    return meetings(posted, sizes).mapInArrow(run, "a long, b long")
 
 
 def components_of(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -213,22 +234,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     return fps.join(roots.join(heads, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` (any columns, a doc_id and a text) but for all of each component
-    save the one with the smallest doc_id; of rows alike in that, one."""
-
-    @F.pandas_udf("long")
-    def fp_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
-
-    rows = materialize(docs.select(F.struct("*").alias("doc")).select("doc", fp_of("doc.text").alias("fp"), F.monotonically_increasing_id().alias("row")))
-    roots = components_of(rows, max_bits)
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
-    best = rows.select(F.col("doc.doc_id").alias("id"), "fp", "row").groupBy("fp").agg(F.min(order).alias("best"))
-    kept = best.join(roots, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
-    return rows.join(kept, "row", "left_semi").select("doc.*")
-
-
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

@@ -85,25 +85,5 @@ def test_keys_cover_every_pair():
         assert all(any(set(k) <= set(agree) for k in keys) for agree in combinations(range(8), 8 - bits))
 
 
-def test_keep_one_and_more_bits(spark):
-    data = rows()
-    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(data)], "doc_id long, text string, row long")
-    kept = {r.row for r in simhash.keep_one(df, max_bits=6).collect()}
-    fps = [brute_fp(t) for _, t in data]
-    comp = list(range(len(data)))
-    for i in range(len(data)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 6 and comp[i] != comp[j]:
-                a, b = comp[i], comp[j]
-                comp = [b if c == a else c for c in comp]
-    groups = {}
-    for i, c in enumerate(comp):
-        groups.setdefault(c, []).append(i)
-    assert len(kept) == len(groups)
-    for members in groups.values():
-        [one] = kept & set(members)
-        assert data[one][0] == min((data[m][0] for m in members if data[m][0] is not None), default=None)
-
-
 def test_empty_table(spark):
     assert run(spark, []) == []
