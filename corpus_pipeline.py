@@ -15,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioforge.llm import packing, quality, simhash, suffix_dedup, toxicity
+from biblioforge.llm import near_copies, packing, quality, suffix_dedup, toxicity
 from biblioforge.llm.common import materialize, table
 
-#: Fingerprints of near copies in a corpus differ in up to six bits. Three bits, as in the
-#: query of the operator, leave most pairs with a tenth of their words changed.
-NEAR_BITS = 6
+#: Bytes of a passage that goes where another text repeats it: fifty words of prose have 200
+#: at least. (The query of the operator alone takes 400, as its contract says.)
+PASSAGE, PASSAGE_GRAM = 200, 88
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +31,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, max_bits=NEAR_BITS)
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_copies.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.remove_repeats(docs).drop("__cut")
+    cut = suffix_dedup.remove_repeats(docs, PASSAGE, PASSAGE_GRAM).drop("__cut")
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
@@ -47,7 +47,7 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("toxicity", toxic_documents),
     ("quality_rules", quality_rules),
-    ("simhash_near_dedup", near_copies),
+    ("simhash_near_dedup", near_duplicates),
     ("suffix_array_dedup", repeated_passages),
     ("best_fit_packing", packed_sequences),
 ]
