@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 
-_TABLE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TABLES = [np.random.default_rng(20240601 + i).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for i in range(2)]
 _MIX = [np.uint64(x * 2 + 1) for x in np.random.default_rng(7).integers(1 << 60, 1 << 62, 64).tolist()]
 
 
-def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of the k bytes from each position, by doubling the width."""
-    h, width, level = _TABLE[data], 1, 0
+def gram_hashes(data: np.ndarray, k: int, table: int = 0) -> np.ndarray:
+    """A 64-bit hash of the k bytes from each position, by doubling the width; of two kinds."""
+    h, width, level = _TABLES[table][data], 1, 20 * table
     while width < k:
         step = min(width, k - width)
         h = h[:-step] * _MIX[level] + h[step:] if len(h) > step else h[:0]

@@ -1,4 +1,4 @@
-"""Suffix sorting by recursive induction, with common-prefix values, in vectorized batches.
+"""Suffix sorting by recursive induction, with common-prefix values, from disk.
 
 One queue serves both induction passes: a monotone bucket priority queue whose tuples
 (symbol, order of arrival, suffix, common prefix with the one before) lie bucket by bucket
@@ -7,104 +7,156 @@ run of tuples that nothing still to be pushed can precede, so whole runs are ind
 few array operations. Common-prefix values are carried along: those of the recursion's
 names give those of the seeds, and a range minimum over the popped tuples gives those of
 the pushed ones. Values stop counting at ``cap``.
+
+Everything that is as long as the text lies in such arrays, texts, types and seeds too; the
+rest of the work goes chunk by chunk, and seeds are named by a quicksort whose parts are
+arrays of the store. So a text may be many times larger than memory. Files have no name from
+the start: they vanish with the array or the process.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 import numpy as np
 
-#: Arrays of one level larger than this lie in files of the task's own spill folder.
-MEMORY_BYTES = 96 << 20
-#: Names of a recursion are sorted by prefix doubling from this length down; longer ones recurse.
-BASE = 1 << 20
+#: Arrays larger than this lie in files of the task's own spill folder.
+MEMORY_BYTES = 512 << 10
+#: A recursion of this many names ends in prefix doubling.
+BASE = 1 << 13
 
 
 class Store:
-    """Allocates arrays in memory or, when large, in files that vanish with the store."""
+    """Allocates arrays in memory or, when large, in unnamed files."""
 
     def __init__(self, limit: int):
-        self.limit, self.dir, self.n = limit, None, 0
+        self.limit, self.chunk, self.spilled = limit, max(8, min(1 << 18, limit // 4)), 0
 
-    def full(self, n: int, value: int, dtype) -> np.ndarray:
-        if n * np.dtype(dtype).itemsize <= self.limit:
+    def new(self, n: int, dtype, value: int = 0) -> np.ndarray:
+        size = n * np.dtype(dtype).itemsize
+        if size <= self.limit:
             return np.full(n, value, dtype)
-        if self.dir is None:
-            self.dir = tempfile.TemporaryDirectory(prefix="suffix-spill-")
-        self.n += 1
-        out = np.memmap(Path(self.dir.name) / f"{self.n}.bin", dtype, "w+", shape=(n,))
-        out[:] = value
+        with tempfile.TemporaryFile(prefix="suffix-spill-") as f:
+            f.truncate(size)
+            out = np.asarray(np.memmap(f, dtype, "r+", shape=(n,)))
+        self.spilled += size
+        if value:
+            out[:] = value
         return out
 
-    def close(self) -> None:
-        if self.dir is not None:
-            self.dir.cleanup()
+    def chunks(self, n: int, first: int = 0) -> Iterator[tuple[int, int]]:
+        for a in range(first, n, self.chunk):
+            yield a, min(n, a + self.chunk)
 
 
 @contextmanager
-def store(limit: int):
-    s = Store(limit)
-    try:
-        yield s
-    finally:
-        s.close()
+def sorted_suffixes(text: np.ndarray, cap: int, s: Store):
+    """Suffixes of an int32 array of non-negative numbers in order, and the length of the
+    prefix that each shares with the one before it (at most ``cap``); in arrays of the store."""
+    yield _sort(text, cap, s)
 
 
 def suffix_array(text: np.ndarray, cap: int, memory_bytes: int = MEMORY_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of an array of non-negative integers in order, and the length of the prefix
-    that each shares with the one before it (at most ``cap``)."""
-    with store(memory_bytes) as s:
-        sa, lcp = _sort(np.ascontiguousarray(text, np.int32), cap, s)
+    """The same, in memory."""
+    with sorted_suffixes(np.ascontiguousarray(text, np.int32), cap, Store(memory_bytes)) as (sa, lcp):
         return np.array(sa), np.array(lcp)
 
 
+def _add(counts: np.ndarray, at: np.ndarray) -> None:
+    if len(counts) <= 4 * len(at):
+        counts += np.bincount(at, minlength=len(counts))
+    else:
+        np.add.at(counts, at, 1)
+
+
+def _types(t: np.ndarray, s: Store) -> tuple[np.ndarray, np.ndarray]:
+    """From right to left: whether each suffix is smaller than the next one, and where its run
+    of equal symbols ends."""
+    n = len(t)
+    small, ends = s.new(n, bool), s.new(n, np.int32)
+    for a in range((n - 1) // s.chunk * s.chunk, -1, -s.chunk):
+        b = min(n, a + s.chunk)
+        x, y = t[a:b], t[a + 1 : b + 1]
+        stop, rise = np.ones(b - a, bool), np.zeros(b - a, bool)
+        stop[: len(y)], rise[: len(y)] = x[: len(y)] != y, x[: len(y)] < y
+        e = np.minimum.accumulate(np.where(stop, np.arange(a, b), n)[::-1])[::-1]
+        goes_on = e == n
+        types = rise[np.minimum(e, b - 1) - a]
+        if goes_on.any():
+            e = np.where(goes_on, ends[b], e)
+            types[goes_on] = small[b]
+        small[a:b], ends[a:b] = types, e
+    return small, ends
+
+
 def _sort(t: np.ndarray, cap: int, s: Store, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
     n = len(t)
     if n < 2:
         return np.zeros(n, np.int32), np.zeros(n, np.int16)
     if n <= BASE and (depth or n < 64):
         return _sort_base(t, cap)
-    ends_run = s.full(n, n - 1, np.int32)
-    ends_run[:-1][t[:-1] != t[1:]] = np.flatnonzero(t[:-1] != t[1:])
-    ends_run[:-1][t[:-1] == t[1:]] = n - 1
-    ends_run[:] = np.minimum.accumulate(ends_run[::-1])[::-1]
-    rises = np.append(t[:-1] < t[1:], False)
-    small = rises[ends_run]  # a suffix smaller than the next one
-    run = ends_run - np.arange(n, dtype=np.int32) + 1
-    seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-
-    k = int(t.max()) + 1
-    count = np.bincount(t, minlength=k)
-    end = np.cumsum(count)
-    start = end - count
-    n_small = np.bincount(t[small], minlength=k)
-    most = np.zeros((2, k), np.int64)  # longest run of a bucket's large and of its small suffixes
-    np.maximum.at(most[0], t[~small], run[~small])
-    np.maximum.at(most[1], t[small], run[small])
-
-    sa, q = s.full(n, -1, np.int32), s.full(n + 1, cap, np.int16)
-    some = np.flatnonzero(count)
-    q[start[some]] = 0
+    small, ends = _types(t, s)
+    found = lambda a, b: np.flatnonzero(small[a:b] & ~small[a - 1 : b - 1]) + a
+    seeds = s.new(sum(len(found(a, b)) for a, b in s.chunks(n, 1)), np.int32)
+    at = 0
+    for a, b in s.chunks(n, 1):
+        part = found(a, b)
+        seeds[at : at + len(part)] = part
+        at += len(part)
+
+    k = max(int(t[a:b].max()) for a, b in s.chunks(n)) + 1
+    count, n_small = s.new(k, np.int64), s.new(k, np.int64)
+    large_run, small_run = s.new(k, np.int32), s.new(k, np.int32)  # the longest in a bucket
+    for a, b in s.chunks(n):
+        x, is_small, run = t[a:b], small[a:b], ends[a:b] - np.arange(a, b, dtype=np.int32) + 1
+        _add(count, x)
+        _add(n_small, x[is_small])
+        np.maximum.at(large_run, x[~is_small], run[~is_small])
+        np.maximum.at(small_run, x[is_small], run[is_small])
+    start, end = s.new(k, np.int64), s.new(k, np.int64)
+    np.cumsum(count, out=end)
+    np.subtract(end, count, out=start)
+
+    sa, q = s.new(n, np.int32, -1), s.new(n + 1, np.int16, cap)
+    for a, b in s.chunks(k):
+        q[start[a:b][count[a:b] > 0]] = 0
     q[n] = 0
     if len(seeds):
         order, shared = _sort_seeds(t, seeds, cap, s, depth)
-        ordered = seeds[order]
-        c = t[ordered]
-        first = np.r_[True, c[1:] != c[:-1]]
-        per = np.bincount(c, minlength=k)
-        slot = (end - per)[c] + np.arange(len(c)) - np.repeat(np.flatnonzero(first), np.diff(np.r_[np.flatnonzero(first), len(c)]))
-        sa[slot] = ordered
-        shared[first] = np.minimum(np.minimum(most[0][c[first]], run[ordered[first]]), cap)
-        q[slot] = shared
-    _induce(sa, q[:n], t, ~small, start.copy(), cap, n - 1)
+        per, before = s.new(k, np.int64), s.new(k, np.int64)
+        for a, b in s.chunks(len(seeds)):
+            _add(per, t[seeds[a:b]])
+        np.cumsum(per, out=before)
+        np.subtract(before, per, out=before)
+        for a, b in s.chunks(len(seeds)):
+            p = seeds[order[a:b]]
+            c = t[p]
+            nth = np.arange(a, b) - before[c]
+            slot = end[c] - per[c] + nth
+            value, first = np.array(shared[a:b]), nth == 0
+            run = ends[p[first]] - p[first] + 1
+            value[first] = np.minimum(np.minimum(large_run[c[first]], run), cap)
+            sa[slot], q[slot] = p, value
+        del order, shared, per, before
+    del ends, seeds
+    _induce(sa, q[:n], t, small, False, start, cap, n - 1, s)
     # the seeds have done their work; the small suffixes come from the right
-    at = np.flatnonzero(n_small)
-    sa[_ranges(end[at] - n_small[at], end[at])] = -1
-    q[(end - n_small)[at]] = np.minimum(np.minimum(most[0][at], most[1][at]), cap)
-    _induce(sa[::-1], q[::-1][:n], t, small, n - end, cap, None)
+    for a, b in s.chunks(k):
+        at = np.flatnonzero(n_small[a:b]) + a
+        first, last = end[at] - n_small[at], end[at]
+        q[first] = np.minimum(np.minimum(large_run[at], small_run[at]), cap)
+        long = last - first > s.chunk
+        for x, y in zip(first[long].tolist(), last[long].tolist(), strict=True):
+            sa[x:y] = -1
+        first, last = first[~long], last[~long]
+        while len(first):
+            fit = max(1, int(np.searchsorted(np.cumsum(last - first), s.chunk, "right")))
+            sa[_ranges(first[:fit], last[:fit])] = -1
+            first, last = first[fit:], last[fit:]
+    np.subtract(n, end, out=end)
+    _induce(sa[::-1], q[::-1][:n], t, small, True, end, cap, None, s)
     return sa, q[:n]
 
 
@@ -147,66 +199,115 @@ def _sort_seeds(t: np.ndarray, seeds: np.ndarray, cap: int, s: Store, depth: int
     """Order of the seeds' suffixes, and their shared prefixes: name the substrings between
     seeds, recurse on the names, translate common names back into common symbols."""
     m, n = len(seeds), len(t)
-    stop = np.append(seeds[1:], n)
-    names = _name(t, seeds, stop - seeds + 1)
-    if int(names.max()) == m - 1:
-        order, same = np.argsort(names, kind="stable"), np.zeros(m, np.int64)
+    names, distinct = _name(t, seeds, s)
+    if distinct == m:
+        order, same = s.new(m, np.int32), s.new(m, np.int16)
+        for a, b in s.chunks(m):
+            order[names[a:b]] = np.arange(a, b)
     else:
-        order, same = _sort(names.astype(np.int32), cap, s, depth + 1)
-        same = same.astype(np.int64)
-    order = np.asarray(order, np.int64)
-    places = np.append(seeds, n)
-    before = np.r_[order[:1], order[:-1]]
-    a, b = places[before + same], places[order + same]
-    shared = np.minimum(a - places[before], cap)
-    shared[0] = 0
-    live = np.flatnonzero((shared < cap) & (np.arange(m) > 0))
-    step = 0
-    while len(live):
-        x, y = a[live] + step, b[live] + step
-        ok = (x < n) & (y < n)
-        ok[ok] = t[x[ok]] == t[y[ok]]
-        live = live[ok]
-        shared[live] += 1
-        live = live[shared[live] < cap]
-        step += 1
+        order, same = _sort(names, cap, s, depth + 1)
+    shared = s.new(m, np.int16)
+    place = lambda i: np.where(i < m, seeds[np.minimum(i, m - 1)], n).astype(np.int64)
+    for a, b in s.chunks(m):
+        o = order[a:b].astype(np.int64)
+        before = np.r_[order[a - 1 : a] if a else o[:1], o[:-1]].astype(np.int64)
+        common = same[a:b].astype(np.int64)
+        x, y = place(before + common), place(o + common)
+        got = np.minimum(x - place(before), cap)
+        live = np.flatnonzero((got < cap) & (np.arange(a, b) > 0))
+        step = 0
+        while len(live):
+            i, j = x[live] + step, y[live] + step
+            ok = (i < n) & (j < n)
+            ok[ok] = t[i[ok]] == t[j[ok]]
+            live = live[ok]
+            got[live] += 1
+            live = live[got[live] < cap]
+            step += 1
+        shared[a:b] = got
+    shared[:1] = 0
     return order, shared
 
 
-def _name(t: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Dense ranks of substrings, equal ones alike: sort by packed blocks of symbols, block
-    after block for those still tied. The place behind the text is below every symbol.
-    Where one substring begins another, the longer one falls where the shorter one's last
-    symbol begins a rise, so the shorter is the larger: it is filled up with a highest symbol.
+def _name(t: np.ndarray, seeds: np.ndarray, s: Store) -> tuple[np.ndarray, int]:
+    """Dense ranks of the substrings from each seed to the next, equal ones alike, and how many
+    there are. Substrings are compared by packed blocks of symbols; the place behind the text
+    is below every symbol. Where one substring begins another, the longer one falls where the
+    shorter one's last symbol begins a rise, so the shorter is the larger: it is filled up with
+    a highest symbol. Parts that outgrow a chunk are split in three around a key, on disk.
     """
-    bits = int(t.max() + 2).bit_length()
-    per = max(1, 63 // bits)
-    padded = np.concatenate([t.astype(np.int64) + 1, np.zeros(per, np.int64)])
-    rank = np.zeros(len(at), np.int64)
-    live, offset = np.arange(len(at)), 0
-    while len(live):
-        key = np.zeros(len(live), np.int64)
+    m, n = len(seeds), len(t)
+    bits = (max(int(t[a:b].max()) for a, b in s.chunks(n)) + 2).bit_length()
+    per, fill = max(1, 63 // bits), (1 << bits) - 1
+
+    def lengths(ids: np.ndarray) -> np.ndarray:
+        return np.where(ids + 1 < m, seeds[np.minimum(ids + 1, m - 1)], n) - seeds[ids] + 1
+
+    def keys(ids: np.ndarray, offset: int) -> np.ndarray:
+        at, length, key = seeds[ids].astype(np.int64) + offset, lengths(ids) - offset, np.zeros(len(ids), np.int64)
         for j in range(per):
-            inside = offset + j < length[live]
-            x = np.minimum(at[live] + offset + j, len(padded) - 1)
-            key = (key << bits) | np.where(inside, padded[x], (1 << bits) - 1)
-        order = np.lexsort((key, rank[live])) if offset else np.argsort(key, kind="stable")
-        r, v = rank[live][order], key[order]
-        new = np.r_[True, (r[1:] != r[:-1]) | (v[1:] != v[:-1])]
-        group = np.flatnonzero(new)
-        size = np.diff(np.r_[group, len(r)])
-        # a rank is the number of substrings below: the old one plus those before it in its old group
-        old = np.r_[True, r[1:] != r[:-1]]
-        old_at = np.maximum.accumulate(np.where(old, np.arange(len(r)), 0))
-        fresh = r + np.repeat(group, size) - old_at
-        rank[live[order]] = fresh
-        tied = np.repeat(size > 1, size)
-        live = live[order][tied & (length[live[order]] >= offset + per)]
-        offset += per
-    order = np.argsort(rank, kind="stable")
-    r = rank[order]
-    rank[order] = np.cumsum(np.r_[False, r[1:] != r[:-1]])
-    return rank
+            x = at + j
+            symbol = np.where(x < n, t[np.minimum(x, n - 1)].astype(np.int64) + 1, 0)
+            key = (key << bits) | np.where(j < length, symbol, fill)
+        return key
+
+    def ranks(ids: np.ndarray, offset: int) -> np.ndarray:
+        """In memory: block after block for those still tied."""
+        rank, live = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        first = True
+        while len(live):
+            key = keys(ids[live], offset)
+            order = np.argsort(key, kind="stable") if first else np.lexsort((key, rank[live]))
+            r, v = rank[live][order], key[order]
+            new = np.r_[True, (r[1:] != r[:-1]) | (v[1:] != v[:-1])]
+            group = np.flatnonzero(new)
+            size = np.diff(np.r_[group, len(r)])
+            # a rank is the number of substrings below: the old one plus those before it in its old group
+            old = np.r_[True, r[1:] != r[:-1]]
+            old_at = np.maximum.accumulate(np.where(old, np.arange(len(r)), 0))
+            rank[live[order]] = r + np.repeat(group, size) - old_at
+            tied = live[order][np.repeat(size > 1, size)]
+            offset += per
+            live = tied[lengths(ids[tied]) >= offset]
+            first = False
+        return np.unique(rank, return_inverse=True)[1]
+
+    names, done = s.new(m, np.int32), 0
+    every = s.new(m, np.int32)
+    for a, b in s.chunks(m):
+        every[a:b] = np.arange(a, b)
+    todo = [(every, 0)]
+    while todo:
+        ids, offset = todo.pop()
+        if offset is None:
+            for a, b in s.chunks(len(ids)):
+                names[ids[a:b]] = done
+            done += len(ids) > 0
+            continue
+        if len(ids) <= s.chunk:
+            if len(ids):
+                local = ranks(np.asarray(ids, np.int64), offset)
+                names[ids] = local + done
+                done += int(local.max()) + 1
+            continue
+        sample = keys(np.asarray(ids[:: max(1, len(ids) // 255)], np.int64), offset)
+        pivot = np.sort(sample)[len(sample) // 2]
+        side = s.new(len(ids), np.int8)
+        for a, b in s.chunks(len(ids)):
+            key = keys(np.asarray(ids[a:b], np.int64), offset)
+            side[a:b] = (key > pivot).astype(np.int8) - (key < pivot)
+        parts = []
+        for x in (1, 0, -1):
+            part, put = s.new(int(np.count_nonzero(side == x)), np.int32), 0
+            for a, b in s.chunks(len(ids)):
+                chosen = ids[a:b][side[a:b] == x]
+                part[put : put + len(chosen)] = chosen
+                put += len(chosen)
+            parts.append(part)
+        more, equal, less = parts
+        # whatever ended inside the block is all the same
+        todo += [(more, offset), (equal, None if int(pivot) & fill == fill else offset + per), (less, offset)]
+    return names, done
 
 
 def _firsts(sorted_keys: np.ndarray) -> np.ndarray:
@@ -218,12 +319,12 @@ def _firsts(sorted_keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _induce(sa: np.ndarray, q: np.ndarray, t: np.ndarray, wanted: np.ndarray, heads: np.ndarray, cap: int, end: int | None) -> None:
+def _induce(sa: np.ndarray, q: np.ndarray, t: np.ndarray, small: np.ndarray, want: bool, heads: np.ndarray, cap: int, end: int | None, s: Store) -> None:
     """One pass. ``sa`` and ``q`` are the queue's slots in popping order; a popped suffix
-    pushes the one before it, if wanted, to the head of that one's bucket."""
+    pushes the one before it, if that is wanted (small or not), to the head of its bucket."""
     n, k = len(sa), len(heads)
     key_type = np.uint16 if k <= 1 << 16 else np.int32  # short keys are sorted by radix
-    last_batch, last_min = np.full(k, -2), np.full(k, cap, np.int16)
+    last_batch, last_min = s.new(k, np.int64, -2), s.new(k, np.int16, cap)
     if end is not None:  # the empty suffix comes first and pushes the last one
         sa[heads[t[end]]] = end
         heads[t[end]] += 1
@@ -236,7 +337,7 @@ def _induce(sa: np.ndarray, q: np.ndarray, t: np.ndarray, wanted: np.ndarray, he
         pre = sa[i:e]
         src = np.flatnonzero(pre > 0)
         pre = pre[src] - 1
-        ok = wanted[pre]
+        ok = small[pre] == want
         src, pre = src[ok], pre[ok]
         a = np.asarray(q[i:e])
         if len(src):

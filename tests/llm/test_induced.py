@@ -17,7 +17,7 @@ def brute(t, cap):
     return sa, lcp
 
 
-@pytest.mark.parametrize("limit,base", [(1 << 30, 1 << 20), (16, 40), (16, 0)])
+@pytest.mark.parametrize("limit,base", [(1 << 30, 1 << 20), (1 << 30, 0), (64, 40), (64, 0), (1200, 30)])
 def test_like_brute_force(limit, base, monkeypatch):
     monkeypatch.setattr(induced, "BASE", base)
     rng = np.random.default_rng(4)
