@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 WS = r"[\x20\x09-\x0D]+"
 
@@ -42,6 +42,9 @@ class Policy:
 
 BASE = Policy("base", 1, ("few_words", "repeated_windows"))
 CORPUS = Policy("corpus", 1, ("few_words", "repeated_windows", "symbols", "shouting", "stutter", "repeated_lines"))
+#: Headings and acronyms in capitals stay.
+CORPUS_2 = Policy("corpus", 2, ("few_words", "repeated_windows", "symbols", "stutter", "repeated_lines"))
+POLICIES = (CORPUS, CORPUS_2)
 
 
 def measure(docs: DataFrame, head: Column | str = "doc_id", text_col: str = "text", window: int = 8) -> DataFrame:
@@ -185,5 +188,29 @@ WITH d AS (
 SELECT *, (rule_bits & 3) <> 0 AS base_failed, rule_bits = 0 AS kept FROM b
 """
 
-QUERIES = {"op4_quality_rules": op4_quality_rules}
-ORACLES = {"op4_quality_rules": ORACLE_SQL}
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every policy's ablation, and what its version keeps, from one stored ledger."""
+    stored = materialize(ledger(table(spark, sf_dir, "documents")).select("doc_id", "rule_bits"))
+    out = None
+    for p in POLICIES:
+        kept = stored.agg(F.count_if(~failed(p))).first()[0]
+        part = ablation(stored, p).select(F.lit(p.name).alias("policy"), F.lit(p.version).alias("version"), "rule", "n_failed", "n_only", F.lit(kept).cast("long").alias("n_kept"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _ablation_sql() -> str:
+    parts = []
+    for p in POLICIES:
+        for r in p.rules:
+            parts.append(
+                f"SELECT '{p.name}' AS policy, {p.version}::INT AS version, '{r}' AS rule, count(*) FILTER ((rule_bits & {1 << BITS[r]}) <> 0)::BIGINT AS n_failed, "
+                f"count(*) FILTER ((rule_bits & {p.mask}) = {1 << BITS[r]})::BIGINT AS n_only, count(*) FILTER ((rule_bits & {p.mask}) = 0)::BIGINT AS n_kept FROM ledger"
+            )
+    return f"WITH ledger AS ({ORACLE_SQL})" + " UNION ALL ".join(parts)
+
+
+QUERIES = {"op4_quality_rules": op4_quality_rules, "quality_ablation": quality_ablation}
+ORACLES = {"op4_quality_rules": ORACLE_SQL, "quality_ablation": _ablation_sql()}
