@@ -7,8 +7,8 @@ statistics (expected chance segments E = K n exp(-lambda s)), the segments of a
 joined by their normalized scores, and a two-parameter logistic map turns that into 0 to 1.
 
 The fit reads a bounded sample of labelled rows (``FIT_ROWS``, smallest hashes of doc_id);
-scoring reads every whole text. What travels to the tasks is the lexicon, at most
-``LEXICON`` entries.
+scoring reads every whole text. What travels to the tasks is the lexicon: the features of the
+sample that pass the tests of significance.
 
 Defined cases: a null or empty text, or one without letters, has no segments and scores as
 such; rows with a null id are scored and never fitted on; several labels of a document count
@@ -31,10 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table
+from .common import map_batches, materialize, table
 
-#: Bounds: labelled rows that are fitted on, lexicon entries.
-FIT_ROWS, LEXICON = 20_000, 4_000
+#: Bound: labelled rows that are fitted on. It bounds the lexicon, too.
+FIT_ROWS = 20_000
 #: Toxic documents that must hold a feature; z-score and log-odds that it needs; the priors'
 #: weights, in tokens and as a share of the documents. A word comes in bursts, so z is of documents.
 MIN_TOXIC_DOCS, MIN_Z, MIN_LOG_ODDS, PRIOR_TOKENS, PRIOR_SHARE = 5, 3.5, 2.0, 2_000.0, 0.125
@@ -130,7 +130,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     """(text, toxic) of the bounded sample of labelled rows that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", F.struct(F.xxhash64("doc_id"), "doc_id", F.md5("text")).alias("at"))
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         """The smallest hash of five tokens: copies and most near copies share it, and count once."""
@@ -138,13 +138,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
         for text in batch.column(0).to_pylist():
             t = tokens(text)
             marks.append(min(xxhash.xxh3_64_intdigest(" ".join(t[i : i + 5])) >> 1 for i in range(max(1, len(t) - 4))))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], names=["text", "toxic", "mark"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], names=["text", "toxic", "at", "mark"])
 
-    return map_batches(rows, sign, "text string, toxic int, mark long").dropDuplicates(["mark", "toxic"]).select("text", "toxic")
+    signed = map_batches(rows, sign, f"text string, toxic int, at {rows.schema['at'].dataType.simpleString()}, mark long")
+    return signed.groupBy("mark", "toxic").agg(F.min_by("text", "at").alias("text")).select("text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon: int = LEXICON) -> Model:
-    rows = training_rows(docs, labels, fit_rows)
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    rows = materialize(training_rows(docs, labels, fit_rows))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Occurrences and toxic documents of each feature, summed over a batch."""
@@ -167,34 +168,28 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon: i
 
     counts = rows.mapInArrow(count, "feature string, clean long, toxic long, clean_docs long, docs long").groupBy("feature")
     counts = counts.agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "clean_docs", "docs")))
-    counts = counts.where((F.col("docs") >= MIN_TOXIC_DOCS) | (F.col("feature") == ""))
-    # only features leaning to the toxic side can pass; the totals come with them
-    ranked = counts.withColumn("lean", F.when(F.col("feature") == "", F.lit(float("inf"))).otherwise(F.col("docs") / (F.col("clean_docs") + F.lit(1.0)) * F.sqrt("docs")))
-    found = ranked.orderBy(F.desc("lean"), "feature").limit(lexicon + 1).collect()  # bounded by the lexicon's size
-    totals = next((r for r in found if r.feature == ""), None)
+    counts = materialize(counts.where((F.col("docs") >= MIN_TOXIC_DOCS) | (F.col("feature") == "")))
+    totals = counts.where("feature = ''").first()
     if totals is None or not totals.toxic or not totals.clean:
         share = rows.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0
         return Model({}, -1.0, 0.0, 1.0, math.log(share / (1 - share)) if 0 < share < 1 else (40.0 if share else -800.0), 0.0)
     nt, nc, dt, dc = (float(x) for x in (totals.toxic, totals.clean, totals.docs, totals.clean_docs))
 
-    def log_odds(a: float, b: float, na: float, nb: float, strength: float) -> tuple[float, float]:
+    def log_odds(a: str, b: str, na: float, nb: float, strength: float) -> tuple[F.Column, F.Column]:
         """Difference of log-odds under a prior in proportion to the pooled counts, and its z."""
-        prior = strength * (a + b) / (na + nb)
-        x, y = (math.log((k + prior) / max(0.5, n + strength - k - prior)) for k, n in ((a, na), (b, nb)))
-        return x - y, (x - y) / math.sqrt(1 / (a + prior) + 1 / (b + prior))
-
-    weights, chance = {}, 0.0
-    for r in found:
-        if not r.feature:
-            continue
-        delta, _ = log_odds(r.toxic, r.clean, nt, nc, PRIOR_TOKENS)
-        _, z = log_odds(r.docs, r.clean_docs, dt, dc, PRIOR_SHARE * (dt + dc))
-        if delta >= MIN_LOG_ODDS and z >= MIN_Z:
-            weights[r.feature] = delta
-            chance += r.clean
+        k, m = F.col(a).cast("double"), F.col(b).cast("double")
+        prior = (k + m) * (strength / (na + nb))
+        x, y = (F.log((c + prior) / F.greatest(F.lit(0.5), n + strength - c - prior)) for c, n in ((k, F.lit(na)), (m, F.lit(nb))))
+        return x - y, (x - y) / F.sqrt(1 / (k + prior) + 1 / (m + prior))
+
+    delta, z = log_odds("toxic", "clean", nt, nc, PRIOR_TOKENS)[0], log_odds("docs", "clean_docs", dt, dc, PRIOR_SHARE * (dt + dc))[1]
+    passing = counts.where("feature <> ''").select("feature", "toxic", "clean", delta.alias("delta"), z.alias("z")).where((F.col("delta") >= MIN_LOG_ODDS) & (F.col("z") >= MIN_Z))
+    found = passing.orderBy("feature").collect()  # features of the bounded sample
+    weights = {r.feature: r.delta for r in found}
+    chance = sum(r.clean for r in found)
     rate_c = (chance + 0.5) / (nc + 1)
     # drift: log-odds of a token outside the lexicon
-    toxic_hits = sum(r.toxic for r in found if r.feature in weights and not r.feature.endswith("-")) + 0.5
+    toxic_hits = sum(r.toxic for r in found if not r.feature.endswith("-")) + 0.5
     drift = min(-1e-4, math.log((1 - min(0.9, toxic_hits / nt)) / (1 - rate_c)))
     lam = _lambda(rate_c, float(np.mean(list(weights.values()))) if weights else 1.0, drift)
     log_k = math.log(rate_c) + lam * (min(weights.values()) if weights else 0.0)
