@@ -100,14 +100,14 @@ def decode_record(member: bytes) -> dict:
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Writes a record per row (page_id, url, html) and returns the index, durably kept.
 
-    The first page of each payload is a small aggregate by digest; the pages meet it in
-    one join by digest, which spreads a hot payload's rows over tasks when Spark splits it.
+    The first page of each payload is an aggregate by digest, and pages and digests alone meet
+    it; payloads meet the result by page and digest, so a hot payload is no hot key.
     """
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
     first = keyed.where(F.octet_length("html") >= min_bytes).groupBy(F.col("sha").alias("first_sha")).agg(F.min("page_id").alias("first_id"))
-    told = keyed.join(first, F.col("sha") == F.col("first_sha"), "left").select(
-        "page_id", "url", "html", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to")
-    )
+    keys = pages.select("page_id", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("sha"))
+    later = keys.join(first, F.col("sha") == F.col("first_sha")).where(F.col("page_id") != F.col("first_id")).select("page_id", "sha", "first_id").distinct()
+    told = keyed.join(later, ["page_id", "sha"], "left").select("page_id", "url", "html", F.col("first_id").alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -137,8 +137,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """Parses the selected records (any subset of an index) back out of the archives."""
-    placed = index.select("archive", "offset", "length").withColumn("slab", F.floor(F.col("offset") / (16 * RANGE_BYTES)))
-    sorted_ = placed.repartition("archive", "slab").sortWithinPartitions("archive", "offset")
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    placed = index.select("archive", "offset", "length").withColumn("slab", F.floor(F.col("offset") / RANGE_BYTES))
+    sorted_ = placed.repartition(max(1, -(-size // RANGE_BYTES)), "archive", "slab").sortWithinPartitions("archive", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
