@@ -3,9 +3,10 @@
 Tokenizing is one pass over the texts; only piece lengths and checksums travel on. Pieces
 are dealt evenly into groups of bounded size, each group is packed best fit decreasing and
 then improved by local search (moves, one-for-one and two-for-one exchanges that raise the
-sum of squared fills) until bins empty. Bins that stay loose are packed again together with
-those of other groups, 64 groups into one, until one group is left; so the waste does not
-grow with the number of groups.
+sum of squared fills) until bins empty. The pieces of bins that stay loose are dealt anew into
+as many groups of that size as they fill and packed again, as long as that saves more than
+one bin in two hundred; so the waste does not grow with the number of groups, and no task
+gets more than a group.
 
 Defined cases: a null or empty text is one piece, the end id alone; texts of any length are
 cut into full pieces, the first taking the remainder; ties and repeated rows are packed each
@@ -15,6 +16,7 @@ on their own; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,6 +33,8 @@ CAPACITY = 2048
 GROUP_PIECES = 4096
 #: A bin below this share is packed again with other groups' loose bins.
 LOOSE = 0.985
+#: Packing loose bins again ends where it saves a smaller share of them.
+LEAST_SAVED = 0.005
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
 PLACED = PIECES + ", bin long, offset long, fill long"
 
@@ -101,54 +105,74 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 200) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Drains the emptiest bins into fuller underfull ones.
 
     A step moves a piece, or exchanges one or two pieces of the emptiest bin for one of
     another, where the other has room for the difference; each step moves length from an
-    emptier bin to a fuller one, so the sum of squared fills rises and the search ends.
+    emptier bin to a fuller one, so the sum of squared fills rises and the search ends. A bin
+    that no other can take from is left as it is; the search goes on with the next.
     """
     size = lengths.tolist()
-    fill = [sum(size[i] for i in b) for b in bins]
-    order = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
-    for _ in range(rounds):
-        order = [b for b in order if bins[b] and fill[b] < capacity]
-        if len(order) < 2:
-            break
-        order.sort(key=lambda b: fill[b])
-        src, progress = order[0], False
-        for dst in reversed(order[1:]):
-            while bins[src] and (step := _step(bins[src], bins[dst], size, capacity - fill[dst], fill[dst] - fill[src])):
-                give, take = step
-                for i in give:
-                    bins[src].remove(i)
-                for i in take:
-                    bins[dst].remove(i)
-                bins[src] += take
-                bins[dst] += give
-                delta = sum(size[i] for i in give) - sum(size[i] for i in take)
-                fill[src] -= delta
-                fill[dst] += delta
-                progress = True
-            if not bins[src]:
+    fill = np.array([sum(size[i] for i in b) for b in bins], np.int64)
+    least = np.array([min(size[i] for i in b) for b in bins], np.int64)
+    order = np.flatnonzero(fill < capacity)
+    order = order[np.argsort(fill[order], kind="stable")]
+    while len(order) > 1:
+        src, order = int(order[0]), order[1:]
+        left = order  # bins still to visit, the fullest last
+        while bins[src] and len(left) and (capacity - fill[order]).sum() >= fill[src]:
+            # only these can take a piece, or give one back that is smaller than what they get
+            ours = sorted(size[i] for i in bins[src])
+            able = np.flatnonzero((capacity - fill[left] >= ours[0]) | (least[left] < sum(ours[-2:])))
+            step = None
+            for at in able[::-1].tolist():
+                dst = int(left[at])
+                if step := _step(bins[src], bins[dst], size, int(capacity - fill[dst]), int(fill[dst] - fill[src])):
+                    break
+            if step is None:
                 break
-        if not progress:
-            order = order[1:]
+            left = left[: at + 1]
+            give, take = step
+            for i in give:
+                bins[src].remove(i)
+            for i in take:
+                bins[dst].remove(i)
+            bins[src] += take
+            bins[dst] += give
+            delta = sum(size[i] for i in give) - sum(size[i] for i in take)
+            fill[src] -= delta
+            fill[dst] += delta
+            least[dst] = min(size[i] for i in bins[dst])
+        order = order[fill[order] < capacity]
+        order = order[np.argsort(fill[order], kind="stable")]
     return [b for b in bins if b]
 
 
 def _step(src: list[int], dst: list[int], size: list[int], room: int, ahead: int) -> tuple[list[int], list[int]] | None:
-    """The exchange that fills dst most: (indexes given, indexes taken back)."""
-    best, found = 0, None
-    gives = [[i] for i in src] + [list(x) for x in combinations(src[:24], 2)]
-    for give in gives:
-        g = sum(size[i] for i in give)
-        if g <= room and g > best and g + ahead > 0:
-            best, found = g, (give, [])
-        for j in dst[:24]:
-            if best < (gain := g - size[j]) <= room and gain + ahead > 0:
-                best, found = gain, (give, [j])
-    return found
+    """The exchange that fills dst most: (pieces given, pieces taken back). Of pieces of one
+    length one stands for all, so a bin has few choices whatever it holds."""
+    if room <= 0:
+        return None
+    ours: dict[int, list[int]] = {}
+    for i in src:
+        ours.setdefault(size[i], []).append(i)
+    theirs = {size[j]: j for j in dst}
+    back = sorted(theirs)
+    gives = [(n, 0) for n in ours] + [(m, n) for m, n in combinations(ours, 2)] + [(n, n) for n, x in ours.items() if len(x) > 1]
+    best, found = max(0, -ahead), None
+    for m, n in gives:
+        g = m + n
+        if best < g <= room:
+            best, found = g, (m, n, 0)
+        at = bisect_left(back, g - room)  # the smallest that makes room
+        if g > room and at < len(back) and best < g - back[at]:
+            best, found = g - back[at], (m, n, back[at])
+    if found is None:
+        return None
+    m, n, taken = found
+    give = [ours[m][0]] + ([ours[n][1 if n == m else 0]] if n else [])
+    return give, [theirs[taken]] if taken else []
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,25 +195,30 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["length", "deal"], ascending=[False, True], kind="stable").reset_index(drop=True)
             number, offset, fill = pack_lengths(pdf["length"].to_numpy(), capacity)
-            base = (level << 56) + (int(pdf["grp"].iloc[0]) << 20)
+            base = (level << 56) + int(pdf["grp"].iloc[0]) * (4 * group_pieces + 1024)
             return pdf.drop(columns="grp").assign(bin=base + number, offset=offset, fill=fill)
 
         return one
 
-    n = pieces.count()
-    groups = max(1, -(-n // group_pieces))
-    todo = pieces.withColumn("grp", F.pmod(F.xxhash64("deal"), F.lit(groups)))
-    settled, level = None, 0
+    deal = lambda rows, level, n: rows.withColumn("grp", F.pmod(F.xxhash64("deal", F.lit(level)), F.lit(max(1, -(-n // group_pieces)))))
+    n, level, settled, before = pieces.count(), 0, [], None
+    todo = deal(pieces, 0, n)
     while True:
-        packed = todo.groupBy("grp").applyInPandas(packer(level), PLACED)
-        if groups == 1:
-            return (settled.unionByName(packed) if settled is not None else packed).drop("fill", "deal").withColumnRenamed("bin", "sequence_id")
-        packed = materialize(packed)
-        tight = packed.where(F.col("fill") >= int(LOOSE * capacity))
-        settled = tight if settled is None else settled.unionByName(tight)
-        groups = -(-groups // 64)
-        todo = packed.where(F.col("fill") < int(LOOSE * capacity)).drop("bin", "offset", "fill").withColumn("grp", F.pmod(F.xxhash64("deal"), F.lit(groups)))
-        level += 1
+        packed = materialize(todo.groupBy("grp").applyInPandas(packer(level), PLACED))
+        loose = F.col("fill") < int(LOOSE * capacity)
+        seen = packed.agg(F.count_if(loose).alias("n"), F.count_distinct("bin").alias("bins")).first()
+        saved = 1.0 if before is None else (before - seen.bins) / max(1, before)
+        if seen.n == 0 or n <= group_pieces or saved < LEAST_SAVED:
+            parts = [*settled, packed]
+            done = parts[0]
+            for p in parts[1:]:
+                done = done.unionByName(p)
+            return done.drop("fill", "deal").withColumnRenamed("bin", "sequence_id")
+        settled.append(packed.where(~loose))
+        again = packed.where(loose)
+        before = again.agg(F.count_distinct("bin").alias("bins")).first().bins
+        n, level = seen.n, level + 1
+        todo = deal(again.drop("bin", "offset", "fill"), level, n)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
