@@ -3,8 +3,8 @@
 Both models are interpolated bigram models of the same form over the same words: the target
 is counted on documents that are labelled good, the background on all documents. The
 vocabulary is every word of the corpus, so the tables of words and of (previous, word)
-bigrams grow with it. Words and bigrams go by 64-bit hashes, 0.1 colliding pairs expected
-among two billion bigrams.
+bigrams grow with it. Words and hot bigrams go by 64-bit hashes, 0.1 colliding pairs expected
+among two billion; the predecessors of one word by 48 bits, 0.002 among a million.
 
 Tasks sum each document's bigrams and deal them, packed in chunks of documents, to buckets
 by the second word; a bucket so sees a word's whole counts, as word, as predecessor and in
@@ -45,6 +45,7 @@ MU, ALPHA = 8.0, 0.5
 FLUSH_WORDS = 300_000
 #: Tokens of a chunk of documents, and bigrams of a bucket on average.
 CHUNK, BUCKET_ROWS = 1_000_000, 2_000_000
+CHUNK_DOCS = 65_535
 #: A word or bigram is hot above one part in HOT_SHARE of the tokens, or HOT_ROWS.
 HOT_SHARE, HOT_ROWS = 2000, 1_000_000
 START = np.uint64(xxhash.xxh64_intdigest(b" "))
@@ -117,7 +118,7 @@ def chunks(batches: Iterator[pa.RecordBatch], known: list[str] | None, most: int
             goods.append(good)
             tokens.append(np.array([hashes[w] for w in ws], np.uint64))
             held += len(ws) + 1
-            if held >= most:
+            if held >= most or len(ids) >= CHUNK_DOCS:
                 yield Chunk(ids, goods, tokens)
                 ids, goods, tokens, held = [], [], [], 0
     if ids:
@@ -221,7 +222,8 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame, vocabulary_size:
                 for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                     runs = np.flatnonzero(np.r_[True, b[x + 1 : y] != b[x : y - 1]])
                     flags = ended[x:y] | (c.good[row[x:y]].astype(np.uint8) << 1)
-                    parts = (np.array([y - x, len(runs)], np.int64), b[x:y][runs], ab[x:y], np.diff(np.r_[runs, y - x]).astype(np.uint32), row[x:y], n[x:y], flags)
+                    head = np.array([y - x, len(runs)], np.int64)
+                    parts = (head, b[x:y][runs], ab[x:y].astype(np.uint32), (ab[x:y] >> np.uint64(32)).astype(np.uint16), np.diff(np.r_[runs, y - x]).astype(np.uint32), row[x:y].astype(np.uint16), n[x:y], flags)
                     out.append((int(bucket[x]), 1, b"".join(p.tobytes() for p in parts)))
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays(
@@ -231,11 +233,13 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame, vocabulary_size:
     def unpack(data: bytes) -> tuple[np.ndarray, ...]:
         m, r = np.frombuffer(data, np.int64, 2).tolist()
         at, got = 16, []
-        for kind, k in ((np.uint64, r), (np.uint64, m), (np.uint32, r), (np.uint32, m), (np.uint32, m), (np.uint8, m)):
+        for kind, k in ((np.uint64, r), (np.uint32, m), (np.uint16, m), (np.uint32, r), (np.uint16, m), (np.uint32, m), (np.uint8, m)):
             got.append(np.frombuffer(data, kind, k, at))
             at += got[-1].nbytes
-        b, ab, runs, row, n, flags = got
-        return np.repeat(b, runs), ab, row, n, flags
+        b, low, high, runs, row, n, flags = got
+        b = np.repeat(b, runs)
+        # 48 bits of the bigram's hash tell a word's predecessors apart
+        return b, (low | high.astype(np.uint64) << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) + b, row, n, flags
 
     def lose(held: list[tuple[int, bytes]]) -> tuple[list[int], list[bytes]]:
         """Losses of a whole bucket, summed by document of each chunk."""
@@ -297,9 +301,9 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame, vocabulary_size:
                     n = np.frombuffer(data[9 * m : 17 * m], np.int64)
                     sums = np.frombuffer(data[17 * m :], np.float64).reshape(2, m).copy()
                 else:
-                    m = len(data) // 20
-                    row = np.frombuffer(data, np.uint32, m)
-                    sums[:, row] += np.frombuffer(data[4 * m :], np.float64).reshape(2, m)
+                    m = len(data) // 18
+                    row = np.frombuffer(data, np.uint16, m)
+                    sums[:, row] += np.frombuffer(data[2 * m :], np.float64).reshape(2, m)
         if ids is not None:
             yield result(ids, n, sums)
 
