@@ -25,7 +25,7 @@ import numpy as np
 #: Arrays larger than this lie in files of the task's own spill folder.
 MEMORY_BYTES = 512 << 10
 #: A recursion of this many names ends in prefix doubling.
-BASE = 1 << 13
+BASE = 1 << 18
 
 
 class Store:
