@@ -6,10 +6,12 @@ minimum and that differ in at most ``MAX_BITS`` bits under one seed. A candidate
 sets of five-word shingles have a Jaccard similarity of 0.8 or more. Links join rows into
 groups.
 
-Equal texts are one class from the start. A class is first compared with its nearest
-candidate, then, list by list, with its ``k`` nearest of other groups, ``k`` growing until no
-list is cut short. Pairs inside one group are not compared any more, all others are; so a
-group of thousands costs about one comparison a member, and no link is lost.
+Equal texts are one class from the start. Candidates of all lists make components; inside one,
+the members' shingle sets meet, in blocks of ``MEMBERS``, each meeting a task of its own. A
+meeting compares the candidates of fewest differing bits first and leaves out those that its
+links already join, so a group of thousands around one text costs little more than a
+comparison a member, no link is lost, and what is returned grows with the members, not with
+their pairs.
 
 Defined cases: a null or empty text has the empty set of words and shingles and is alike to
 its equals only; a text with fewer words than a shingle is one shingle; of each group the
@@ -29,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import discard, materialize
+from .common import materialize
 from .components import connected_components
 
 #: Seeds of the fingerprints, bits that may differ under one of them.
 SEEDS, MAX_BITS = (42, 43), 5
 SHINGLE, SIMILARITY = 5, 0.8
-#: How many nearest candidates of a list a round takes; the last is never short of a list's.
-ROUNDS = (16, 256)
+#: Members of a component that one task compares with as many others.
+MEMBERS = 512
 
 
 def fingerprints_of(text: str | None, seeds: tuple[int, ...] = SEEDS) -> list[int]:
@@ -55,126 +57,86 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array(hashes, np.uint64).view(np.int64))
 
 
-def nearest(nodes: DataFrame, n: int, max_bits: int, k: int) -> DataFrame:
-    """(a, b, bits, more): for each node its ``k`` nearest candidates of other groups in each
-    posting list, and whether that list has more. Nodes are (node, fps, comp)."""
-    posted = simhash.postings(nodes, n, max_bits)
-    sizes = posted.groupBy("k", "v").agg(F.count("*").alias("n"), F.min("comp").alias("one"), F.max("comp").alias("two")).where("one <> two").select("k", "v", "n")
-    met = simhash.meetings(posted, sizes)
-    least = simhash.BYTES - max_bits
-
-    def rank(i: np.ndarray, j: np.ndarray, bits: np.ndarray, node: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.lexsort((others[j], bits, i))
-        i, j, bits = i[order], j[order], bits[order]
-        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[first, len(i)])
-        keep = np.arange(len(i)) - np.repeat(first, size) < k
-        return node[i[keep]], others[j[keep]], bits[keep], np.repeat(size > k, size)[keep]
-
-    def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        diff = a ^ b
-        bits = np.bitwise_count(diff)
-        tally = (diff.view(np.uint8).reshape(-1, simhash.BYTES) == 0).sum(axis=1)
-        return (tally >= least) & (bits <= max_bits), bits
-
-    def against(fp, node, comp, fp2, node2, comp2) -> Iterator[tuple[np.ndarray, ...]]:
-        """Every row of the first block against the second, in strips of bounded size."""
-        step = max(1, (1 << 20) // max(1, len(fp2)))
-        for at in range(0, len(fp), step):
-            i, j = simhash.agreeing(fp[at : at + step], fp2, least)
-            bits = np.bitwise_count(fp[at + i] ^ fp2[j])
-            ok = (bits <= max_bits) & (comp[at + i] != comp2[j])
-            yield rank(i[ok], j[ok], bits[ok], node[at : at + step], node2)
-
-    def short(fp, node, comp, start, size) -> tuple[np.ndarray, ...]:
-        """Many short lists at once: pairs at distance 1, 2, ... inside their lists."""
-        left = np.repeat(start + size, size) - np.arange(len(fp)) - 1
-        found = []
-        for d in range(1, int(size.max())):
-            i = np.flatnonzero(left >= d)
-            i = i[comp[i] != comp[i + d]]
-            ok, bits = near(fp[i], fp[i + d])
-            found.append((i[ok], i[ok] + d, bits[ok]))
-        i, j, bits = (np.concatenate(x) for x in zip(*found, strict=True))
-        return rank(np.r_[i, j], np.r_[j, i], np.r_[bits, bits], node, node)
-
-    def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        a, b, bits, more = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bits.astype(np.int32)), pa.array(more)], names=["a", "b", "bits", "more"])
-
-    def lists(fp, node, comp, own, lo, hi, at) -> Iterator[pa.RecordBatch]:
-        size = np.diff(np.r_[at, len(fp)])
-        many = size > simhash.SHORT
-        for a, n in zip(at[many].tolist(), size[many].tolist(), strict=True):
-            rows = (fp[a : a + n], node[a : a + n], comp[a : a + n])
-            if lo[a] == hi[a]:
-                halves = [(rows, rows)]
-            else:
-                one = own[a : a + n] == lo[a]
-                x, y = tuple(r[one] for r in rows), tuple(r[~one] for r in rows)
-                halves = [(x, y), (y, x)]
-            for x, y in halves:
-                for part in against(*x, *y):
-                    if len(part[0]):
-                        yield out([part])
-        few = ~many & (size > 1)
-        if few.any():
-            rows = np.repeat(few, size)
-            n = size[few]
-            part = short(fp[rows], node[rows], comp[rows], np.cumsum(n) - n, n)
-            if len(part[0]):
-                yield out([part])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (fp, _, _, own, lo, hi, node, comp), at in simhash.whole_lists(batches, ("fp", "k", "v", "own", "lo", "hi", "node", "comp")):
-            yield from lists(fp.view(np.uint64), node, comp, own, lo, hi, at)
-
-    return met.mapInArrow(run, "a long, b long, bits int, more boolean")
-
-
-def groups(nodes: DataFrame, texts: DataFrame, max_bits: int = MAX_BITS, similarity: float = SIMILARITY) -> DataFrame | None:
-    """(node, component) of the nodes that link to another; None where none does. Nodes are
-    (node, fps), texts (node, text), both materialized."""
-    start = nodes.withColumn("comp", F.col("node"))
-    n = nodes.count()
-    raw = materialize(nearest(start, n, max_bits, 1))
-    active = materialize(raw.select(F.col("a").alias("node")).distinct())
-    best = raw.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    pairs = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    discard(raw)
+def alike(x: np.ndarray, y: np.ndarray, per_mille: int) -> bool:
+    low, high = sorted((len(x), len(y)))
+    if not low or 1000 * low < per_mille * high:
+        return False
+    both = np.sort(np.concatenate([x, y]))
+    same = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 1000 * same >= per_mille * (low + high - same)
+
+
+def meeting_links(fps: np.ndarray, sets: list[np.ndarray], one: np.ndarray, max_bits: int, per_mille: int) -> list[tuple[int, int]]:
+    """Links that join all alike candidates of a meeting: of the rows in ``one`` with all
+    others, or, where all are in it, among themselves."""
+    first = np.flatnonzero(one)
+    if not len(first):  # a block without members
+        return []
+    second = first if one.all() else np.flatnonzero(~one)
+    found = []
+    for i in first.tolist():
+        js = second[second > i] if one.all() else second
+        bits = np.bitwise_count(fps[i] ^ fps[js]).min(axis=1)
+        ok = bits <= max_bits
+        found.append((bits[ok], np.full(int(ok.sum()), i), js[ok]))
+    bits, ii, jj = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(bits, kind="stable")
+    parent = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+    for i, j in zip(ii[order].tolist(), jj[order].tolist(), strict=True):
+        a, b = root(i), root(j)
+        if a != b and alike(sets[i], sets[j], per_mille):
+            parent[max(a, b)] = min(a, b)
+            links.append((i, j))
+    return links
+
+
+def groups(nodes: DataFrame, texts: DataFrame, max_bits: int = MAX_BITS, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) of the nodes that link to another. Nodes are (node, fps), texts (node,
+    text), both materialized."""
+    candidates = connected_components(simhash.link_edges(nodes, nodes.count(), max_bits))
+    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
 
     @F.pandas_udf("array<long>")
     def set_of(ts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t) for t in ts])
 
-    sets = materialize(texts.join(active, "node").select("node", set_of("text").alias("s")))
+    placed = candidates.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = materialize(texts.join(placed, "node").join(nodes, "node").select("component", "blocks", "own", "node", "fps", set_of("text").alias("s")))
+    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "fps", "s")
+    dealt = met.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
     per_mille = round(1000 * similarity)
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        one, two = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
-        both = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("n"))
-        return both.where(1000 * F.col("i") >= per_mille * (F.col("n") - F.col("i"))).select("a", "b")
-
-    edges = materialize(linked(pairs))
-    labels = connected_components(edges)
-    tested = pairs
-    for k in (*ROUNDS, simhash.BLOCK):
-        now = nodes.join(active, "node").join(labels, "node", "left").select("node", "fps", F.coalesce("component", "node").alias("comp"))
-        raw = materialize(nearest(now, n, max_bits, k))
-        fresh = raw.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = materialize(fresh)
-        cut_short = raw.where("more").limit(1).count() > 0
-        if fresh.isEmpty() and not cut_short:
-            break
-        found = materialize(linked(fresh))
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            labels = connected_components(edges)
-        if not cut_short:  # all candidates of other groups have been compared
-            break
-        tested = tested.unionByName(fresh)
-        discard(raw)
-    return labels
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        last = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            for at, key in enumerate(keys):
+                if key != last and held:
+                    yield links(held, last)
+                    held = []
+                last = key
+                fps, s = (np.array(batch.column(c)[at].values) for c in (5, 6))
+                held.append((batch.column(3)[at].as_py(), batch.column(4)[at].as_py(), fps, s))
+        if held:
+            yield links(held, last)
+
+    def links(held: list[tuple], key: tuple[int, int, int]) -> pa.RecordBatch:
+        own, node = np.array([h[0] for h in held]), np.array([h[1] for h in held], np.int64)
+        pairs = meeting_links(np.stack([h[2] for h in held]).view(np.uint64), [h[3] for h in held], own == key[1], max_bits, per_mille)
+        at = np.array(pairs, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], names=["a", "b"])
+
+    return connected_components(dealt.mapInArrow(run, "a long, b long"))
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, similarity: float = SIMILARITY) -> DataFrame:

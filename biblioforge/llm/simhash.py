@@ -161,24 +161,25 @@ def whole_lists(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> It
         yield held, np.zeros(1, np.int64)
 
 
-def link_edges(distinct_fps: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints, enough to connect all that link."""
-    posted = postings(distinct_fps.select(F.array("fp").alias("fps")), n, max_bits)
+def link_edges(nodes: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataFrame:
+    """Edges (a, b) enough to connect all nodes that link, by one of their fingerprints at least.
+    Nodes are (node, fps), or distinct fingerprints (fp), which then name themselves."""
+    named = "node" in nodes.columns
+    posted = postings(nodes if named else nodes.select(F.array("fp").alias("fps")), n, max_bits)
     sizes = posted.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
 
-    def long_list(fp: np.ndarray, first: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
+    def long_list(fp: np.ndarray, ids: np.ndarray, first: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
         """Edges of one meeting of two blocks, or of a block with itself."""
-        one = fp[first == lo]
-        two = one if lo == hi else fp[first != lo]
-        i, j = _linked(one, two, max_bits)
+        side = first == lo
+        one = fp[side]
+        i, j = _linked(one, one if lo == hi else fp[~side], max_bits)
         if lo == hi:
-            i, j, all_ = i[i < j], j[i < j], one
+            i, j = i[i < j], j[i < j]
         else:
-            j, all_ = j + len(one), np.concatenate([one, two])
-        ids = all_.view(np.int64)
+            j, ids = j + len(one), np.concatenate([ids[side], ids[~side]])
         return [(int(ids[x]), int(ids[y])) for x, y in forest(len(ids), i, j)]
 
-    def short_lists(fp: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+    def short_lists(fp: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
         """Edges of many lists at once: pairs at distance 1, 2, ... inside their lists."""
         left = np.repeat(start + size, size) - np.arange(len(fp)) - 1  # rows of the list after each
         ii, jj = [], []
@@ -191,25 +192,24 @@ def link_edges(distinct_fps: DataFrame, n: int, max_bits: int = MAX_BITS) -> Dat
             jj.append(i + d)
         i, j = np.concatenate(ii), np.concatenate(jj)
         used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-        ids = fp.view(np.int64)
         return [(int(ids[used[x]]), int(ids[used[y]])) for x, y in forest(len(used), back[: len(i)], back[len(i) :])]
 
-    def edges_of(fp: np.ndarray, at: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    def edges_of(fp: np.ndarray, ids: np.ndarray, at: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
         """Rows of whole lists that begin at ``at``."""
         size = np.diff(np.r_[at, len(fp)])
         many = size > SHORT
-        out = [e for a, n in zip(at[many], size[many], strict=True) for e in long_list(fp[a : a + n], own[a : a + n], int(lo[a]), int(hi[a]))]
+        out = [e for a, n in zip(at[many], size[many], strict=True) for e in long_list(fp[a : a + n], ids[a : a + n], own[a : a + n], int(lo[a]), int(hi[a]))]
         few = ~many & (size > 1)
         if few.any():
             rows = np.repeat(few, size)
             n = size[few]
-            out += short_lists(fp[rows], np.cumsum(n) - n, n)
+            out += short_lists(fp[rows], ids[rows], np.cumsum(n) - n, n)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lists arrive sorted; each is at most two blocks long, most are a few rows."""
-        for (fp, _, _, own, lo, hi), at in whole_lists(batches, ("fp", "k", "v", "own", "lo", "hi")):
-            yield edge_batch(edges_of(fp.view(np.uint64), at, own, lo, hi))
+        for (fp, _, _, own, lo, hi, ids), at in whole_lists(batches, ("fp", "k", "v", "own", "lo", "hi", "node" if named else "fp")):
+            yield edge_batch(edges_of(fp.view(np.uint64), ids, at, own, lo, hi))
 
     def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
         pairs = np.array(edges, np.int64).reshape(-1, 2)

@@ -65,11 +65,11 @@ def corpus():
     return out
 
 
-@pytest.mark.parametrize("block,short,rounds", [(4096, 64, (16, 256)), (7, 3, (1, 2))])
-def test_like_brute_force(spark, monkeypatch, block, short, rounds):
+@pytest.mark.parametrize("block,short,members", [(4096, 64, 512), (7, 3, 4)])
+def test_like_brute_force(spark, monkeypatch, block, short, members):
     monkeypatch.setattr(simhash, "BLOCK", block)
     monkeypatch.setattr(simhash, "SHORT", short)
-    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    monkeypatch.setattr(near_copies, "MEMBERS", members)
     data = corpus()
     df = spark.createDataFrame([(d, t, i, "a", 1) for i, (d, t) in enumerate(data)], "doc_id long, text string, row long, key string, fps long")
     out = near_copies.keep_one(df)
