@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as X
 from ..schemas import present
-from ..storage import keep
-from .matching import best_hits, score_hits
+from .matching import best_hits
 
 PASS_TITLE, WARN_TITLE = 85.0, 70.0
 # Hosts and phrases of bot protection.
@@ -20,9 +19,9 @@ BOT_PHRASES = ("cloudflare", "just a moment", "enable javascript", "checking you
 LABELS = {"RELEVANT": "PASS", "PARTIAL": "WARN", "UNRELATED": "FAIL", "CANNOT_DETERMINE": "WARN"}
 
 
-def check_existence(refs: DataFrame, catalog: DataFrame, hits: DataFrame) -> DataFrame:
-    """(ref_id, existence, best) for every reference."""
-    best = best_hits(keep(score_hits(refs, catalog, hits)))
+def check_existence(refs: DataFrame, catalog: DataFrame, scored: DataFrame) -> DataFrame:
+    """(ref_id, existence, best) for every reference, from scored hits."""
+    best = best_hits(scored)
     found = catalog.select("work_id", F.struct("title", "authors", "year", "venue", "doi", "arxiv_id", "abstract").alias("best"))
     r = refs.select("ref_id", F.struct("title", "authors", "year", "venue", "doi", "arxiv_id").alias("r"))
     rows = r.join(best, "ref_id", "left").join(found, "work_id", "left")
@@ -123,6 +122,7 @@ def check_relevance(inputs: DataFrame, answers: DataFrame) -> DataFrame:
     return rows.where(known).select("ref_id", check.alias("relevance"))
 
 
+# The wording of notes.
 NOTES = {
     "unparsed": "Reference could not be parsed into checkable fields.",
     "not_run": "Existence check could not run.",

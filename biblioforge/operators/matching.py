@@ -18,7 +18,9 @@ from ..schemas import CORE_SOURCES, DOMAIN_SOURCES, present
 from ..storage import keep
 
 HIT = ["ref_id", "work_id", "source", "via", "rank"]
-PER_SOURCE, KEPT_TOKENS, CAP_LEAST, CAP_SHARE = 5, 4, 1000, 0.01
+PER_SOURCE = 5
+#: Works that hold a title token beyond which it blocks in pairs only.
+FREQUENT = 100
 DOMAIN_BELOW = 0.85
 
 # Words that route a reference to a domain source.
@@ -92,48 +94,83 @@ def lookup_url(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     return _hits(best.select("ref_id", "b.work_id", "b.source"), "url")
 
 
-def token_index(catalog: DataFrame) -> DataFrame:
-    """(source, token, work_id, idf, df, total): the catalog's titles by token. Weights are whole
-    millionths of a logarithm, so sums of them do not depend on their order."""
+def token_weights(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source, token, df, idf) and (source, unseen), the weight of a token in none of its titles.
+    Weights are whole millionths of a logarithm, so sums of them do not depend on their order."""
     works = catalog.where("title IS NOT NULL")
-    tokens = works.select("source", "work_id", F.explode(X.title_tokens(F.col("title"))).alias("token"))
     total = works.groupBy("source").agg(F.count("*").alias("total"))
-    df = tokens.groupBy("source", "token").agg(F.count("*").alias("df")).join(F.broadcast(total), "source")  # a row per source
-    idf = F.round(F.log(F.col("total") / F.col("df")) * 1e6).cast("long").alias("idf")
-    return tokens.join(df.select("source", "token", "df", "total", idf), ["source", "token"])
-
-
-def search_titles(refs: DataFrame, catalog: DataFrame, sources: Column, index: DataFrame | None = None) -> DataFrame:
-    """Works that share rare title tokens, or all of them, with a reference; the best
-    five of each source by the weight of the shared tokens."""
-    index = keep(token_index(catalog)) if index is None else index
-    capped = F.col("df") <= F.greatest(F.lit(CAP_LEAST), F.ceil(F.col("total") * CAP_SHARE))
-    asked = refs.where("title IS NOT NULL").select("ref_id", "title", F.explode(sources).alias("source"))
-    words = asked.select("ref_id", "source", F.explode(X.title_tokens(F.col("title"))).alias("token"))
-    weights = index.select("source", "token", "df", "total", "idf").distinct()
-    known = keep(words.join(weights, ["source", "token"]).withColumn("rare", capped))
-    order = F.row_number().over(Window.partitionBy("ref_id", "source").orderBy(F.desc("rare"), "df", "token"))
-    kept = known.withColumn("n", order).where(((F.col("n") <= KEPT_TOKENS) & F.col("rare")) | (F.col("n") == 1))
-    works = index.withColumn("rare", capped)
-    by_ref = kept.where("rare").select("ref_id", "source", "token").join(works.select("source", "token", "work_id"), ["source", "token"])
-    rarest = works.where("rare").groupBy("source", "work_id").agg(F.min(F.struct("df", "token")).alias("b")).select("source", "work_id", F.col("b.token").alias("token"))
-    by_work = known.where("rare").select("ref_id", "source", "token").join(rarest, ["source", "token"])
-    whole = lambda c: F.array_join(F.array_sort(X.title_tokens(c)), " ")
-    titles = catalog.where("title IS NOT NULL").select("source", "work_id", whole(F.col("title")).alias("key")).where("key <> ''")
-    by_title = asked.select("ref_id", "source", whole(F.col("title")).alias("key")).join(titles, ["source", "key"])
-    pairs = by_ref.select("ref_id", "source", "work_id").unionByName(by_work.select("ref_id", "source", "work_id")).unionByName(by_title.select("ref_id", "source", "work_id")).distinct()
-    facts_r = refs.select("ref_id", F.col("year").alias("ry"), F.col("arxiv_id").alias("ra"), F.get("authors", F.lit(0)).alias("first"))
-    facts_c = catalog.select("work_id", F.col("source").alias("s2"), F.col("year").alias("cy"), F.col("authors").alias("ca"))
-    fits = (
-        F.when(F.col("source") == "OpenAlex", F.col("ry").isNull() | (F.col("cy") == F.col("ry")))
-        .when(F.col("source") == "PubMed", F.col("first").isNull() | F.array_contains(F.transform("ca", S.surname), S.surname(F.col("first"))))
-        .otherwise(F.lit(True))
-    )
-    allowed = pairs.join(facts_r, "ref_id").join(facts_c, "work_id").where((F.col("source") == F.col("s2")) & F.coalesce(fits, F.lit(False))).select("ref_id", "source", "work_id")
-    shared = allowed.join(known.select("ref_id", "source", "token", "idf"), ["ref_id", "source"]).join(index.select("source", "token", "work_id"), ["source", "token", "work_id"])
-    weight = shared.groupBy("ref_id", "source", "work_id").agg(F.sum("idf").alias("weight"))
+    micro = lambda x: F.round(F.log(1 + x) * 1e6).cast("long")
+    df = works.select("source", F.explode(X.title_tokens(F.col("title"))).alias("token")).groupBy("source", "token").agg(F.count("*").alias("df"))
+    idf = micro(F.col("total") / F.col("df")).alias("idf")
+    return df.join(F.broadcast(total), "source").select("source", "token", "df", idf), total.select("source", micro(F.col("total")).alias("unseen"))  # a row per source
+
+
+def title_profiles(titles: DataFrame, weights: DataFrame, unseen: DataFrame) -> DataFrame:
+    """Rows (id, source, title) to (id, source, weight, known): the weight of all tokens, and the
+    tokens that the source has, rare ones first, each with the weight from it on."""
+    words = titles.select("id", "source", F.explode(X.title_tokens(F.col("title"))).alias("token")).join(F.broadcast(unseen), "source")  # a row per source
+    each = words.join(weights, ["source", "token"], "left")
+    known = F.sort_array(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "token", "idf"))))
+    rows = each.groupBy("id", "source").agg(F.sum(F.coalesce("idf", "unseen")).alias("weight"), known.alias("k"))
+    rest = lambda i: F.aggregate(F.slice("k", i + 1, F.size("k")), F.lit(0).cast("long"), lambda acc, x: acc + x["idf"])
+    return rows.where(F.size("k") > 0).withColumn("known", F.transform("k", lambda x, i: F.struct(x["df"].alias("df"), x["token"].alias("token"), x["idf"].alias("idf"), rest(i).alias("rest")))).drop("k")
+
+
+def _blocks(profiles: DataFrame, facets: Column) -> DataFrame:
+    """(id, source, facet, key, lead): single tokens that are not frequent, pairs of frequent ones.
+    A key leads where its rarer token may be the rarest of enough shared weight."""
+    lead = lambda x: 2 * x["rest"] >= F.col("weight")
+    rare = F.transform(F.filter("known", lambda x: x["df"] <= FREQUENT), lambda x: F.struct(F.xxhash64(x["token"]).alias("key"), lead(x).alias("lead")))
+    often = F.filter("known", lambda x: x["df"] > FREQUENT)
+    pairs = F.flatten(F.transform(often, lambda x, i: F.transform(F.slice(often, i + 2, F.size(often)), lambda y: F.struct(F.xxhash64(x["token"], y["token"]).alias("key"), lead(x).alias("lead")))))
+    rows = profiles.select("id", "source", facets.alias("f"), F.concat(rare, pairs).alias("b"))
+    return rows.select("id", "source", F.explode("f").alias("facet"), "b").select("id", "source", "facet", F.explode("b").alias("b")).select("id", "source", "facet", "b.key", "b.lead")
+
+
+def _lone(profiles: DataFrame, facets: Column) -> DataFrame:
+    """(id, source, facet, token, alone): frequent tokens, and whether one is half of its title."""
+    often = F.filter("known", lambda x: x["df"] > FREQUENT)
+    rows = profiles.select("id", "source", "weight", F.explode(facets).alias("facet"), often.alias("o")).select("id", "source", "weight", "facet", F.explode("o").alias("o"))
+    return rows.select("id", "source", "facet", "o.token", (2 * F.col("o.idf") >= F.col("weight")).alias("alone"))
+
+
+def search_titles(refs: DataFrame, catalog: DataFrame, sources: Column) -> DataFrame:
+    """Works that share tokens of half the weight of their own or the reference's title;
+    the best five of each source by the weight shared.
+
+    The rarest shared token of such a pair lies before the point where one of the titles has
+    less than half its weight left (prefix filtering), so blocks are led by it: a token that
+    few works hold, or it and the next shared one where all that is shared is frequent. Works
+    that share one frequent token alone are all alike, so the first five of them are enough.
+    No block is capped and no pair lost. A source's filters are part of the blocks.
+    """
+    held = catalog.where("title IS NOT NULL")
+    any_ = F.array(F.lit("*"))
+    year, first = F.col("year").cast("string"), S.surname(F.get("authors", F.lit(0)))
+    works = keep(held.select(F.col("work_id").alias("id"), "source", "title", F.when(F.col("source") == "OpenAlex", F.concat(F.array_compact(F.array(year)), any_)).when(
+        F.col("source") == "PubMed", F.array_union(F.transform("authors", S.surname), any_)).otherwise(any_).alias("facets")))
+    asked = refs.where("title IS NOT NULL").select(F.col("ref_id").alias("id"), "title", "year", "authors", F.explode(sources).alias("source"))
+    asked = asked.withColumn("facets", F.array(F.when(F.col("source") == "OpenAlex", F.coalesce(year, F.lit("*"))).when(F.col("source") == "PubMed", F.coalesce(first, F.lit("*"))).otherwise("*"))).select("id", "source", "title", "facets")
+    asked = keep(asked)
+    weights, unseen = map(keep, token_weights(works))
+    of = lambda rows: keep(title_profiles(rows, weights, unseen).join(rows.select("id", "source", "facets"), ["id", "source"]))
+    w, r = of(works), of(asked)
+
+    where = ["source", "facet", "key"]
+    led = _blocks(r, F.col("facets")).withColumnsRenamed({"id": "ref_id", "lead": "r_lead"}).join(_blocks(w, F.col("facets")).withColumnRenamed("id", "work_id"), where).where("lead OR r_lead")
+    lone_w, lone_r = _lone(w, F.col("facets")), _lone(r, F.col("facets")).withColumnRenamed("id", "ref_id")
+    place = Window.partitionBy("source", "facet", "token").orderBy("id")
+    firsts = lambda rows: rows.withColumn("n", F.row_number().over(place)).where(F.col("n") <= PER_SOURCE).select("source", "facet", "token", F.col("id").alias("work_id"))
+    on = ["source", "facet", "token"]
+    alone = lone_r.where("alone").join(firsts(lone_w), on).select("ref_id", "source", "work_id").unionByName(lone_r.join(firsts(lone_w.where("alone")), on).select("ref_id", "source", "work_id"))
+    pairs = led.select("ref_id", "source", "work_id").unionByName(alone).distinct()
+
+    ours = r.select(F.col("id").alias("ref_id"), "source", F.col("weight").alias("rw"), F.transform("known", lambda x: F.struct(F.xxhash64(x["token"]).alias("h"), x["idf"].alias("idf"))).alias("rk"))
+    theirs = w.select(F.col("id").alias("work_id"), "source", F.col("weight").alias("ww"), F.transform("known", lambda x: F.xxhash64(x["token"])).alias("wk"))
+    shared = F.aggregate("rk", F.lit(0).cast("long"), lambda acc, x: acc + F.when(F.array_contains("wk", x["h"]), x["idf"]).otherwise(F.lit(0).cast("long")))
+    scored = pairs.join(ours, ["ref_id", "source"]).join(theirs, ["work_id", "source"]).select("ref_id", "source", "work_id", shared.alias("weight"), F.least("rw", "ww").alias("least")).where(2 * F.col("weight") >= F.col("least"))
     rank = F.row_number().over(Window.partitionBy("ref_id", "source").orderBy(F.desc("weight"), "work_id"))
-    return weight.withColumn("rank", rank).where(F.col("rank") <= PER_SOURCE).select("ref_id", "work_id", "source", F.lit("title").alias("via"), "rank")
+    return scored.withColumn("rank", rank).where(F.col("rank") <= PER_SOURCE).select("ref_id", "work_id", "source", F.lit("title").alias("via"), "rank")
 
 
 def lookup_domain(refs: DataFrame, catalog: DataFrame, mode: str = "auto") -> DataFrame:
@@ -148,38 +185,45 @@ def lookup_domain(refs: DataFrame, catalog: DataFrame, mode: str = "auto") -> Da
     found = on_route(by_pmid.unionByName(by_doi))
     by_title = search_titles(r, known, F.col("_to"))
     seen = found.select("ref_id", "work_id")
-    return found.dropDuplicates(["ref_id", "work_id"]).unionByName(by_title.join(seen, ["ref_id", "work_id"], "left_anti"))
+    once = found.groupBy("ref_id", "work_id").agg(F.max(F.struct("via", "source", "rank")).alias("h")).select("ref_id", "work_id", "h.source", "h.via", "h.rank")  # by PubMed id, else identifier
+    return once.unionByName(by_title.join(seen, ["ref_id", "work_id"], "left_anti"))
 
 
 def score_hits(refs: DataFrame, catalog: DataFrame, hits: DataFrame) -> DataFrame:
-    """M5 of every hit: ref_id, work_id, source_priority, rank, title_score, composite."""
+    """M5 of every hit: its columns with source_priority, title_score and composite."""
     r = refs.select("ref_id", F.struct("title", "authors", "year", "venue", "doi", "arxiv_id").alias("r"))
     c = catalog.select("work_id", "source_priority", F.struct("title", "authors", "year", "venue", "doi", "arxiv_id").alias("c"))
     parts = S.score_parts("r", "c")
     wide = hits.join(r, "ref_id").join(c, "work_id")
-    return wide.select("ref_id", "work_id", "source_priority", "rank", *(v.alias(k) for k, v in parts.items()))
+    return wide.select(*HIT, "source_priority", *(v.alias(k) for k, v in parts.items()))
 
 
 def best_hits(scored: DataFrame) -> DataFrame:
-    """One aggregate picks the best hit; ties go to the earlier source, rank and id."""
-    order = F.struct(F.col("composite").alias("a"), (-F.col("source_priority")).alias("b"), (-F.col("rank")).alias("c"))
-    top = scored.groupBy("ref_id").agg(F.max(order).alias("m"), F.count_distinct("work_id").alias("n_candidates"))
-    ties = scored.join(top, "ref_id").where(order == F.col("m"))
-    return ties.groupBy("ref_id").agg(
-        F.min_by("work_id", "work_id").alias("work_id"), F.min_by("title_score", "work_id").alias("title_score"), F.max("m.a").alias("composite"), F.max("n_candidates").alias("n_candidates")
-    )
+    """One aggregate picks the best hit; ties go to the earlier tier, source, rank and id.
+    All hits count as candidates."""
+    tier = F.when(F.col("source").isin(*DOMAIN_SOURCES), 4).otherwise(F.array_position(F.array(*map(F.lit, ("doi", "arxiv_id", "title", "pmid", "url"))), F.col("via")))
+    order = F.struct((-F.col("composite")).alias("a"), tier.alias("b"), "source_priority", "rank", "work_id", "title_score", "composite")
+    top = scored.groupBy("ref_id").agg(F.min(order).alias("m"), F.count("*").alias("n_candidates"))
+    return top.select("ref_id", "m.work_id", "m.title_score", "m.composite", "n_candidates")
 
 
-def cascade(refs: DataFrame, catalog: DataFrame, domain_mode: str = "auto", search: bool = True) -> DataFrame:
-    """Hits tier by tier. Each tier's hits are kept, as all later ones read them."""
+def scored_cascade(refs: DataFrame, catalog: DataFrame, domain_mode: str = "auto", search: bool = True) -> DataFrame:
+    """J9 with the scores of each hit, each scored once. A tier's hits are kept, as all later
+    ones read them."""
     unmatched = lambda hits: refs.join(hits.select("ref_id").distinct(), "ref_id", "left_anti")
     hits = keep(lookup_doi(refs, catalog))
     hits = keep(hits.unionByName(lookup_arxiv(unmatched(hits), catalog)))
     if search:
         core = F.array(*map(F.lit, CORE_SOURCES))
-        hits = keep(hits.unionByName(search_titles(unmatched(hits), catalog, core)))
-        if domain_mode != "none":
-            good = score_hits(refs, catalog, hits).groupBy("ref_id").agg(F.max("composite").alias("best")).where(F.col("best") >= DOMAIN_BELOW)
-            hits = keep(hits.unionByName(lookup_domain(keep(refs.join(good.select("ref_id"), "ref_id", "left_anti")), catalog, domain_mode)))
-    hits = hits.unionByName(lookup_url(unmatched(hits), catalog))
-    return keep(hits.dropDuplicates(["ref_id", "work_id"]))
+        hits = keep(hits.unionByName(search_titles(keep(unmatched(hits)), catalog, core)))
+    scored = keep(score_hits(refs, catalog, hits))
+    if search and domain_mode != "none":
+        good = scored.groupBy("ref_id").agg(F.max("composite").alias("best")).where(F.col("best") >= DOMAIN_BELOW)
+        more = lookup_domain(keep(refs.join(good.select("ref_id"), "ref_id", "left_anti")), catalog, domain_mode)
+        scored = keep(scored.unionByName(score_hits(refs, catalog, more)))
+    return keep(scored.unionByName(score_hits(refs, catalog, lookup_url(unmatched(scored), catalog))))
+
+
+def cascade(refs: DataFrame, catalog: DataFrame, domain_mode: str = "auto", search: bool = True) -> DataFrame:
+    """Hits tier by tier."""
+    return scored_cascade(refs, catalog, domain_mode, search).select(*HIT)

@@ -22,7 +22,7 @@ SIGNALS = {
     "VANCOUVER": ((r"\d{4};\d+[\s(]", 2), (r"\d{4};\d+\(\d+\):\d+", 1)),
     "MLA": ((r'"[^"]+"\s+.*vol\.\s+\d+.*\(\d{4}\)', 2),),
     "CHICAGO": ((r"\(\w+:\s*\w+,\s*\d{4}\)", 2),),
-    "LNCS": ((LNCS_START + r".*?: |" + LNCS_START[:-2] + r"\..*: ", 2),),
+    "LNCS": ((LNCS_START + r".*: ", 2),),
 }
 AUTHOR_YEAR = r"[^\S\n]*[A-Z][a-zA-ZÀ-ÿ\-']+,?[^\S\n]+(?:[A-Z]\.?[^\S\n]*)+(?:\d{4}|,)"
 WORDS = "REFERENCES|References|BIBLIOGRAPHY|Bibliography"
@@ -126,7 +126,7 @@ def vancouver(c: Column) -> Column:
 def lncs(c: Column) -> Column:
     """Authors before the first colon, title up to a sentence end, venue up to the year."""
     names = F.substring_index(c, ": ", 1)
-    rest = X.strip(F.expr("substr(x, n)") if False else F.substring(c, F.length(names) + 3, F.length(c)))
+    rest = X.strip(F.substring(c, F.length(names) + 3, F.length(c)))
     fits = c.contains(": ") & names.rlike(r"[A-Z][a-z]+,\s+[A-Z]\.")
     sentence = r"^(.+?)\.\s+(?=[A-Z(])"
     parted = rest.rlike(sentence)
@@ -205,14 +205,14 @@ RECOVERY_PROMPT = (
 def recovery_prompts(refs: DataFrame) -> DataFrame:
     """P20: references that patterns could not read, with a prompt for a model."""
     unread = present(F.col("title")).isNull() & present(F.col("doi")).isNull() & present(F.col("arxiv_id")).isNull()
-    return refs.where(unread & (F.length(X.strip("raw" if False else F.col("raw"))) > 0)).select("ref_id", F.format_string(RECOVERY_PROMPT, "raw").alias("prompt"))
+    return refs.where(unread & (F.length(X.strip(F.col("raw"))) > 0)).select("ref_id", F.format_string(RECOVERY_PROMPT, "raw").alias("prompt"))
 
 
 def merge_recovered(refs: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers (ref_id, response) replace a reference if they name a title or an id."""
     ddl = "title string, authors array<string>, year string, venue string, doi string, arxiv_id string, urls array<string>"
     unread = present(F.col("title")).isNull() & present(F.col("doi")).isNull() & present(F.col("arxiv_id")).isNull()
-    given = answers.select(F.col("ref_id").alias("_id"), F.from_json(X.unfence(F.col("response")), ddl).alias("a")).dropDuplicates(["_id"])
+    given = answers.select(F.col("ref_id").alias("_id"), F.from_json(X.unfence(F.col("response")), ddl).alias("a")).groupBy("_id").agg(F.min("a").alias("a"))
     joined = refs.join(given, F.col("ref_id") == F.col("_id"), "left")
     use = unread & F.coalesce(present(F.col("a.title")), present(F.col("a.doi")), present(F.col("a.arxiv_id"))).isNotNull()
     pick = lambda n, v: F.when(use, v).otherwise(F.col(n)).alias(n)

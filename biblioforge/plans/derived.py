@@ -31,7 +31,7 @@ FROM {{documents}} d {NATIONS}
 """
 
 REFS_SQL = f"""
-SELECT 'r' || CAST(d.doc_id {S} AS ref_id, 'b' || CAST(d.doc_id % 50 {S} AS doc_id, CAST(d.doc_id AS INT) AS pos,
+SELECT 'r' || CAST(d.doc_id {S} AS ref_id, 'b' || CAST(CAST(floor(d.doc_id / 20) AS BIGINT) {S} AS doc_id, CAST(d.doc_id AS INT) AS pos,
   CASE d.doc_id % 7 WHEN 5 THEN {SHORT} WHEN 6 THEN 'Zzyzx quux ' || CAST(d.doc_id {S} ELSE {TITLE} END AS title,
   CASE WHEN d.doc_id % 7 = 2 THEN ARR('Nobody, N.', 'Noone, M.') ELSE {AUTHORS} END AS authors,
   CAST(1990 + d.doc_id % 35 + CASE WHEN d.doc_id % 7 = 1 THEN 3 ELSE 0 END AS INT) AS year, 'Journal of ' || d.source AS venue,
@@ -40,7 +40,7 @@ SELECT 'r' || CAST(d.doc_id {S} AS ref_id, 'b' || CAST(d.doc_id % 50 {S} AS doc_
   CASE WHEN d.doc_id % 7 = 5 THEN ARR('https://works.example.org/' || CAST(d.doc_id {S})
        WHEN d.doc_id % 7 = 0 THEN ARR(p.url, 'https://www.linkedin.com/in/' || CAST(d.doc_id {S})
        WHEN d.doc_id % 7 < 3 THEN ARR(p.url) END AS urls
-FROM {{documents}} d {NATIONS} JOIN {{pages}} p ON p.page_id = d.doc_id % 50
+FROM (SELECT *, doc_id % (SELECT count(*) FROM {{pages}}) AS page FROM {{documents}}) d {NATIONS} JOIN {{pages}} p ON p.page_id = d.page
 """
 
 FETCH_SQL = f"""

@@ -13,7 +13,7 @@ from ..operators import checks as C
 from ..operators import matching as M
 from ..operators import plaintext as P
 from ..operators import summary as A
-from ..schemas import REFS, conform
+from ..schemas import CATALOG, REFS, conform
 from ..sources import catalog as G
 from ..sources import formats, sinks
 from . import derived as D
@@ -55,21 +55,16 @@ def j5_title_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 TOKENS = "list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'))"
+# all pairs that share a token, without blocks
 TITLE_SEARCH = f"""
 WITH c AS (SELECT *, {TOKENS} AS tk FROM {CAT} WHERE length(title) > 0), r AS (SELECT *, {TOKENS} AS tk FROM {REF} WHERE length(title) > 0),
 ct AS (SELECT source, work_id, unnest(tk) AS token FROM c), n AS (SELECT source, count(*) AS total FROM c GROUP BY 1),
-df AS (SELECT source, token, df, total, round(ln(total / df) * 1e6)::BIGINT AS idf, df <= greatest(1000, ceil(total * 0.01)) AS rare
-       FROM (SELECT source, token, count(*) AS df FROM ct GROUP BY 1, 2) JOIN n USING (source)),
-rt AS (SELECT ref_id, source, token, df, idf, rare, row_number() OVER (PARTITION BY ref_id, source ORDER BY rare DESC, df, token) AS k
-       FROM (SELECT ref_id, unnest(tk) AS token FROM r) JOIN df USING (token)),
-kept AS (SELECT * FROM rt WHERE rare AND k <= 4),
-rarest AS (SELECT source, work_id, token FROM (SELECT source, work_id, token, row_number() OVER (PARTITION BY source, work_id ORDER BY df, token) AS k
-           FROM ct JOIN df USING (source, token) WHERE rare) WHERE k = 1),
-whole AS (SELECT r.ref_id, c.source, c.work_id FROM r JOIN c ON list_sort(r.tk) = list_sort(c.tk) AND len(c.tk) > 0),
-pairs AS (SELECT ref_id, ct.source, work_id FROM kept JOIN ct USING (source, token) JOIN df USING (source, token) WHERE df.rare
-  UNION SELECT ref_id, source, work_id FROM rt JOIN rarest USING (source, token) WHERE rt.rare UNION SELECT * FROM whole),
-ok AS (SELECT p.* FROM pairs p JOIN r USING (ref_id) JOIN c USING (work_id) WHERE p.source <> 'OpenAlex' OR c.year = r.year OR r.year IS NULL),
-w AS (SELECT ref_id, source, work_id, sum(idf) AS weight FROM ok JOIN rt USING (ref_id, source) JOIN ct USING (source, token, work_id) GROUP BY 1, 2, 3)
+df AS (SELECT source, token, round(ln(1 + total / df) * 1e6)::BIGINT AS idf FROM (SELECT source, token, count(*) AS df FROM ct GROUP BY 1, 2) JOIN n USING (source)),
+rt AS (SELECT ref_id, n.source, token, idf, coalesce(idf, round(ln(1 + total) * 1e6)::BIGINT) AS weight FROM (SELECT ref_id, unnest(tk) AS token FROM r) CROSS JOIN n LEFT JOIN df USING (source, token)),
+rw AS (SELECT ref_id, source, sum(weight) AS rw FROM rt GROUP BY 1, 2), ww AS (SELECT source, work_id, sum(idf) AS ww FROM ct JOIN df USING (source, token) GROUP BY 1, 2),
+s AS (SELECT ref_id, source, work_id, sum(idf) AS weight FROM rt JOIN ct USING (source, token) WHERE idf IS NOT NULL GROUP BY 1, 2, 3),
+w AS (SELECT s.* FROM s JOIN rw USING (ref_id, source) JOIN ww USING (source, work_id) JOIN r USING (ref_id) JOIN c USING (work_id)
+  WHERE 2 * s.weight >= least(rw, ww) AND (s.source <> 'OpenAlex' OR c.year = r.year OR r.year IS NULL))
 SELECT ref_id, work_id, source, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ref_id, source ORDER BY weight DESC, work_id) AS rank FROM w) WHERE rank <= 5
 """
 
@@ -135,10 +130,10 @@ SELECT ref_id, CASE k WHEN 'skip' THEN 'SKIPPED' WHEN 'UNRELATED' THEN 'FAIL' WH
 
 
 def a3_unparsed(spark: SparkSession, sf: str) -> DataFrame:
-    return A.unparsed(D.refs(spark, sf).withColumn("authors", F.filter("authors", lambda a: F.col("year") % 3 > 0)))
+    return A.unparsed(D.refs(spark, sf).withColumn("title", F.when(F.col("pos") % 4 > 0, F.col("title"))))
 
 
-UNPARSED = f"SELECT count(*) FILTER (coalesce(title, '') = '' AND doi IS NULL AND arxiv_id IS NULL AND year % 3 = 0) AS unparsed FROM {REF}"
+UNPARSED = f"SELECT count(*) FILTER ((coalesce(title, '') = '' OR pos % 4 = 0) AND doi IS NULL AND arxiv_id IS NULL) AS unparsed FROM {REF}"
 
 
 def _exact_reports(spark: SparkSession, sf: str) -> DataFrame:
@@ -251,8 +246,17 @@ FIELDS_SQL = f"SELECT title, array_to_string(authors, '; ') AS authors, year, ve
 
 
 def s3_bibtex(spark: SparkSession, sf: str) -> DataFrame:
-    entry = "concat('@article{k', n, ',\n  title = {{', title, '}},\n  author = {', array_join(authors, ' and '), '},\n  journal = \"', venue, '\",\n  year = ', year, ',\n  doi = {', doi, '}\n}')"
-    return _fields(formats.parse_bibtex(_rendered(spark, sf, entry)))
+    entry = (
+        "concat('@article{k', n, ',\n  title = {{', title, '}},\n  author = {', array_join(authors, if(n % 2 = 0, ' and ', '\n    AND ')), '},\n  journal = \"', venue, '\",\n  year = ', year, "
+        "',\n  doi = {', doi, '},\n  pmid = {', n, '}', if(n % 3 = 0, concat(',\n  eprint = {2301.', n, ' [cs.DL]}'), if(n % 3 = 1, concat(',\n  url = {https://arxiv.org/abs/math/', n, '/x}'), '')), '\n}')"
+    )
+    refs = formats.parse_bibtex(_rendered(spark, sf, entry))
+    return refs.select("pmid", "arxiv_id", "raw", *(F.array_join("authors", "; ").alias(f) if f == "authors" else F.col(f) for f in FIELDS))
+
+
+N = "substr(work_id, 2)::BIGINT"
+BIBTEX = f"""SELECT title, array_to_string(authors, '; ') AS authors, year, venue, doi, {N}::STRING AS pmid, CASE {N} % 3 WHEN 0 THEN '2301.' || {N} WHEN 1 THEN 'math' END AS arxiv_id,
+  title || ' ' || array_to_string(authors[1:2], ' ') || ' ' || year || ' ' || venue AS raw FROM {CAT} WHERE length(title) > 0"""
 
 
 def s4_ris(spark: SparkSession, sf: str) -> DataFrame:
@@ -304,7 +308,7 @@ def p19_mined_references(spark: SparkSession, sf: str) -> DataFrame:
     return P.mine_documents(whole).where("doi IS NOT NULL").select("title", "year", "doi")
 
 
-MINED = f"SELECT regexp_replace(title, '\"', '', 'g') || ' 0123456789' AS title, year, doi FROM {CAT} WHERE length(title) > 0 AND (substr(work_id, 2)::BIGINT % 50) IN (SELECT doc_id FROM documents)"
+MINED = f"SELECT regexp_replace(title, '\"', '', 'g') || ' 0123456789' AS title, year, doi FROM {CAT} WHERE length(title) > 0"
 
 PLAIN = "trim(concat(regexp_replace(title, '[^A-Za-z0-9]+', ' '), ' x'))"
 
@@ -349,15 +353,60 @@ OPEN_ACCESS = f"SELECT ref_id, CASE WHEN c.year % 2 = 0 THEN c.urls[1] || '.pdf'
 
 def p20_recovery_prompts(spark: SparkSession, sf: str) -> DataFrame:
     raw = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("ref_id"), F.col("text").alias("raw"))
-    return P.recovery_prompts(conform(raw, REFS)).select("ref_id", F.length("prompt").alias("n"))
+    return P.recovery_prompts(conform(raw, REFS)).select("ref_id", F.md5("prompt").alias("prompt"))
+
+
+HEAD, TAIL = (x.replace("'", "''") for x in P.RECOVERY_PROMPT.split("%s"))
+PROMPTS = f"SELECT CAST(doc_id AS STRING) AS ref_id, md5('{HEAD}' || text || '{TAIL}') AS prompt FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\r]')"
+
+
+def p21_recovered(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers, some fenced or broken, merged into the references that they may replace."""
+    r = D.refs(spark, sf).withColumn("title", F.when(F.col("pos") % 2 == 0, F.col("title")))
+    said = F.expr("concat('```json\n', to_json(named_struct('title', if(pos % 3 = 0, null, concat('Answer ', pos)), 'year', cast(year as string), 'doi', if(pos % 5 = 0, concat('10.7777/', pos), null))), '\n```')")
+    answers = r.select("ref_id", F.when(F.col("pos") % 7 == 0, F.lit("not json")).otherwise(said).alias("response"))
+    return P.merge_recovered(r, answers).select("ref_id", "title", "year", "doi")
+
 
+RECOVERED = f"""
+WITH r AS (SELECT *, CASE WHEN pos % 2 = 0 THEN nullif(title, '') END AS t, CASE WHEN pos % 7 > 0 AND pos % 3 > 0 THEN 'Answer ' || pos END AS said_title, CASE WHEN pos % 7 > 0 AND pos % 5 = 0 THEN '10.7777/' || pos END AS said_doi FROM {REF}),
+u AS (SELECT *, t IS NULL AND doi IS NULL AND arxiv_id IS NULL AND (said_title IS NOT NULL OR said_doi IS NOT NULL) AS used FROM r)
+SELECT ref_id, CASE WHEN used THEN said_title ELSE t END AS title, year, CASE WHEN used THEN said_doi ELSE doi END AS doi FROM u
+"""
+
+# Works of domain sources, one for every third document, cited by PubMed id, identifier or title.
+DOMAIN_SQL = f"""SELECT 'd' || substr(work_id, 2) AS work_id, CASE substr(work_id, 2)::BIGINT % 3 WHEN 0 THEN 'PubMed' WHEN 1 THEN 'DBLP' ELSE 'Google Books' END AS source,
+  title, authors, year, doi, CASE WHEN substr(work_id, 2)::BIGINT % 3 = 0 THEN 'p' || substr(work_id, 2) END AS pmid FROM {CAT}"""
+
+
+def _domain(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    number = F.substring("work_id", 2, 30).cast("long")
+    c = D.catalog(spark, sf).withColumn("n", number)
+    source = F.when(F.col("n") % 3 == 0, "PubMed").when(F.col("n") % 3 == 1, "DBLP").otherwise("Google Books")
+    works = c.withColumns({"work_id": F.concat(F.lit("d"), F.col("n").cast("string")), "source": source, "pmid": F.when(F.col("n") % 3 == 0, F.concat(F.lit("p"), F.col("n").cast("string")))})
+    refs = D.refs(spark, sf).withColumns({"pmid": F.when(F.col("pos") % 6 == 0, F.concat(F.lit("p"), F.col("pos").cast("string"))), "venue": F.when(F.col("pos") % 2 == 0, F.lit("MIT Press, KDD"))})
+    return refs, conform(works.drop("n"), CATALOG)
+
+
+def j6_domain_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits by PubMed id and identifier in the sources that references are routed to."""
+    refs, works = _domain(spark, sf)
+    return M.lookup_domain(refs, works).where("via <> 'title'")
+
+
+ROUTED = f"""SELECT *, CASE WHEN pos % 6 = 0 THEN 'p' || pos END AS rp, list_filter([CASE WHEN pos % 6 = 0 THEN 'PubMed' END, CASE WHEN arxiv_id IS NOT NULL OR pos % 2 = 0 THEN 'DBLP' END, CASE WHEN pos % 2 = 0 THEN 'Google Books' END], lambda x: x IS NOT NULL) AS ways FROM {REF}"""
+DOMAIN_HITS = f"""
+WITH r AS ({ROUTED}), d AS ({DOMAIN_SQL}), h AS (
+  SELECT ref_id, work_id, source, 'pmid' AS via, ways FROM r JOIN d ON r.rp = d.pmid
+  UNION ALL SELECT ref_id, work_id, source, 'doi', ways FROM r JOIN d ON rtrim(lower(r.doi), '/') = lower(d.doi))
+SELECT ref_id, work_id, source, max(via) AS via, 1 AS rank FROM h WHERE list_contains(ways, source) GROUP BY 1, 2, 3
+"""
 
-PROMPTS = f"SELECT CAST(doc_id AS STRING) AS ref_id, (length(text) + {len(P.RECOVERY_PROMPT) - 2})::INT AS n FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\r]')"
 
 QUERIES = {f.__name__: f for f in (
     verdict_counts, j3_doi_lookup, j4_arxiv_lookup, j7_url_lookup, j9_exact_cascade, j5_title_search, j8_routing, m2_m3_scores, c3_url_status, c5_url_audit, c7_relevance, c9_exact_verdicts,
     c12_enriched, a1_summary_by_document, a4_rate_by_year, s19_markdown, k1_identities, k2_fresh_results, k4_purged_cache, s3_bibtex, s4_ris, s5_csl_json, s6_nbib, s7_doi_list,
-    s9_s10_s11_catalog, p19_mined_references, p12_apa_lists, p13_vancouver_lists, p14_lncs_lists, k3_upsert, s16_open_access, p20_recovery_prompts, a3_unparsed,
+    s9_s10_s11_catalog, p19_mined_references, p12_apa_lists, p13_vancouver_lists, p14_lncs_lists, k3_upsert, s16_open_access, p20_recovery_prompts, a3_unparsed, p21_recovered, j6_domain_lookup,
 )}
 
 ORACLES = {
@@ -376,7 +425,7 @@ ORACLES = {
     "a4_rate_by_year": f"SELECT year, count(*) AS total, round(avg((verdict = 'VERIFIED')::INT::DOUBLE), 6) AS verified_share FROM ({VERDICTS}) JOIN (SELECT ref_id, year FROM {REF}) USING (ref_id) GROUP BY 1",
     "k1_identities": IDENTITIES,
     "k2_fresh_results": FRESH,
-    "s3_bibtex": FIELDS_SQL,
+    "s3_bibtex": BIBTEX,
     "s4_ris": FIELDS_SQL,
     "s5_csl_json": FIELDS_SQL,
     "s6_nbib": FIELDS_SQL,
@@ -390,4 +439,9 @@ ORACLES = {
     "a3_unparsed": UNPARSED,
     "s16_open_access": OPEN_ACCESS,
     "p20_recovery_prompts": PROMPTS,
+    "p21_recovered": RECOVERED,
+    "j6_domain_lookup": DOMAIN_HITS,
+    "j8_routing": f"SELECT ref_id, CASE WHEN arxiv_id IS NOT NULL THEN 'DBLP' ELSE '' END AS sources FROM {REF}",
+    "k4_purged_cache": f"""SELECT status, count(*) AS n, round(sum(confidence), 2) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY identifier ORDER BY created_at DESC, status DESC, confidence DESC, evidence DESC) AS k FROM {CACHE})
+WHERE k = 1 AND epoch_us(TIMESTAMP '2024-01-20 00:00:00') - epoch_us(created_at) <= (CASE WHEN status = 'FAIL' THEN 1 ELSE 30 END) * 86400000000 GROUP BY 1""",
 }

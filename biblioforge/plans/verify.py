@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import checks as C
-from ..operators.matching import cascade
+from ..operators.matching import scored_cascade
 from ..storage import keep
 
 
@@ -28,7 +28,7 @@ def verify(refs: DataFrame, catalog: DataFrame, fetch_log: DataFrame | None = No
     A reference that is not found and has no links gets no further checks (C8).
     """
     refs, catalog = keep(refs), keep(catalog)
-    existence = keep(C.check_existence(refs, catalog, cascade(refs, catalog, opts.domain_mode, opts.search)))
+    existence = keep(C.check_existence(refs, catalog, scored_cascade(refs, catalog, opts.domain_mode, opts.search)))
     rows = refs.join(existence, "ref_id")
     on = ~((F.col("existence.status") == "FAIL") & (F.size("urls") == 0))
     rows = rows.withColumn("_on", on)

@@ -21,6 +21,11 @@ from ..schemas import REFS, conform, present
 SUFFIXES = {".bib": "bibtex", ".ris": "ris", ".json": "csl_json", ".nbib": "nbib"}
 
 
+# Identifiers in BibTeX fields.
+EPRINT = r"^(\d{4}\.\d+|[a-z\-]+/\d+)"
+BIBTEX_ARXIV = r"arxiv\.org/abs/([^\s/]+)"
+
+
 def read_files(spark: SparkSession, path: str, hint: str | None = None) -> DataFrame:
     """(path, format, text), a row per file; invalid bytes are replaced. The suffix decides the
     format, a hint overrides it, and anything else is sniffed."""
@@ -105,12 +110,12 @@ def parse_bibtex(texts: DataFrame) -> DataFrame:
     rows = parts.select("doc_id", "pos", X.strip(F.col("raw")).alias("raw"), bibtex_entry("raw").alias("e")).where("e IS NOT NULL")
     field = lambda n: present(X.strip(F.regexp_replace(F.regexp_replace(F.col("e")[n], r"[{}]", ""), r"\s+", " ")))
     url = field("url")
-    eprint = F.when(field("eprint").rlike(r"^(\d{4}\.\d{4,5}(v\d+)?|[a-z-]+(\.[A-Z]{2})?/\d{7})$"), field("eprint"))
-    authors = F.filter(F.transform(F.split(field("author"), r"\s+and\s+"), X.strip), lambda a: a != "")
+    authors = F.filter(F.transform(F.split(field("author"), r"(?i)\s+and\s+"), X.strip), lambda a: a != "")
+    year, venue = F.regexp_substr(field("year"), F.lit(r"\d{4}")).try_cast("int"), F.coalesce(field("journal"), field("booktitle"), field("publisher"), field("school"))
+    raw = F.concat_ws(" ", field("title"), present(F.array_join(F.slice(authors, 1, 2), " ")), F.when(year != 0, year).cast("string"), venue)
     return _refs(
-        rows, raw=F.col("raw"), title=field("title"), authors=authors, year=F.regexp_substr(field("year"), F.lit(r"\d{4}")).try_cast("int"),
-        venue=F.coalesce(field("journal"), field("booktitle"), field("publisher"), field("school")), doi=field("doi"),
-        arxiv_id=F.coalesce(eprint, X.group(url, X.ARXIV_URL)), urls=F.when(url.isNotNull() & ~url.contains("arxiv.org"), F.array(url)),
+        rows, raw=raw, title=field("title"), authors=authors, year=year, venue=venue, doi=field("doi"), pmid=field("pmid"),
+        arxiv_id=F.coalesce(X.group(field("eprint"), EPRINT), X.group(url, BIBTEX_ARXIV)), urls=F.when(url.isNotNull() & ~url.contains("arxiv.org"), F.array(url)),
     )
 
 

@@ -56,5 +56,5 @@ def test_verification(spark):
     text = {r.markdown.split("\n")[0]: r.markdown for r in sinks.markdown(reports).collect()}
     assert "could not verify" in text["## Nothing like it at all"]
     more = catalog.union(catalog.withColumn("work_id", F.lit("w9")).withColumn("title", F.lit("Attention")))
-    best = {r.ref_id: r.existence.composite for r in C.check_existence(refs, more, M.cascade(refs, more)).collect()}
+    best = {r.ref_id: r.existence.composite for r in C.check_existence(refs, more, M.scored_cascade(refs, more)).collect()}
     assert all(best[k] is None or got[k].existence.composite is None or best[k] >= got[k].existence.composite for k in best)

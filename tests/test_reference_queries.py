@@ -37,6 +37,12 @@ def test_like_sql(spark, duck, name):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("frequent", [0, 3])
+def test_title_search_with_frequent_tokens(spark, duck, monkeypatch, frequent):
+    monkeypatch.setattr(queries.M, "FREQUENT", frequent)
+    test_like_sql(spark, duck, "j5_title_search")
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["verdict", "references"]
 
