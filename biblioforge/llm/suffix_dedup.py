@@ -191,8 +191,9 @@ def _found(rows: list[tuple[int, int, list[tuple[int, int]]]]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), ranges], names=["anchor", "seg", "ranges"])
 
 
-def sort_segments(segments: DataFrame, length: int, shards: int, across: bool = False) -> DataFrame:
-    """(anchor, seg, n, data, owner) -> (anchor, seg, ranges), shard by shard."""
+def sort_segments(segments: DataFrame, length: int, total: int, across: bool = False, shard_bytes: int | None = None) -> DataFrame:
+    """(anchor, seg, n, data, owner) of so many bytes in all -> (anchor, seg, ranges), shard by shard."""
+    most = shard_bytes or SHARD_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, last = Shard(), None
@@ -200,7 +201,7 @@ def sort_segments(segments: DataFrame, length: int, shards: int, across: bool =
             for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if row[:2] == last:
                     continue  # a repeated row of the same text
-                if last is not None and row[0] != last[0] and shard.size >= SHARD_BYTES:
+                if last is not None and row[0] != last[0] and shard.size >= most:
                     yield from sort(shard)
                     shard = Shard()
                 shard.add(*row)
@@ -217,7 +218,7 @@ def sort_segments(segments: DataFrame, length: int, shards: int, across: bool =
                 rows = []
         yield _found(rows)
 
-    return segments.repartition(shards, "anchor").sortWithinPartitions("anchor", "seg").mapInArrow(run, FOUND)
+    return segments.repartition(-(-total // most), "anchor").sortWithinPartitions("anchor", "seg").mapInArrow(run, FOUND)
 
 
 def hot_windows(segments: DataFrame, length: int, across: bool = False) -> DataFrame:
@@ -249,7 +250,7 @@ def hot_windows(segments: DataFrame, length: int, across: bool = False) -> DataF
     return starts.mapInArrow(cover, FOUND)
 
 
-def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, across: bool = False) -> DataFrame:
+def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, across: bool = False, shard_bytes: int | None = None) -> DataFrame:
     """(__text_key, __ranges): the repeated byte ranges of each text that has any, for rows
     (__text_key, text) and perhaps a scope inside which repeats count. With ``across`` a
     string must be in texts of two keys; otherwise one text may repeat it by itself."""
@@ -298,7 +299,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, ac
 
     found = alone
     if False in sizes:
-        found = found.unionByName(sort_segments(with_text(unsorted.where(~hot)), length, -(-sizes[False] // SHARD_BYTES), across))
+        found = found.unionByName(sort_segments(with_text(unsorted.where(~hot)), length, sizes[False], across, shard_bytes))
     if True in sizes:
         found = found.unionByName(hot_windows(with_text(unsorted.where(hot)), length, across))
     held = live.select("key", "anchor", "seg", "first").distinct()
