@@ -44,7 +44,7 @@ CLASSES, BUCKETS = 256, 1 << 18
 MU, ALPHA = 8.0, 0.5
 FLUSH_WORDS = 300_000
 #: Tokens of a chunk of documents, and bigrams of a bucket on average.
-CHUNK, BUCKET_ROWS = 1_000_000, 2_000_000
+CHUNK, BUCKET_ROWS = 1_000_000, 1_000_000
 CHUNK_DOCS = 65_535
 #: A word or bigram is hot above one part in HOT_SHARE of the tokens, or HOT_ROWS.
 HOT_SHARE, HOT_ROWS = 2000, 1_000_000
