@@ -44,7 +44,7 @@ CLASSES, BUCKETS = 256, 1 << 18
 MU, ALPHA = 8.0, 0.5
 FLUSH_WORDS = 300_000
 #: Tokens of a chunk of documents, and bigrams of a bucket on average.
-CHUNK, BUCKET_ROWS = 1_000_000, 1_000_000
+CHUNK, BUCKET_ROWS = 1_000_000, 1_500_000
 CHUNK_DOCS = 65_535
 #: A word or bigram is hot above one part in HOT_SHARE of the tokens, or HOT_ROWS.
 HOT_SHARE, HOT_ROWS = 2000, 1_000_000
@@ -221,9 +221,10 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame, vocabulary_size:
                 cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
                 for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                     runs = np.flatnonzero(np.r_[True, b[x + 1 : y] != b[x : y - 1]])
-                    flags = ended[x:y] | (c.good[row[x:y]].astype(np.uint8) << 1)
-                    head = np.array([y - x, len(runs)], np.int64)
-                    parts = (head, b[x:y][runs], ab[x:y].astype(np.uint32), (ab[x:y] >> np.uint64(32)).astype(np.uint16), np.diff(np.r_[runs, y - x]).astype(np.uint32), row[x:y].astype(np.uint16), n[x:y], flags)
+                    many, ends = np.flatnonzero(n[x:y] > 1), np.flatnonzero(ended[x:y])  # few of either
+                    head = np.array([y - x, len(runs), len(many), len(ends)], np.uint32)
+                    parts = (head, b[x:y][runs], ab[x:y].astype(np.uint32), (ab[x:y] >> np.uint64(32)).astype(np.uint16), np.diff(np.r_[runs, y - x]).astype(np.uint32), row[x:y].astype(np.uint16))
+                    parts += (many.astype(np.uint32), n[x:y][many], ends.astype(np.uint32), np.packbits(c.good[row[x:y]]))
                     out.append((int(bucket[x]), 1, b"".join(p.tobytes() for p in parts)))
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays(
@@ -231,22 +232,22 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame, vocabulary_size:
             )
 
     def unpack(data: bytes) -> tuple[np.ndarray, ...]:
-        m, r = np.frombuffer(data, np.int64, 2).tolist()
+        m, r, f, e = np.frombuffer(data, np.uint32, 4).tolist()
         at, got = 16, []
-        for kind, k in ((np.uint64, r), (np.uint32, m), (np.uint16, m), (np.uint32, r), (np.uint16, m), (np.uint32, m), (np.uint8, m)):
+        for kind, k in ((np.uint64, r), (np.uint32, m), (np.uint16, m), (np.uint32, r), (np.uint16, m), (np.uint32, f), (np.uint32, f), (np.uint32, e), (np.uint8, -(-m // 8))):
             got.append(np.frombuffer(data, kind, k, at))
             at += got[-1].nbytes
-        b, low, high, runs, row, n, flags = got
-        b = np.repeat(b, runs)
+        b, low, high, runs, row, many, times, ends, good = got
+        b, n, ended = np.repeat(b, runs), np.ones(m), np.zeros(m, bool)
+        n[many], ended[ends] = times, True
         # 48 bits of the bigram's hash tell a word's predecessors apart
-        return b, (low | high.astype(np.uint64) << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) + b, row, n, flags
+        return b, (low | high.astype(np.uint64) << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) + b, row, n, ended, np.unpackbits(good, count=m)
 
     def lose(held: list[tuple[int, bytes]]) -> tuple[list[int], list[bytes]]:
         """Losses of a whole bucket, summed by document of each chunk."""
         hot_words, hot_one, _, _ = shared.value
         got = [unpack(data) for _, data in held]
-        b, ab, _, n, flags = (np.concatenate(x) for x in zip(*got, strict=True))
-        n, ended, good = n.astype(np.float64), flags & 1, flags >> 1
+        b, ab, _, n, ended, good = (np.concatenate(x) for x in zip(*got, strict=True))
         _, at2, two = _sums(ab, n * good, n)
         distinct, at1, one = _sums(b, n * good, n, ended * good, ended)
         is_hot, where = _found(hot_words, distinct)
