@@ -5,10 +5,10 @@ import os
 import pytest
 
 import __spark_entry__
-from biblioforge.plans import queries
-from biblioforge.plans.queries import ORACLES, QUERIES
+from biblioforge.plans import format_queries, queries
 
 DATA = "/root/testdata/sf0.001"
+QUERIES, ORACLES = queries.QUERIES | format_queries.QUERIES, queries.ORACLES | format_queries.ORACLES
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 NAMES = sorted(set(ORACLES) - {"a4_rate_by_year", "c12_enriched"})  # these rest on c9_exact_verdicts
 
