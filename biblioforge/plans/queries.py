@@ -13,7 +13,7 @@ from ..operators import checks as C
 from ..operators import matching as M
 from ..operators import plaintext as P
 from ..operators import summary as A
-from ..schemas import CATALOG, REFS, conform
+from ..schemas import CATALOG, REFS, SOURCES, conform, priority
 from ..sources import catalog as G
 from ..sources import formats, sinks
 from . import derived as D
@@ -177,8 +177,34 @@ def s19_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.markdown(_exact_reports(spark, sf))
 
 
-def _now(cache: DataFrame) -> DataFrame:
-    return cache.agg(F.max("created_at").alias("now"))
+# as above: a hit that passes scores 1, one with mismatches 0.85 at most
+MARKDOWN = f"""
+WITH v AS ({VERDICTS}), u AS (SELECT ref_id, status, confidence FROM ({URL_AUDIT}))
+SELECT doc_id, pos, concat_ws(chr(10), '## ' || coalesce(nullif(title, ''), '(unknown)'), '**Verdict:** ' || CASE verdict WHEN 'NOT_FOUND' THEN 'could not verify — likely fabricated, needs manual review' ELSE verdict END, '**DOI:** ' || doi,
+  CASE WHEN notes <> '' THEN '**Notes:**' || chr(10) || '- ' || replace(notes, ' / ', chr(10) || '- ') END,
+  '- `existence`: ' || existence_status || ' (confidence=' || CASE existence_status WHEN 'PASS' THEN '1.00' WHEN 'WARN' THEN '0.85' ELSE CASE WHEN title = '' AND doi IS NULL THEN '0.50' ELSE '0.90' END END || ')',
+  CASE WHEN len(urls) > 0 THEN '- `url_liveness`: ' || status || ' (confidence=' || printf('%.2f', confidence) || ')' END) AS markdown
+FROM v JOIN u USING (ref_id) JOIN {REF} r USING (ref_id)
+"""
+
+
+def w1_best_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as hits of their order: few scores, so that most orders have ties."""
+    tiers = F.array(*map(F.lit, ("doi", "arxiv_id", "title", "pmid", "url")))
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("source", F.element_at(F.array(*map(F.lit, SOURCES)), (F.col("l_suppkey") % 7 + 1).cast("int")))
+    hits = rows.select(
+        F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("ref_id"), F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("work_id"), "source",
+        F.element_at(tiers, (F.col("l_partkey") % 5 + 1).cast("int")).alias("via"), (F.col("l_linenumber") % 3).cast("int").alias("rank"), priority(F.col("source")).alias("source_priority"),
+        F.round(F.col("l_tax").cast("double"), 2).alias("title_score"), (F.floor(F.col("l_quantity") / 20) / 4).cast("double").alias("composite"),
+    )
+    return M.best_hits(hits).select("ref_id", "work_id", "composite", "n_candidates")
+
+
+BEST_HITS = """
+WITH h AS (SELECT 'r' || l_orderkey AS ref_id, 'w' || l_partkey AS work_id, (l_suppkey % 7 + 1)::INT AS priority, (l_partkey % 5 + 1)::INT AS tier, l_linenumber % 3 AS rank, (floor(l_quantity / 20) / 4)::DOUBLE AS composite FROM lineitem)
+SELECT ref_id, work_id, composite, n_candidates FROM (SELECT *, count(*) OVER (PARTITION BY ref_id) AS n_candidates,
+  row_number() OVER (PARTITION BY ref_id ORDER BY composite DESC, CASE WHEN priority > 4 THEN 4 ELSE tier END, priority, rank, work_id) AS k FROM h) WHERE k = 1
+"""
 
 
 def k2_fresh_results(spark: SparkSession, sf: str) -> DataFrame:
@@ -406,7 +432,7 @@ SELECT ref_id, work_id, source, max(via) AS via, 1 AS rank FROM h WHERE list_con
 QUERIES = {f.__name__: f for f in (
     verdict_counts, j3_doi_lookup, j4_arxiv_lookup, j7_url_lookup, j9_exact_cascade, j5_title_search, j8_routing, m2_m3_scores, c3_url_status, c5_url_audit, c7_relevance, c9_exact_verdicts,
     c12_enriched, a1_summary_by_document, a4_rate_by_year, s19_markdown, k1_identities, k2_fresh_results, k4_purged_cache, s3_bibtex, s4_ris, s5_csl_json, s6_nbib, s7_doi_list,
-    s9_s10_s11_catalog, p19_mined_references, p12_apa_lists, p13_vancouver_lists, p14_lncs_lists, k3_upsert, s16_open_access, p20_recovery_prompts, a3_unparsed, p21_recovered, j6_domain_lookup,
+    s9_s10_s11_catalog, p19_mined_references, p12_apa_lists, p13_vancouver_lists, p14_lncs_lists, k3_upsert, s16_open_access, p20_recovery_prompts, a3_unparsed, p21_recovered, j6_domain_lookup, w1_best_hits,
 )}
 
 ORACLES = {
@@ -441,6 +467,8 @@ ORACLES = {
     "p20_recovery_prompts": PROMPTS,
     "p21_recovered": RECOVERED,
     "j6_domain_lookup": DOMAIN_HITS,
+    "w1_best_hits": BEST_HITS,
+    "s19_markdown": MARKDOWN,
     "j8_routing": f"SELECT ref_id, CASE WHEN arxiv_id IS NOT NULL THEN 'DBLP' ELSE '' END AS sources FROM {REF}",
     "k4_purged_cache": f"""SELECT status, count(*) AS n, round(sum(confidence), 2) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY identifier ORDER BY created_at DESC, status DESC, confidence DESC, evidence DESC) AS k FROM {CACHE})
 WHERE k = 1 AND epoch_us(TIMESTAMP '2024-01-20 00:00:00') - epoch_us(created_at) <= (CASE WHEN status = 'FAIL' THEN 1 ELSE 30 END) * 86400000000 GROUP BY 1""",
