@@ -34,7 +34,7 @@ from .common import discard, map_batches, materialize, table
 
 K = 10
 #: Neighbours of a node; sampled nodes that name it; most rounds, and the share of new entries that ends them.
-DEGREE, BACK, ROUNDS, CHANGED = 20, 16, 8, 0.05
+DEGREE, BACK, ROUNDS, CHANGED = 20, 16, 8, 0.08
 #: Nodes of a query's beam, and how many of them are ranked by the original vectors.
 REACH, RANKED = 512, 64
 GROUP, GROUPINGS = 16, 2
@@ -80,9 +80,17 @@ def decode(codes: pa.Array) -> np.ndarray:
     return raw[:, 4:].view(np.int8).astype(np.float32) * raw[:, :4].copy().view(np.float32)
 
 
-def _nearest(edges: DataFrame, by: str, other: str, most: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(by).orderBy("d", other))
-    return edges.withColumn("_n", rank).where(F.col("_n") <= most).drop("_n")
+def _merged(rows: DataFrame, mark: str, most: int) -> DataFrame:
+    """Rows (a, b, d, mark, code) to each a's ``most`` nearest b with ``far``, the worst of a full list
+    (else infinity), and place ``n``. A pair counts once, and its mark is what an old row says:
+    AND of fresh, OR of read. One row of each a at least brings its code; all rows of it get it.
+    One shuffle by a serves the sum by pair and the windows."""
+    once = F.min if mark == "fresh" else F.max
+    pairs = rows.repartition("a").groupBy("a", "b").agg(F.min("d").alias("d"), once(mark).alias(mark), F.max("code").alias("code"))
+    mine = Window.partitionBy("a").orderBy("d", "b")
+    whole = mine.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    top = pairs.withColumns({"n": F.row_number().over(mine), "code": F.max("code").over(whole)}).where(F.col("n") <= most)
+    return top.withColumn("far", F.when(F.count("d").over(whole) >= most, F.max("d").over(whole)).otherwise(F.lit(float("inf")).cast("float")))
 
 
 def _nearest_of_batch(a: np.ndarray, b: np.ndarray, d: np.ndarray, most: int) -> pa.RecordBatch:
@@ -125,26 +133,29 @@ def _meet(lists: DataFrame, degree: int) -> DataFrame:
 
 def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, back: int = BACK, rounds: int = ROUNDS) -> DataFrame:
     """(a, b, d): each node's nearest found, of a table (node, code); d is squared."""
-    item = lambda far: F.struct(F.col("node").alias("b"), F.lit(True).alias("fresh"), far.alias("far"), "code")
     count = nodes.count()
     groups = max(1, count // GROUP)
     tries = nodes.withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(GROUPINGS)))).withColumn("group", F.pmod(F.xxhash64("node", "try"), F.lit(groups)))
-    start = _meet(tries.groupBy("try", "group").agg(F.collect_list(item(F.lit(float("inf")).cast("float"))).alias("list")).select("list"), degree)
-    edges = materialize(_nearest(start.groupBy("a", "b").agg(F.min("d").alias("d")), "a", "b", degree).withColumn("fresh", F.lit(True)))
+    item = F.struct(F.col("node").alias("b"), F.lit(True).alias("fresh"), F.lit(float("inf")).cast("float").alias("far"), "code")
+    start = _meet(tries.groupBy("try", "group").agg(F.collect_list(item).alias("list")).select("list"), degree).withColumns({"fresh": F.lit(True), "code": F.lit(None).cast("binary")})
+    own = nodes.select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(float("inf")).cast("float").alias("d"), F.lit(True).alias("fresh"), "code")
+    # a node's code comes with its own row, which has no b and is the last of a list that is not full
+    edges = materialize(_merged(start.unionByName(own), "fresh", degree))
     for turn in range(rounds):
-        far = edges.groupBy(F.col("a").alias("node")).agg(F.when(F.count("*") >= degree, F.max("d")).otherwise(F.lit(float("inf")).cast("float")).alias("far"))
-        known = nodes.select("node", "code").join(far, "node").withColumnRenamed("node", "b")
+        live = edges.where("b IS NOT NULL")
+        known = edges.where("n = 1").select(F.col("a").alias("b"), "code", "far")
         chance = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b", F.lit(turn)), "a"))
-        named = edges.select("a", "b", "fresh").withColumn("n", chance).where(F.col("n") <= back).select(F.col("b").alias("v"), F.col("a").alias("b"), "fresh")
-        both = edges.select(F.col("a").alias("v"), "b", "fresh").unionByName(named).groupBy("v", "b").agg(F.max("fresh").alias("fresh"))
+        named = live.select("a", "b", "fresh").withColumn("k", chance).where(F.col("k") <= back).select(F.col("b").alias("v"), F.col("a").alias("b"), "fresh")
+        both = live.select(F.col("a").alias("v"), "b", "fresh").unionByName(named)
         lists = both.join(known, "b").groupBy("v").agg(F.collect_list(F.struct("b", "fresh", "far", "code")).alias("list")).select("list")
-        found = _meet(lists, degree).withColumn("fresh", F.lit(True)).unionByName(edges.withColumn("fresh", F.lit(False)))
-        better = materialize(_nearest(found.groupBy("a", "b").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh")), "a", "b", degree))
+        found = _meet(lists, degree).withColumns({"fresh": F.lit(True), "code": F.lit(None).cast("binary")})
+        old = live.select("a", "b", "d", F.lit(False).alias("fresh"), F.when(F.col("n") == 1, F.col("code")).alias("code"))
+        better = materialize(_merged(found.unionByName(old), "fresh", degree))
         discard(edges)
         edges = better
         if edges.where("fresh").count() <= CHANGED * degree * count:
             break
-    return edges
+    return edges.where("b IS NOT NULL").select("a", "b", "d")
 
 
 @dataclass
@@ -202,18 +213,18 @@ def search(graph: Graph, queries: DataFrame, entries: DataFrame, k: int = K, rea
         near = d < far
         return _nearest_of_batch(who[near], np.asarray(flat.field("b"))[near], d[near].astype(np.float32), reach)
 
-    beam = materialize(map_batches(first.select("query_id", "node", "q", "code"), measure, _EDGE).withColumn("read", F.lit(False)))
+    known = asked.select(F.col("query_id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(float("inf")).cast("float").alias("d"), F.lit(False).alias("read"), "code")
+    start = map_batches(first.select("query_id", "node", "q", "code"), measure, _EDGE).withColumns({"read": F.lit(False), "code": F.lit(None).cast("binary")})
+    beam = materialize(_merged(start.unionByName(known), "read", reach).where("b IS NOT NULL"))
     while not beam.where("NOT read").isEmpty():
-        far = beam.groupBy(F.col("a").alias("query_id")).agg(F.when(F.count("*") >= reach, F.max("d")).otherwise(F.lit(float("inf")).cast("float")).alias("far"))
-        asks = asked.select("query_id", F.col("code").alias("q")).join(far, "query_id")
-        todo = beam.where("NOT read").select(F.col("a").alias("query_id"), F.col("b").alias("node")).join(asks, "query_id")
-        met = map_batches(todo.join(graph.read(), "node").select("query_id", "q", "far", "around"), walk, _EDGE)
-        every = met.withColumn("read", F.lit(False)).unionByName(beam.withColumn("read", F.lit(True)))
-        better = materialize(_nearest(every.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("read").alias("read")), "a", "b", reach))
+        todo = beam.where("NOT read").select(F.col("a").alias("query_id"), F.col("b").alias("node"), F.col("code").alias("q"), "far")
+        met = map_batches(todo.join(graph.read(), "node").select("query_id", "q", "far", "around"), walk, _EDGE).withColumns({"read": F.lit(False), "code": F.lit(None).cast("binary")})
+        old = beam.select("a", "b", "d", F.lit(True).alias("read"), F.when(F.col("n") == 1, F.col("code")).alias("code"))
+        better = materialize(_merged(met.unionByName(old), "read", reach))
         discard(beam)
         beam = better
 
-    best = _nearest(beam, "a", "b", RANKED).select(F.col("a").alias("query_id"), F.col("b").alias("node"))
+    best = beam.where(F.col("n") <= RANKED).select(F.col("a").alias("query_id"), F.col("b").alias("node"))
     pairs = best.join(asked.select("query_id", F.col("x").alias("q")), "query_id").join(graph.nodes.select("node", "x", "ids"), "node")
     width = graph.width
 
