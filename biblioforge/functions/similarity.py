@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,16 +65,23 @@ def lcs_of(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="Int32")
 
 
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """M4: 0 to 1. Sets of words and the length bound are built-in; only pairs with words on
-    both sides that the other lacks need the subsequence."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda x: x != ""))
-    x, y = words(a), words(b)
-    joined = lambda s: F.array_join(F.array_sort(s), " ")
-    common, da, db = joined(F.array_intersect(x, y)), joined(F.array_except(x, y)), joined(F.array_except(y, x))
+def _words(c: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda x: x != ""))
+
+
+def _joined(words: Column) -> Column:
+    return F.array_join(F.array_sort(words), " ")
+
+
+def _lcs(da: Column, db: Column) -> Column:
+    """Only pairs with words on both sides that the other lacks need the subsequence."""
     need = (F.length(da) > 0) & (F.length(db) > 0)
-    lcs = lcs_of(F.when(need, da), F.when(need, db))
-    na, nb, sect = F.length(da), F.length(db), F.length(common)
+    return lcs_of(F.when(need, da), F.when(need, db))
+
+
+def _ratio(x: Column, y: Column, sect: Column, da: Column, db: Column, lcs: Column) -> Column:
+    """Of word sets, the length of what they share, and what each has alone, joined."""
+    na, nb = F.length(da), F.length(db)
     gap = F.when(sect > 0, 1).otherwise(0)
     la, lb = sect + gap + na, sect + gap + nb
     r1 = 100 - 100 * (na + nb - 2 * lcs) / (la + lb)
@@ -89,18 +96,39 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.coalesce(value, F.lit(0.0)) / 100.0
 
 
-def score_parts(r: str, c: str) -> dict[str, Column]:
-    """M5: ``title_score`` and ``composite`` of struct columns r (cited) and c (found)."""
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """M4: 0 to 1. Sets of words and the length bound are built-in."""
+    x, y = _words(a), _words(b)
+    da, db = _joined(F.array_except(x, y)), _joined(F.array_except(y, x))
+    return _ratio(x, y, F.length(_joined(F.array_intersect(x, y))), da, db, _lcs(da, db))
+
+
+def with_ratio(rows: DataFrame, name: str, a: Column, b: Column) -> DataFrame:
+    """M4 as a column ``name``, step by step, so that no step's expression is repeated in the next."""
+    part = lambda p: F.col(f"_{name}_{p}")
+    put = lambda t, **columns: t.withColumns({f"_{name}_{p}": c for p, c in columns.items()})
+    rows = put(rows, x=_words(a), y=_words(b))
+    x, y, da, db = map(part, ("x", "y", "da", "db"))
+    rows = put(rows, both=F.length(_joined(F.array_intersect(x, y))), da=_joined(F.array_except(x, y)), db=_joined(F.array_except(y, x)))
+    rows = put(rows, lcs=_lcs(da, db)).withColumn(name, _ratio(x, y, part("both"), da, db, part("lcs")))
+    return rows.drop(*(f"_{name}_{p}" for p in ("x", "y", "both", "da", "db", "lcs")))
+
+
+def with_scores(rows: DataFrame, r: str, c: str) -> DataFrame:
+    """M5: rows with ``title_score`` and ``composite`` of struct columns r (cited) and c (found)."""
     f = lambda s, n: F.col(f"{s}.{n}")
     same_arxiv = present(f(r, "arxiv_id")) == present(f(c, "arxiv_id"))
     same_doi = F.rtrim(F.lower(present(f(r, "doi"))), F.lit("/")) == F.rtrim(F.lower(present(f(c, "doi"))), F.lit("/"))
-    same = F.coalesce(same_arxiv, F.lit(False)) | F.coalesce(same_doi, F.lit(False))
+    same = F.col("_same")
     known = present(f(r, "title")).isNotNull() & present(f(c, "title")).isNotNull() & ~same
-    title = F.when(same, F.lit(1.0)).otherwise(token_set_ratio(F.when(known, f(r, "title")), F.when(known, f(c, "title"))))
-    venues = present(f(r, "venue")).isNotNull() & present(f(c, "venue")).isNotNull()
-    venue = F.when(venues, token_set_ratio(F.when(venues, f(r, "venue")), F.when(venues, f(c, "venue")))).otherwise(F.lit(UNKNOWN))
-    mixed = TITLE_WEIGHT * title + AUTHOR_WEIGHT * author_overlap(f(r, "authors"), f(c, "authors")) + YEAR_WEIGHT * year_score(f(r, "year"), f(c, "year")) + VENUE_WEIGHT * venue
-    return {"title_score": F.round(title, 3), "composite": F.when(same, F.lit(1.0)).when(title == 0, F.lit(0.0)).otherwise(mixed)}
+    venues = present(f(r, "venue")).isNotNull() & present(f(c, "venue")).isNotNull() & ~same
+    rows = rows.withColumn("_same", F.coalesce(same_arxiv, F.lit(False)) | F.coalesce(same_doi, F.lit(False)))
+    rows = with_ratio(rows, "_title", F.when(known, f(r, "title")), F.when(known, f(c, "title")))
+    rows = with_ratio(rows, "_venue", F.when(venues, f(r, "venue")), F.when(venues, f(c, "venue")))
+    rows = rows.withColumns({"_title": F.when(same, F.lit(1.0)).otherwise(F.col("_title")), "_venue": F.when(venues, F.col("_venue")).otherwise(F.lit(UNKNOWN)), "_who": author_overlap(f(r, "authors"), f(c, "authors"))})
+    mixed = TITLE_WEIGHT * F.col("_title") + AUTHOR_WEIGHT * F.col("_who") + YEAR_WEIGHT * year_score(f(r, "year"), f(c, "year")) + VENUE_WEIGHT * F.col("_venue")
+    done = rows.withColumns({"title_score": F.round("_title", 3), "composite": F.when(same, F.lit(1.0)).when(F.col("_title") == 0, F.lit(0.0)).otherwise(mixed)})
+    return done.drop("_same", "_title", "_venue", "_who")
 
 
 def mismatches(r: str, c: str) -> Column:

@@ -9,18 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as X
-from ..schemas import CORE_SOURCES, DOMAIN_SOURCES, present
-from ..storage import keep
+from ..schemas import REGISTRY, present, sources
+from ..storage import discard, keep
+from .title_index import TitleIndex, build_index, search_index
 
 HIT = ["ref_id", "work_id", "source", "via", "rank"]
-PER_SOURCE = 5
-#: Works that hold a title token beyond which it blocks in pairs only.
-FREQUENT = 100
 DOMAIN_BELOW = 0.85
 
 # Words that route a reference to a domain source.
@@ -57,6 +55,7 @@ def routed(mode: str = "auto", biomedical: Iterable[str] = BIOMEDICAL, computing
         ("DBLP", present(F.col("arxiv_id")).isNotNull() | both.rlike(_any(computing))),
         ("Google Books", both.rlike(_any(books))),
     ]
+    tests += [(s, both.rlike(_any(REGISTRY[s].words))) for s in sources("domain") if REGISTRY[s].words]
     return F.array_compact(F.array(*(F.when(t, F.lit(s)) for s, t in tests)))
 
 
@@ -64,18 +63,18 @@ def _hits(pairs: DataFrame, via: str) -> DataFrame:
     return pairs.select("ref_id", "work_id", "source", F.lit(via).alias("via"), F.lit(1).alias("rank"))
 
 
-def _one_per_key(catalog: DataFrame, key: Column, sources: Iterable[str]) -> DataFrame:
+def _one_per_key(catalog: DataFrame, key: Column, named: Iterable[str]) -> DataFrame:
     """(source, key, work_id): the first work of each source that has a key."""
-    rows = catalog.where(F.col("source").isin(*sources)).select("source", key.alias("key"), "work_id").where("key IS NOT NULL")
+    rows = catalog.where(F.col("source").isin(*named)).select("source", key.alias("key"), "work_id").where("key IS NOT NULL")
     return rows.groupBy("source", "key").agg(F.min("work_id").alias("work_id"))
 
 
-def lookup_doi(refs: DataFrame, catalog: DataFrame, sources: Iterable[str] = CORE_SOURCES) -> DataFrame:
+def lookup_doi(refs: DataFrame, catalog: DataFrame, tier: str = "core") -> DataFrame:
     """Every source that has the identifier; arXiv's own identifiers also by arXiv id."""
     cited = refs.select("ref_id", X.effective_doi(F.col("doi"), F.col("urls")).alias("doi")).where("doi IS NOT NULL")
-    by_doi = cited.select("ref_id", X.doi_key(F.col("doi")).alias("key")).join(_one_per_key(catalog, X.doi_key(F.col("doi")), sources), "key")
+    by_doi = cited.select("ref_id", X.doi_key(F.col("doi")).alias("key")).join(_one_per_key(catalog, X.doi_key(F.col("doi")), sources(tier, "doi")), "key")
     own = cited.select("ref_id", X.arxiv_key(X.group(F.col("doi"), r"(?i)^10\.48550/arxiv\.(.+)$")).alias("key")).where("key IS NOT NULL")
-    by_id = own.join(_one_per_key(catalog, X.arxiv_key(F.col("arxiv_id")), ["arXiv"]), "key")
+    by_id = own.join(_one_per_key(catalog, X.arxiv_key(F.col("arxiv_id")), sources(None, "arxiv_doi")), "key")
     return _hits(by_doi.unionByName(by_id).select("ref_id", "work_id", "source").distinct(), "doi")
 
 
@@ -94,96 +93,25 @@ def lookup_url(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     return _hits(best.select("ref_id", "b.work_id", "b.source"), "url")
 
 
-def token_weights(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(source, token, df, idf) and (source, unseen), the weight of a token in none of its titles.
-    Weights are whole millionths of a logarithm, so sums of them do not depend on their order."""
-    works = catalog.where("title IS NOT NULL")
-    total = works.groupBy("source").agg(F.count("*").alias("total"))
-    micro = lambda x: F.round(F.log(1 + x) * 1e6).cast("long")
-    df = works.select("source", F.explode(X.title_tokens(F.col("title"))).alias("token")).groupBy("source", "token").agg(F.count("*").alias("df"))
-    idf = micro(F.col("total") / F.col("df")).alias("idf")
-    return df.join(F.broadcast(total), "source").select("source", "token", "df", idf), total.select("source", micro(F.col("total")).alias("unseen"))  # a row per source
-
-
-def title_profiles(titles: DataFrame, weights: DataFrame, unseen: DataFrame) -> DataFrame:
-    """Rows (id, source, title) to (id, source, weight, known): the weight of all tokens, and the
-    tokens that the source has, rare ones first, each with the weight from it on."""
-    words = titles.select("id", "source", F.explode(X.title_tokens(F.col("title"))).alias("token")).join(F.broadcast(unseen), "source")  # a row per source
-    each = words.join(weights, ["source", "token"], "left")
-    known = F.sort_array(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "token", "idf"))))
-    rows = each.groupBy("id", "source").agg(F.sum(F.coalesce("idf", "unseen")).alias("weight"), known.alias("k"))
-    rest = lambda i: F.aggregate(F.slice("k", i + 1, F.size("k")), F.lit(0).cast("long"), lambda acc, x: acc + x["idf"])
-    return rows.where(F.size("k") > 0).withColumn("known", F.transform("k", lambda x, i: F.struct(x["df"].alias("df"), x["token"].alias("token"), x["idf"].alias("idf"), rest(i).alias("rest")))).drop("k")
-
-
-def _blocks(profiles: DataFrame, facets: Column) -> DataFrame:
-    """(id, source, facet, key, lead): single tokens that are not frequent, pairs of frequent ones.
-    A key leads where its rarer token may be the rarest of enough shared weight."""
-    lead = lambda x: 2 * x["rest"] >= F.col("weight")
-    rare = F.transform(F.filter("known", lambda x: x["df"] <= FREQUENT), lambda x: F.struct(F.xxhash64(x["token"]).alias("key"), lead(x).alias("lead")))
-    often = F.filter("known", lambda x: x["df"] > FREQUENT)
-    pairs = F.flatten(F.transform(often, lambda x, i: F.transform(F.slice(often, i + 2, F.size(often)), lambda y: F.struct(F.xxhash64(x["token"], y["token"]).alias("key"), lead(x).alias("lead")))))
-    rows = profiles.select("id", "source", facets.alias("f"), F.concat(rare, pairs).alias("b"))
-    return rows.select("id", "source", F.explode("f").alias("facet"), "b").select("id", "source", "facet", F.explode("b").alias("b")).select("id", "source", "facet", "b.key", "b.lead")
-
-
-def _lone(profiles: DataFrame, facets: Column) -> DataFrame:
-    """(id, source, facet, token, alone): frequent tokens, and whether one is half of its title."""
-    often = F.filter("known", lambda x: x["df"] > FREQUENT)
-    rows = profiles.select("id", "source", "weight", F.explode(facets).alias("facet"), often.alias("o")).select("id", "source", "weight", "facet", F.explode("o").alias("o"))
-    return rows.select("id", "source", "facet", "o.token", (2 * F.col("o.idf") >= F.col("weight")).alias("alone"))
-
-
-def search_titles(refs: DataFrame, catalog: DataFrame, sources: Column) -> DataFrame:
-    """Works that share tokens of half the weight of their own or the reference's title;
-    the best five of each source by the weight shared.
-
-    The rarest shared token of such a pair lies before the point where one of the titles has
-    less than half its weight left (prefix filtering), so blocks are led by it: a token that
-    few works hold, or it and the next shared one where all that is shared is frequent. Works
-    that share one frequent token alone are all alike, so the first five of them are enough.
-    No block is capped and no pair lost. A source's filters are part of the blocks.
-    """
-    held = catalog.where("title IS NOT NULL")
-    any_ = F.array(F.lit("*"))
-    year, first = F.col("year").cast("string"), S.surname(F.get("authors", F.lit(0)))
-    works = keep(held.select(F.col("work_id").alias("id"), "source", "title", F.when(F.col("source") == "OpenAlex", F.concat(F.array_compact(F.array(year)), any_)).when(
-        F.col("source") == "PubMed", F.array_union(F.transform("authors", S.surname), any_)).otherwise(any_).alias("facets")))
-    asked = refs.where("title IS NOT NULL").select(F.col("ref_id").alias("id"), "title", "year", "authors", F.explode(sources).alias("source"))
-    asked = asked.withColumn("facets", F.array(F.when(F.col("source") == "OpenAlex", F.coalesce(year, F.lit("*"))).when(F.col("source") == "PubMed", F.coalesce(first, F.lit("*"))).otherwise("*"))).select("id", "source", "title", "facets")
-    asked = keep(asked)
-    weights, unseen = map(keep, token_weights(works))
-    of = lambda rows: keep(title_profiles(rows, weights, unseen).join(rows.select("id", "source", "facets"), ["id", "source"]))
-    w, r = of(works), of(asked)
-
-    where = ["source", "facet", "key"]
-    led = _blocks(r, F.col("facets")).withColumnsRenamed({"id": "ref_id", "lead": "r_lead"}).join(_blocks(w, F.col("facets")).withColumnRenamed("id", "work_id"), where).where("lead OR r_lead")
-    lone_w, lone_r = _lone(w, F.col("facets")), _lone(r, F.col("facets")).withColumnRenamed("id", "ref_id")
-    place = Window.partitionBy("source", "facet", "token").orderBy("id")
-    firsts = lambda rows: rows.withColumn("n", F.row_number().over(place)).where(F.col("n") <= PER_SOURCE).select("source", "facet", "token", F.col("id").alias("work_id"))
-    on = ["source", "facet", "token"]
-    alone = lone_r.where("alone").join(firsts(lone_w), on).select("ref_id", "source", "work_id").unionByName(lone_r.join(firsts(lone_w.where("alone")), on).select("ref_id", "source", "work_id"))
-    pairs = led.select("ref_id", "source", "work_id").unionByName(alone).distinct()
-
-    ours = r.select(F.col("id").alias("ref_id"), "source", F.col("weight").alias("rw"), F.transform("known", lambda x: F.struct(F.xxhash64(x["token"]).alias("h"), x["idf"].alias("idf"))).alias("rk"))
-    theirs = w.select(F.col("id").alias("work_id"), "source", F.col("weight").alias("ww"), F.transform("known", lambda x: F.xxhash64(x["token"])).alias("wk"))
-    shared = F.aggregate("rk", F.lit(0).cast("long"), lambda acc, x: acc + F.when(F.array_contains("wk", x["h"]), x["idf"]).otherwise(F.lit(0).cast("long")))
-    scored = pairs.join(ours, ["ref_id", "source"]).join(theirs, ["work_id", "source"]).select("ref_id", "source", "work_id", shared.alias("weight"), F.least("rw", "ww").alias("least")).where(2 * F.col("weight") >= F.col("least"))
-    rank = F.row_number().over(Window.partitionBy("ref_id", "source").orderBy(F.desc("weight"), "work_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= PER_SOURCE).select("ref_id", "work_id", "source", F.lit("title").alias("via"), "rank")
-
-
-def lookup_domain(refs: DataFrame, catalog: DataFrame, mode: str = "auto") -> DataFrame:
+def search_titles(refs: DataFrame, catalog: DataFrame, asked: Column) -> DataFrame:
+    """J5, W2 with an index of its own, which goes afterwards."""
+    index = build_index(catalog)
+    hits = search_index(refs, index, asked)
+    index.drop(catalog.sparkSession)
+    return hits
+
+
+def lookup_domain(refs: DataFrame, catalog: DataFrame, mode: str = "auto", index: TitleIndex | None = None) -> DataFrame:
     """Routed sources by PubMed id, identifier and title."""
     r = refs.withColumn("_to", routed(mode))
-    known = catalog.where(F.col("source").isin(*DOMAIN_SOURCES))
+    known = catalog.where(F.col("source").isin(*sources("domain")))
     on_route = lambda hits: hits.join(r.select("ref_id", "_to"), "ref_id").where(F.array_contains("_to", F.col("source"))).select(*HIT)
     cited = r.select("ref_id", present(F.col("pmid")).alias("key")).where("key IS NOT NULL")
-    by_pmid = _hits(cited.join(_one_per_key(known, present(F.col("pmid")), ["PubMed"]), "key"), "pmid")
-    by_doi = lookup_doi(refs, known, DOMAIN_SOURCES)
+    by_pmid = _hits(cited.join(_one_per_key(known, present(F.col("pmid")), sources("domain", "pmid")), "key"), "pmid")
+    by_doi = lookup_doi(refs, known, "domain")
     # a source searches by title what its identifiers did not find
     found = on_route(by_pmid.unionByName(by_doi))
-    by_title = search_titles(r, known, F.col("_to"))
+    by_title = search_index(r, index, F.col("_to")) if index else search_titles(r, known, F.col("_to"))
     seen = found.select("ref_id", "work_id")
     once = found.groupBy("ref_id", "work_id").agg(F.max(F.struct("via", "source", "rank")).alias("h")).select("ref_id", "work_id", "h.source", "h.via", "h.rank")  # by PubMed id, else identifier
     return once.unionByName(by_title.join(seen, ["ref_id", "work_id"], "left_anti"))
@@ -193,37 +121,69 @@ def score_hits(refs: DataFrame, catalog: DataFrame, hits: DataFrame) -> DataFram
     """M5 of every hit: its columns with source_priority, title_score and composite."""
     r = refs.select("ref_id", F.struct("title", "authors", "year", "venue", "doi", "arxiv_id").alias("r"))
     c = catalog.select("work_id", "source_priority", F.struct("title", "authors", "year", "venue", "doi", "arxiv_id").alias("c"))
-    parts = S.score_parts("r", "c")
     wide = hits.join(r, "ref_id").join(c, "work_id")
-    return wide.select(*HIT, "source_priority", *(v.alias(k) for k, v in parts.items()))
+    return S.with_scores(wide, "r", "c").select(*HIT, "source_priority", "title_score", "composite")
 
 
 def best_hits(scored: DataFrame) -> DataFrame:
     """One aggregate picks the best hit; ties go to the earlier tier, source, rank and id.
     All hits count as candidates."""
-    tier = F.when(F.col("source").isin(*DOMAIN_SOURCES), 4).otherwise(F.array_position(F.array(*map(F.lit, ("doi", "arxiv_id", "title", "pmid", "url"))), F.col("via")))
+    tier = F.when(F.col("source").isin(*sources("domain")), 4).otherwise(F.array_position(F.array(*map(F.lit, ("doi", "arxiv_id", "title", "pmid", "url"))), F.col("via")))
     order = F.struct((-F.col("composite")).alias("a"), tier.alias("b"), "source_priority", "rank", "work_id", "title_score", "composite")
     top = scored.groupBy("ref_id").agg(F.min(order).alias("m"), F.count("*").alias("n_candidates"))
     return top.select("ref_id", "m.work_id", "m.title_score", "m.composite", "n_candidates")
 
 
-def scored_cascade(refs: DataFrame, catalog: DataFrame, domain_mode: str = "auto", search: bool = True) -> DataFrame:
-    """J9 with the scores of each hit, each scored once. A tier's hits are kept, as all later
-    ones read them."""
+def _core_hits(refs: DataFrame, catalog: DataFrame, search: bool, index: TitleIndex | None) -> DataFrame:
+    """Identifier tiers and core title search. A tier's hits are kept, as later ones read them."""
     unmatched = lambda hits: refs.join(hits.select("ref_id").distinct(), "ref_id", "left_anti")
-    hits = keep(lookup_doi(refs, catalog))
-    hits = keep(hits.unionByName(lookup_arxiv(unmatched(hits), catalog)))
-    if search:
-        core = F.array(*map(F.lit, CORE_SOURCES))
-        hits = keep(hits.unionByName(search_titles(keep(unmatched(hits)), catalog, core)))
+    first = keep(lookup_doi(refs, catalog))
+    hits = keep(first.unionByName(lookup_arxiv(unmatched(first), catalog)))
+    if search and index:
+        found = search_index(unmatched(hits), index, F.array(*map(F.lit, sources("core"))))
+        more = keep(hits.unionByName(found))
+        discard(hits, found)
+        hits = more
+    discard(first)
+    return hits
+
+
+def _with_links(refs: DataFrame, catalog: DataFrame, hits: DataFrame) -> DataFrame:
+    return lookup_url(refs.join(hits.select("ref_id").distinct(), "ref_id", "left_anti"), catalog)
+
+
+def scored_cascade(refs: DataFrame, catalog: DataFrame, domain_mode: str = "auto", search: bool = True, index: TitleIndex | None = None) -> DataFrame:
+    """J9 with the scores of each hit, each scored once. One title index serves both tiers; if
+    none is given it is made and goes again. The result is kept; reading refs and catalog
+    several times should be cheap (``keep``)."""
+    own = build_index(catalog) if search and index is None else None
+    index = index or own
+    hits = _core_hits(refs, catalog, search, index)
     scored = keep(score_hits(refs, catalog, hits))
     if search and domain_mode != "none":
         good = scored.groupBy("ref_id").agg(F.max("composite").alias("best")).where(F.col("best") >= DOMAIN_BELOW)
-        more = lookup_domain(keep(refs.join(good.select("ref_id"), "ref_id", "left_anti")), catalog, domain_mode)
-        scored = keep(scored.unionByName(score_hits(refs, catalog, more)))
-    return keep(scored.unionByName(score_hits(refs, catalog, lookup_url(unmatched(scored), catalog))))
-
-
-def cascade(refs: DataFrame, catalog: DataFrame, domain_mode: str = "auto", search: bool = True) -> DataFrame:
-    """Hits tier by tier."""
-    return scored_cascade(refs, catalog, domain_mode, search).select(*HIT)
+        weak = keep(refs.join(good.select("ref_id"), "ref_id", "left_anti"))
+        more = keep(scored.unionByName(score_hits(refs, catalog, lookup_domain(weak, catalog, domain_mode, index))))
+        discard(scored, weak)
+        scored = more
+    out = keep(scored.unionByName(score_hits(refs, catalog, _with_links(refs, catalog, scored))))
+    discard(hits, scored)
+    if own:
+        own.drop(catalog.sparkSession)
+    return out
+
+
+def cascade(refs: DataFrame, catalog: DataFrame, domain_mode: str = "auto", search: bool = True, index: TitleIndex | None = None) -> DataFrame:
+    """Hits tier by tier. Only the domain tier asks for scores; without it nothing is scored."""
+    refs, catalog = keep(refs), keep(catalog)
+    if search and domain_mode != "none":
+        out = scored_cascade(refs, catalog, domain_mode, search, index).select(*HIT)
+    else:
+        own = build_index(catalog) if search and index is None else None
+        hits = _core_hits(refs, catalog, search, index or own)
+        out = keep(hits.unionByName(_with_links(refs, catalog, hits)))
+        discard(hits)
+        if own:
+            own.drop(catalog.sparkSession)
+    discard(refs, catalog)
+    return out

@@ -8,14 +8,16 @@ events. Placeholders in braces name tables; ARR( is the array constructor.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CATALOG, CHECK_CACHE, FETCH_LOG, MODEL_ANSWERS, REFS, conform
 
+# FIRST<n>( ... ) is the text's first n fields between blanks; one pass over it in either dialect
 TEXT = "replace(coalesce(d.text, ''), chr(10), ' ')"
-TITLE = "trim(" + " || ' ' || ".join(f"split_part({TEXT}, ' ', {i})" for i in range(1, 9)) + ")"
-SHORT = "trim(" + " || ' ' || ".join(f"split_part({TEXT}, ' ', {i})" for i in range(1, 6)) + ")"
+TITLE, SHORT = (f"trim(FIRST{n}({TEXT}))" for n in (8, 5))
 S = "AS STRING)"
 ARXIV = f"('23' || lpad(CAST(d.doc_id % 12 + 1 {S}, 2, '0') || '.' || lpad(CAST(d.doc_id % 100000 {S}, 5, '0'))"
 AUTHORS = "ARR(n1.n_name || ', A.', n2.n_name || ', B.')"
@@ -72,13 +74,17 @@ FROM {{events}}
 TABLES = ("documents", "pages", "labels", "events", "nation")
 
 
+def _first(sql: str, put: str) -> str:
+    return re.sub(r"FIRST(\d)\(" + re.escape(TEXT) + r"\)", lambda m: put.format(text=TEXT, n=m[1]), sql)
+
+
 def duck(sql: str) -> str:
-    return sql.format(**{t: t for t in TABLES}).replace("ARR(", "list_value(")
+    return _first(sql.format(**{t: t for t in TABLES}), "array_to_string(string_split({text}, ' ')[1:{n}], ' ')").replace("ARR(", "list_value(")
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql.replace("{{", "").replace("}}", "")}
-    text = sql.replace("ARR(", "array(")
+    text = _first(sql, "substring_index({text}, ' ', {n})").replace("ARR(", "array(")
     for t in used:
         text = text.replace("{" + t + "}", f"<{t}>")
     text = text.replace("{{", "{").replace("}}", "}")

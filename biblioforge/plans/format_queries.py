@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import plaintext as P
 from ..sources import catalog as G
-from ..sources import formats
+from ..sources import formats, large
+from ..storage import delete, discard, keep, shared_path
 from . import derived as D
 from .queries import CAT, N, PLAIN, _rendered
 
@@ -103,6 +104,133 @@ def p15_generic_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 GENERIC = f"SELECT work_id, 'The ' || trim(regexp_replace(title, '[^A-Za-z0-9]+', ' ', 'g') || ' x') || ' and what follows' AS title FROM {CAT} WHERE length(title) > 0"
 
-QUERIES = {f.__name__: f for f in (s12_s15_catalog, s8_tei, s2_mixed_files, p3_p8_p9_text, p15_generic_fields)}
 
-ORACLES = {"s12_s15_catalog": SOURCES_MAPPED, "s8_tei": TEI_SQL, "s2_mixed_files": MIXED, "p3_p8_p9_text": TEXT_SQL, "p15_generic_fields": GENERIC}
+
+def s3_macros(spark: SparkSession, sf: str) -> DataFrame:
+    """Files with @string macros: plain, joined, made of later macros, of months, and unknown ones."""
+    head = '@string{both = pre # {all}}\n@STRING(pre = "Journal of ")\n@string{pre2 = {Old }}\n@string{pre2 = pre}\n\n'
+    entry = (
+        "concat('@article{k', n, ',\n  title = {', replace(title, '#', ''), '} # \" \" # apr,\n  author = {', array_join(authors, ' and '), '},\n  journal = ', CASE n % 4 WHEN 0 THEN 'both' WHEN 1 THEN 'nowhere' "
+        "WHEN 2 THEN concat('pre2 # {', substring(venue, 12, 100), '}') ELSE concat('PRE # \"', substring(venue, 12, 100), '\" ') END, ',\n  year = ', year, ',\n  doi = {', doi, '}\n}')"
+    )
+    refs = formats.parse_bibtex(_rendered(spark, sf, entry, around=(head, "")))
+    return refs.select("title", F.array_join("authors", "; ").alias("authors"), "year", "venue", "doi")
+
+
+MACROS = f"""SELECT trim(replace(title, '#', '')) || ' April' AS title, array_to_string(authors, '; ') AS authors, year, CASE {N} % 4 WHEN 0 THEN 'Journal of all' WHEN 1 THEN 'nowhere' ELSE venue END AS venue, doi
+FROM {CAT} WHERE length(title) > 0"""
+
+
+def _written(rows: DataFrame, *by: str) -> str:
+    """Texts as files of lines in the shared folder."""
+    path = shared_path(rows.sparkSession, "files")
+    (rows.write.partitionBy(*by) if by else rows.write).text(path)
+    return path
+
+
+def _works(spark: SparkSession, sf: str) -> DataFrame:
+    return D.catalog(spark, sf).where("title IS NOT NULL").withColumn("n", F.substring("work_id", 2, 30).cast("long"))
+
+
+SPLIT = {
+    "bibtex": "concat('@article{k', n, ',\n  title = {{', title, '}},\n  note = {one\n@two},\n  doi = {', doi, '}\n}\n')", "ris": "concat('TY  - JOUR\nTI  - ', title, '\nDO  - ', doi, '\nER  - ')",
+    "nbib": "concat('PMID- ', n, '\nTI  - ', title, '\nLID - ', doi, ' [doi]\n')", "doi_list": "concat('https://doi.org/', doi, '.')",
+}
+
+
+def s1_split_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every work in a file of each of four formats, read record by record."""
+    works, out, paths = keep(_works(spark, sf)), None, []
+    for kind, entry in SPLIT.items():
+        paths.append(_written(works.select(F.expr(entry))))
+        refs = large.parse_split(spark, paths[-1], kind).select(F.lit(kind).alias("kind"), "title", "doi")
+        out = refs if out is None else out.unionByName(refs)
+    done = keep(out)
+    discard(works)
+    for p in paths:
+        delete(spark, p)
+    return done
+
+
+SPLIT_FILES = f"""SELECT k.kind, CASE WHEN k.kind <> 'doi_list' THEN title END AS title, doi FROM {CAT}, (SELECT unnest(['bibtex', 'ris', 'nbib', 'doi_list']) AS kind) k WHERE length(title) > 0"""
+
+
+def _xml_dump(spark: SparkSession, sf: str, source: str) -> tuple[DataFrame, DataFrame, str]:
+    """A source's dump in which every fiftieth work has a broken record before its own."""
+    works = D.catalog(spark, sf).withColumn("n", F.substring("work_id", 2, 30).cast("long")).where(F.col("n") % 4 == {"PubMed": 0, "arXiv": 3}[source])
+    tag = G.DUMPS[source].row_tag
+    record = F.expr(PAYLOADS[source])
+    path = _written(works.select(F.when(F.floor(F.col("n") / 4) % 50 == 0, F.concat(F.lit(f"<{tag}><title>never < ended</{tag}>\n"), record)).otherwise(record)))
+    return *large.catalog_of_dump(spark, path, source), path
+
+
+def s12_s14_dumps(spark: SparkSession, sf: str) -> DataFrame:
+    """XML dumps with broken records by row tag."""
+    made = [_xml_dump(spark, sf, s) for s in ("PubMed", "arXiv")]
+    works = made[0][0].unionByName(made[1][0])
+    out = keep(works.select("source", "title", F.array_join("authors", "; ").alias("authors"), "year", "venue", "doi", "arxiv_id", "pmid"))
+    for _, _, path in made:
+        delete(spark, path)
+    return out
+
+
+DUMPED = f"SELECT source, title, authors, year, venue, doi, arxiv_id, pmid FROM ({SOURCES_MAPPED}) WHERE source IN ('PubMed', 'arXiv')"
+
+
+def s12_s14_broken_records(spark: SparkSession, sf: str) -> DataFrame:
+    out, paths = None, []
+    for source in ("PubMed", "arXiv"):
+        _, read, path = _xml_dump(spark, sf, source)
+        paths.append(path)
+        counted = large.broken(read).select(F.lit(source).alias("source"), "records", "broken")
+        out = counted if out is None else out.unionByName(counted)
+    done = keep(out)
+    for p in paths:
+        delete(spark, p)
+    return done
+
+
+BROKEN = f"""SELECT CASE {N} % 4 WHEN 0 THEN 'PubMed' ELSE 'arXiv' END AS source, count(*) + count(*) FILTER ({N} // 4 % 50 = 0) AS records, count(*) FILTER ({N} // 4 % 50 = 0) AS broken FROM {CAT} WHERE {N} % 4 IN (0, 3) GROUP BY 1"""
+
+# Two snapshots: all works, and a month later a third of them with another title and year.
+SNAPSHOT = """to_json(named_struct('id', work_id, 'title', if(late, concat(title, ' revised'), title), 'doi', concat('https://doi.org/', doi), 'publication_year', if(late, year + 1, year),
+  'authorships', transform(authors, a -> named_struct('author', named_struct('display_name', a)))))"""
+
+
+def _snapshots(spark: SparkSession, sf: str) -> str:
+    works = _works(spark, sf).select("*", F.explode(F.expr("if(n % 3 = 0, array(false, true), array(false))")).alias("late"))
+    cut = F.when(F.col("n") % 40 == 0, F.concat(F.lit('{"id": "cut", "title": "no end\n'), F.expr(SNAPSHOT))).otherwise(F.expr(SNAPSHOT))
+    return _written(works.select(cut.alias("value"), F.when(F.col("late"), "2024-02-01").otherwise("2024-01-01").alias("date")), "date")
+
+
+def s9_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest record of each work over dated JSON-lines snapshots with broken lines."""
+    path = _snapshots(spark, sf)
+    works, _ = large.catalog_of_dump(spark, path, "OpenAlex")
+    out = keep(works.select("work_id", "title", F.array_join("authors", "; ").alias("authors"), "year", "doi"))
+    delete(spark, path)
+    return out
+
+
+NEWEST = f"SELECT 'OpenAlex:' || work_id AS work_id, CASE WHEN {N} % 3 = 0 THEN title || ' revised' ELSE title END AS title, array_to_string(authors, '; ') AS authors, year + CASE WHEN {N} % 3 = 0 THEN 1 ELSE 0 END::INT AS year, doi FROM {CAT} WHERE length(title) > 0"
+
+
+def s9_broken_lines(spark: SparkSession, sf: str) -> DataFrame:
+    path = _snapshots(spark, sf)
+    _, read = large.catalog_of_dump(spark, path, "OpenAlex")
+    out = keep(large.broken(read, "date").select(F.col("date").cast("string").alias("date"), "records", "broken"))
+    delete(spark, path)
+    return out
+
+
+BROKEN_LINES = f"""WITH x AS (SELECT {N} AS n FROM {CAT} WHERE length(title) > 0), s AS (SELECT n, '2024-01-01' AS date FROM x UNION ALL SELECT n, '2024-02-01' FROM x WHERE n % 3 = 0)
+SELECT date, count(*) + count(*) FILTER (n % 40 = 0) AS records, count(*) FILTER (n % 40 = 0) AS broken FROM s GROUP BY 1"""
+
+QUERIES = {f.__name__: f for f in (
+    s12_s15_catalog, s8_tei, s2_mixed_files, p3_p8_p9_text, p15_generic_fields, s3_macros, s1_split_files, s12_s14_dumps, s12_s14_broken_records, s9_snapshots, s9_broken_lines,
+)}
+
+ORACLES = {
+    "s12_s15_catalog": SOURCES_MAPPED, "s8_tei": TEI_SQL, "s2_mixed_files": MIXED, "p3_p8_p9_text": TEXT_SQL, "p15_generic_fields": GENERIC, "s3_macros": MACROS, "s1_split_files": SPLIT_FILES,
+    "s12_s14_dumps": DUMPED, "s12_s14_broken_records": BROKEN, "s9_snapshots": NEWEST, "s9_broken_lines": BROKEN_LINES,
+}

@@ -13,11 +13,13 @@ from ..operators import checks as C
 from ..operators import matching as M
 from ..operators import plaintext as P
 from ..operators import summary as A
-from ..schemas import CATALOG, REFS, SOURCES, conform, priority
+from ..operators.title_index import build_index, open_index, search_index
+from ..schemas import CATALOG, REFS, Source, conform, priority, sources
 from ..sources import catalog as G
 from ..sources import formats, sinks
+from ..storage import delete, discard, keep, shared_path
 from . import derived as D
-from .verify import Options, verify
+from .verify import Options, Run, verify, verify_incremental
 
 CAT, REF, LOG, ANS, CACHE = (f"({D.duck(s)})" for s in (D.CATALOG_SQL, D.REFS_SQL, D.FETCH_SQL, D.ANSWERS_SQL, D.CACHE_SQL))
 EXACT = Options(search=False, domain_mode="none")
@@ -50,25 +52,30 @@ UNION ALL SELECT * FROM ({URL_HITS}) u WHERE ref_id NOT IN (SELECT ref_id FROM (
 
 
 def j5_title_search(spark: SparkSession, sf: str) -> DataFrame:
-    core = F.array(*map(F.lit, M.CORE_SOURCES))
-    return M.search_titles(D.refs(spark, sf), D.catalog(spark, sf), core).select("ref_id", "work_id", "source", "rank")
+    return M.search_titles(D.refs(spark, sf), D.catalog(spark, sf), F.array(*map(F.lit, sources("core")))).select("ref_id", "work_id", "source", "rank")
 
 
 TOKENS = "list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'))"
-# all pairs that share a token, without blocks
-TITLE_SEARCH = f"""
-WITH c AS (SELECT *, {TOKENS} AS tk FROM {CAT} WHERE length(title) > 0), r AS (SELECT *, {TOKENS} AS tk FROM {REF} WHERE length(title) > 0),
+
+
+def _title_search_sql(works: str, refs: str, may: str) -> str:
+    """All pairs that share a token, without blocks. ``may`` is what else a pair has to fulfil."""
+    return f"""
+WITH c AS (SELECT *, {TOKENS} AS tk FROM {works} WHERE length(title) > 0), r AS (SELECT *, {TOKENS} AS tk FROM {refs} WHERE length(title) > 0),
 ct AS (SELECT source, work_id, unnest(tk) AS token FROM c), n AS (SELECT source, count(*) AS total FROM c GROUP BY 1),
 df AS (SELECT source, token, round(ln(1 + total / df) * 1e6)::BIGINT AS idf FROM (SELECT source, token, count(*) AS df FROM ct GROUP BY 1, 2) JOIN n USING (source)),
 rt AS (SELECT ref_id, n.source, token, idf, coalesce(idf, round(ln(1 + total) * 1e6)::BIGINT) AS weight FROM (SELECT ref_id, unnest(tk) AS token FROM r) CROSS JOIN n LEFT JOIN df USING (source, token)),
 rw AS (SELECT ref_id, source, sum(weight) AS rw FROM rt GROUP BY 1, 2), ww AS (SELECT source, work_id, sum(idf) AS ww FROM ct JOIN df USING (source, token) GROUP BY 1, 2),
 s AS (SELECT ref_id, source, work_id, sum(idf) AS weight FROM rt JOIN ct USING (source, token) WHERE idf IS NOT NULL GROUP BY 1, 2, 3),
 w AS (SELECT s.* FROM s JOIN rw USING (ref_id, source) JOIN ww USING (source, work_id) JOIN r USING (ref_id) JOIN c USING (work_id)
-  WHERE 2 * s.weight >= least(rw, ww) AND (s.source <> 'OpenAlex' OR c.year = r.year OR r.year IS NULL))
+  WHERE 2 * s.weight >= least(rw, ww) AND ({may}))
 SELECT ref_id, work_id, source, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ref_id, source ORDER BY weight DESC, work_id) AS rank FROM w) WHERE rank <= 5
 """
 
 
+TITLE_SEARCH = _title_search_sql(CAT, REF, "s.source <> 'OpenAlex' OR c.year = r.year OR r.year IS NULL")
+
+
 def m2_m3_scores(spark: SparkSession, sf: str) -> DataFrame:
     r, c = D.refs(spark, sf), D.catalog(spark, sf)
     both = r.select("ref_id", F.col("authors").alias("ra"), F.col("year").alias("ry")).join(c.select(F.concat(F.lit("r"), F.substring("work_id", 2, 30)).alias("ref_id"), F.col("authors").alias("ca"), F.col("year").alias("cy")), "ref_id")
@@ -191,7 +198,7 @@ FROM v JOIN u USING (ref_id) JOIN {REF} r USING (ref_id)
 def w1_best_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as hits of their order: few scores, so that most orders have ties."""
     tiers = F.array(*map(F.lit, ("doi", "arxiv_id", "title", "pmid", "url")))
-    rows = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("source", F.element_at(F.array(*map(F.lit, SOURCES)), (F.col("l_suppkey") % 7 + 1).cast("int")))
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("source", F.element_at(F.array(*map(F.lit, sources())), (F.col("l_suppkey") % 7 + 1).cast("int")))
     hits = rows.select(
         F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("ref_id"), F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("work_id"), "source",
         F.element_at(tiers, (F.col("l_partkey") % 5 + 1).cast("int")).alias("via"), (F.col("l_linenumber") % 3).cast("int").alias("rank"), priority(F.col("source")).alias("source_priority"),
@@ -429,10 +436,117 @@ SELECT ref_id, work_id, source, max(via) AS via, 1 AS rank FROM h WHERE list_con
 """
 
 
+def j6_domain_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Title search of domain sources: where a reference is routed, PubMed by its first author."""
+    refs, works = _domain(spark, sf)
+    return M.search_titles(refs.withColumn("_to", M.routed()), works, F.col("_to")).select("ref_id", "work_id", "source", "rank")
+
+
+SURNAMES = "list_transform({}, lambda x: lower(split_part(x, ',', 1)))"
+DOMAIN_TITLES = _title_search_sql(f"({DOMAIN_SQL})", f"({ROUTED})", f"list_contains(ways, s.source) AND (s.source <> 'PubMed' OR list_contains({SURNAMES.format('c.authors')}, {SURNAMES.format('r.authors')}[1]))")
+
+
+def j5_reopened_index(spark: SparkSession, sf: str) -> DataFrame:
+    """An index that is written, opened again by its path and asked by two sets of references."""
+    path = shared_path(spark, "titles")
+    build_index(D.catalog(spark, sf), path)
+    index, core = open_index(spark, path), F.array(*map(F.lit, sources("core")))
+    refs = keep(D.refs(spark, sf))
+    parts = [search_index(refs.where(F.col("pos") % 2 == k), index, core) for k in (0, 1)]
+    out = keep(parts[0].unionByName(parts[1]).select("ref_id", "work_id", "source", "rank"))
+    discard(refs, *parts)
+    index.drop(spark)
+    return out
+
+
+# Results of earlier runs: two thirds of the references, then all, then all after failures have expired.
+RUNS = (("2024-01-10 00:00:00", "pos % 3 > 0"), ("2024-01-10 12:00:00", "true"), ("2024-01-12 00:00:00", "true"))
+
+
+def _runs(spark: SparkSession, sf: str) -> tuple[list[Run], K.Store]:
+    store, refs, catalog, log = K.Store(shared_path(spark, "results"), 16), keep(D.refs(spark, sf)), keep(D.catalog(spark, sf)), keep(D.fetch_log(spark, sf))
+    done = [verify_incremental(refs.where(which), catalog, store, F.lit(now).cast("timestamp"), log, opts=EXACT) for now, which in RUNS]
+    discard(refs, catalog, log)
+    return done, store
+
+
+def c13_incremental_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """What the second run says, two thirds of it from results of the first."""
+    runs, store = _runs(spark, sf)
+    discard(runs[0].reports, runs[2].reports)
+    delete(spark, store.path)
+    return runs[1].reports.select("ref_id", "existence.work_id", F.col("existence.status").alias("existence_status"), "url_liveness.status")
+
+
+def c13_incremental_work(spark: SparkSession, sf: str) -> DataFrame:
+    """How many references and links each run had to work on."""
+    runs, store = _runs(spark, sf)
+    discard(*(r.reports for r in runs))
+    rows = store.read(spark).agg(F.count("*")).first()[0]
+    delete(spark, store.path)
+    return spark.createDataFrame([(i + 1, r.references, r.links, rows) for i, r in enumerate(runs)], "run int, references_new long, links_new long, stored long")
+
+
+# a result is filed under an identity and comes from its first reference
+FILED = f"""SELECT *, coalesce(doi, arxiv_id, nullif(title, '') || '|' || year) AS identity, coalesce(coalesce(doi, arxiv_id, nullif(title, '') || '|' || year), ref_id) AS file FROM {REF}"""
+
+
+def _lead_sql(which: str) -> str:
+    return f"SELECT ref_id, file, identity, first_value(ref_id) OVER (PARTITION BY file ORDER BY doc_id, pos, ref_id) AS lead FROM ({FILED}) WHERE {which}"
+
+
+# the second run has the first run's results, else those of its own first references
+INCREMENTAL_REPORTS = f"""
+WITH one AS ({_lead_sql(RUNS[0][1])}), two AS ({_lead_sql(RUNS[1][1])}), l AS (SELECT two.ref_id, coalesce(o.lead, two.lead) AS lead FROM two LEFT JOIN (SELECT DISTINCT file, lead FROM one) o USING (file)),
+v AS ({VERDICTS}), u AS ({URL_AUDIT})
+SELECT l.ref_id, v.work_id, v.existence_status, CASE WHEN u.total_urls > 0 THEN u.status END AS status FROM l JOIN v ON v.ref_id = l.lead JOIN u ON u.ref_id = l.ref_id
+"""
+INCREMENTAL_WORK = f"""
+WITH one AS ({_lead_sql(RUNS[0][1])}), two AS ({_lead_sql(RUNS[1][1])}), v AS ({VERDICTS}), s AS ({URL_STATUS}),
+l AS (SELECT DISTINCT two.file, two.identity, coalesce(o.lead, two.lead) AS lead, o.file IS NULL AS late FROM two LEFT JOIN (SELECT DISTINCT file, lead FROM one) o USING (file)),
+f AS (SELECT l.*, v.existence_status = 'FAIL' AS failed FROM l JOIN v ON v.ref_id = l.lead),
+k AS (SELECT url, status, bool_or(pos % 3 > 0) AS early FROM (SELECT pos, unnest(urls) AS url FROM {REF}) JOIN s USING (url) GROUP BY 1, 2),
+n AS (SELECT (SELECT count(*) FROM f WHERE identity IS NOT NULL) + (SELECT count(*) FROM k) AS stored)
+SELECT 1::INT AS run, (SELECT count(*) FROM f WHERE NOT late) AS references_new, (SELECT count(*) FROM k WHERE early) AS links_new, stored FROM n
+UNION ALL SELECT 2, (SELECT count(*) FROM f WHERE late OR identity IS NULL), (SELECT count(*) FROM k WHERE NOT early), stored FROM n
+UNION ALL SELECT 3, (SELECT count(*) FROM f WHERE failed OR identity IS NULL), (SELECT count(*) FROM k WHERE status = 'FAIL'), stored FROM n
+"""
+
+
+def s17_registered_source(spark: SparkSession, sf: str) -> DataFrame:
+    """An eighth source, first in ties, with every fifth work: it takes part in tiers, ties and best hits."""
+    payload = F.expr("to_json(named_struct('id', work_id, 'title', title, 'doi', doi, 'year', year, 'urls', urls, 'authors', authors))").alias("payload")
+    ddl = "id string, title string, doi string, year int, urls array<string>, authors array<string>"
+
+    def mapper(payloads: DataFrame) -> DataFrame:
+        p = payloads.select(F.from_json("payload", ddl).alias("p")).select("p.*")
+        return G.catalog_rows(p, "Repository", F.col("id"), title=F.col("title"), doi=F.col("doi"), year=F.col("year"), urls=F.col("urls"), authors=F.col("authors"))
+
+    G.register("Repository", mapper, Source(0, "core", ("doi",), "year"))
+    try:
+        refs, base = keep(D.refs(spark, sf)), keep(D.catalog(spark, sf))
+        more = G.union_catalog({"Repository": base.where("substring(work_id, 2, 30) % 5 = 0").select(payload)})
+        works = keep(base.unionByName(more))
+        hits = M.scored_cascade(refs, works, "none", search=False)
+        out = keep(M.best_hits(hits).join(works.select("work_id", "source"), "work_id").select("ref_id", "work_id", "source", "n_candidates"))
+        discard(refs, base, works, hits)
+    finally:
+        G.unregister("Repository")
+    return out
+
+
+REGISTERED = f"""
+WITH h AS ({EXACT_HITS}), w AS (SELECT work_id, substr(work_id, 2)::BIGINT % 5 = 0 AS twice FROM {CAT})
+SELECT ref_id, CASE WHEN twice AND via <> 'arxiv_id' THEN 'Repository:' || work_id ELSE work_id END AS work_id, CASE WHEN twice AND via <> 'arxiv_id' THEN 'Repository' ELSE source END AS source,
+  CASE WHEN twice AND via = 'doi' THEN 2 ELSE 1 END::BIGINT AS n_candidates FROM h JOIN w USING (work_id)
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     verdict_counts, j3_doi_lookup, j4_arxiv_lookup, j7_url_lookup, j9_exact_cascade, j5_title_search, j8_routing, m2_m3_scores, c3_url_status, c5_url_audit, c7_relevance, c9_exact_verdicts,
     c12_enriched, a1_summary_by_document, a4_rate_by_year, s19_markdown, k1_identities, k2_fresh_results, k4_purged_cache, s3_bibtex, s4_ris, s5_csl_json, s6_nbib, s7_doi_list,
     s9_s10_s11_catalog, p19_mined_references, p12_apa_lists, p13_vancouver_lists, p14_lncs_lists, k3_upsert, s16_open_access, p20_recovery_prompts, a3_unparsed, p21_recovered, j6_domain_lookup, w1_best_hits,
+    j6_domain_titles, j5_reopened_index, c13_incremental_reports, c13_incremental_work, s17_registered_source,
 )}
 
 ORACLES = {
@@ -468,6 +582,11 @@ ORACLES = {
     "p21_recovered": RECOVERED,
     "j6_domain_lookup": DOMAIN_HITS,
     "w1_best_hits": BEST_HITS,
+    "j6_domain_titles": DOMAIN_TITLES,
+    "j5_reopened_index": TITLE_SEARCH,
+    "c13_incremental_reports": INCREMENTAL_REPORTS,
+    "c13_incremental_work": INCREMENTAL_WORK,
+    "s17_registered_source": REGISTERED,
     "s19_markdown": MARKDOWN,
     "j8_routing": f"SELECT ref_id, CASE WHEN arxiv_id IS NOT NULL THEN 'DBLP' ELSE '' END AS sources FROM {REF}",
     "k4_purged_cache": f"""SELECT status, count(*) AS n, round(sum(confidence), 2) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY identifier ORDER BY created_at DESC, status DESC, confidence DESC, evidence DESC) AS k FROM {CACHE})

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..schemas import CATALOG, conform, present, priority
+from ..schemas import CATALOG, REGISTRY, Source, conform, present, priority
 
 # Payload schemas, explicit so that nothing is inferred.
 OPENALEX = (
@@ -51,9 +52,9 @@ def _plain_doi(c: Column) -> Column:
     return present(F.regexp_replace(c, r"^https?://(dx\.)?doi\.org/", ""))
 
 
-def from_openalex(payloads: DataFrame) -> DataFrame:
+def shape_openalex(rows: DataFrame) -> DataFrame:
     """S9."""
-    p = _json(payloads, OPENALEX)
+    p = rows
     return _catalog(
         p, "OpenAlex", present(F.col("id")), title=F.col("title"), authors=_names(F.transform("authorships", lambda a: a["author"]["display_name"])), year=F.col("publication_year"),
         venue=F.col("primary_location.source.display_name"), doi=_plain_doi(F.col("doi")), arxiv_id=X.arxiv_key(F.regexp_replace("ids.arxiv", r"^(https?://arxiv\.org/abs/|(?i:arxiv:))", "")),
@@ -61,9 +62,9 @@ def from_openalex(payloads: DataFrame) -> DataFrame:
     )
 
 
-def from_crossref(payloads: DataFrame) -> DataFrame:
+def shape_crossref(rows: DataFrame) -> DataFrame:
     """S10."""
-    p = _json(payloads, CROSSREF)
+    p = rows
     year = F.coalesce(*(F.get(F.get(F.col(f"`{n}`.`date-parts`"), F.lit(0)), F.lit(0)) for n in ("published-print", "published-online", "issued")))
     names = _names(F.transform("author", lambda a: F.concat_ws(" ", present(a["given"]), present(a["family"]))))
     return _catalog(
@@ -71,18 +72,18 @@ def from_crossref(payloads: DataFrame) -> DataFrame:
     )
 
 
-def from_semantic_scholar(payloads: DataFrame) -> DataFrame:
+def shape_semantic_scholar(rows: DataFrame) -> DataFrame:
     """Papers without a title are dropped."""
-    p = _json(payloads, SEMANTIC).where(F.length("title") > 0)
+    p = rows.where(F.length("title") > 0)
     return _catalog(
         p, "Semantic Scholar", present(F.col("paperId")), title=F.col("title"), authors=_names(F.transform("authors", lambda a: a["name"])), year=F.col("year"), venue=F.col("venue"),
         doi=F.col("externalIds.DOI"), arxiv_id=F.col("externalIds.ArXiv"), urls=F.array_compact(F.array("url")), abstract=F.col("abstract"),
     )
 
 
-def from_arxiv(payloads: DataFrame) -> DataFrame:
+def shape_arxiv(rows: DataFrame) -> DataFrame:
     """Ids keep no version."""
-    p = payloads.select(F.from_xml("payload", ARXIV).alias("p")).where("p IS NOT NULL").select("p.*")
+    p = rows
     squeeze = lambda c: X.strip(F.regexp_replace(c, r"\s+", " "))
     key = X.arxiv_key(X.group(F.col("id"), r"/abs/(\S+)$"))
     return _catalog(
@@ -91,9 +92,9 @@ def from_arxiv(payloads: DataFrame) -> DataFrame:
     )
 
 
-def from_dblp(payloads: DataFrame) -> DataFrame:
+def shape_dblp(rows: DataFrame) -> DataFrame:
     """An author is a string, an object or a list of either."""
-    p = _json(payloads, DBLP).select("info.*")
+    p = rows.select("info.*")
     a = F.trim("authors.author")
     many = F.from_json(a, "array<struct<text: string>>")
     plain = F.from_json(a, "array<string>")
@@ -108,9 +109,9 @@ def from_dblp(payloads: DataFrame) -> DataFrame:
     )
 
 
-def from_pubmed(payloads: DataFrame) -> DataFrame:
+def shape_pubmed(rows: DataFrame) -> DataFrame:
     """S14."""
-    p = payloads.select(F.from_xml("payload", PUBMED).alias("p")).where("p IS NOT NULL").select("p.MedlineCitation.PMID", "p.MedlineCitation.Article", "p.PubmedData.ArticleIdList.ArticleId")
+    p = rows.select("MedlineCitation.PMID", "MedlineCitation.Article", "PubmedData.ArticleIdList.ArticleId")
     doi = F.get(F.transform(F.filter("ArticleId", lambda i: i["_IdType"] == "doi"), lambda i: X.strip(i["_VALUE"])), F.lit(0))
     names = _names(F.transform("Article.AuthorList.Author", lambda a: F.concat_ws(" ", present(a["ForeName"]), present(a["LastName"]))))
     return _catalog(
@@ -119,9 +120,9 @@ def from_pubmed(payloads: DataFrame) -> DataFrame:
     )
 
 
-def from_google_books(payloads: DataFrame) -> DataFrame:
+def shape_google_books(rows: DataFrame) -> DataFrame:
     """Book numbers stay out of the DOI column."""
-    p = _json(payloads, GOOGLE_BOOKS).select("id", "volumeInfo.*")
+    p = rows.select("id", "volumeInfo.*")
     number = lambda k: F.get(F.transform(F.filter("industryIdentifiers", lambda i: i["type"] == k), lambda i: i["identifier"]), F.lit(0))
     return _catalog(
         p, "Google Books", present(F.col("id")), title=F.col("title"), authors=_names(F.col("authors")), year=F.regexp_substr("publishedDate", F.lit(X.YEAR)).try_cast("int"), venue=F.col("publisher"),
@@ -129,14 +130,59 @@ def from_google_books(payloads: DataFrame) -> DataFrame:
     )
 
 
-MAPPERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "Crossref": from_crossref, "OpenAlex": from_openalex, "Semantic Scholar": from_semantic_scholar, "arXiv": from_arxiv, "PubMed": from_pubmed, "DBLP": from_dblp, "Google Books": from_google_books,
+@dataclass(frozen=True)
+class Dump:
+    """A source's records: schema, mapping to catalog rows, the id that updates repeat, and for XML the
+    element that is a record."""
+
+    ddl: str
+    shape: Callable[[DataFrame], DataFrame]
+    key: str = ""
+    row_tag: str = ""
+
+
+def _fields(struct: str) -> str:
+    """The inside of a struct type, which is a table's schema too."""
+    return struct.removeprefix("struct<").removesuffix(">")
+
+
+DUMPS = {
+    "Crossref": Dump(CROSSREF, shape_crossref, "DOI"), "OpenAlex": Dump(OPENALEX, shape_openalex, "id"), "Semantic Scholar": Dump(SEMANTIC, shape_semantic_scholar, "paperId"),
+    "arXiv": Dump(_fields(ARXIV), shape_arxiv, row_tag="entry"), "PubMed": Dump(_fields(PUBMED), shape_pubmed, row_tag="PubmedArticle"), "DBLP": Dump(DBLP, shape_dblp, "info.url"),
+    "Google Books": Dump(GOOGLE_BOOKS, shape_google_books, "id"),
 }
 
 
-def register(source: str, mapper: Callable[[DataFrame], DataFrame]) -> None:
-    """A new source: a function from payload rows to catalog rows."""
-    MAPPERS[source] = mapper
+def _from_payloads(dump: Dump) -> Callable[[DataFrame], DataFrame]:
+    def read(payloads: DataFrame) -> DataFrame:
+        parsed = F.from_xml("payload", f"struct<{dump.ddl}>") if dump.row_tag else F.from_json("payload", dump.ddl)
+        return dump.shape(payloads.select(parsed.alias("p")).where("p IS NOT NULL").select("p.*"))
+
+    return read
+
+
+#: By source, a function from rows with a payload each to catalog rows.
+MAPPERS: dict[str, Callable[[DataFrame], DataFrame]] = {name: _from_payloads(dump) for name, dump in DUMPS.items()}
+from_crossref, from_openalex, from_semantic_scholar, from_arxiv = (MAPPERS[n] for n in ("Crossref", "OpenAlex", "Semantic Scholar", "arXiv"))
+from_pubmed, from_dblp, from_google_books = (MAPPERS[n] for n in ("PubMed", "DBLP", "Google Books"))
+
+
+def register(name: str, mapper: Callable[[DataFrame], DataFrame], source: Source) -> None:
+    """A new source: a function from payload rows to catalog rows, and what matching has to know of
+    it. Every tier, tie and filter reads that record."""
+    MAPPERS[name] = mapper
+    REGISTRY[name] = source
+
+
+def unregister(name: str) -> None:
+    MAPPERS.pop(name, None)
+    REGISTRY.pop(name, None)
+
+
+def catalog_rows(rows: DataFrame, source: str, work: Column, **columns: Column) -> DataFrame:
+    """For mappers: columns of the catalog under a source's name and priority; ``work`` is the
+    source's own id, or null to make one of the content."""
+    return _catalog(rows, source, work, **columns)
 
 
 def union_catalog(payloads: dict[str, DataFrame]) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..operators import plaintext
 from ..schemas import REFS, conform, present
+from ..storage import discard, keep
 
 # File suffixes and the formats they mean.
 SUFFIXES = {".bib": "bibtex", ".ris": "ris", ".json": "csl_json", ".nbib": "nbib"}
@@ -24,12 +25,14 @@ SUFFIXES = {".bib": "bibtex", ".ris": "ris", ".json": "csl_json", ".nbib": "nbib
 # Identifiers in BibTeX fields.
 EPRINT = r"^(\d{4}\.\d+|[a-z\-]+/\d+)"
 BIBTEX_ARXIV = r"arxiv\.org/abs/([^\s/]+)"
+BIBTEX_ENTRY = r"(?m)^(?=[^\S\n]*@\w+\s*[{(])"
 
 
-def read_files(spark: SparkSession, path: str, hint: str | None = None) -> DataFrame:
+def read_files(spark: SparkSession, path: str | list[str], hint: str | None = None, only: Column | None = None) -> DataFrame:
     """(path, format, text), a row per file; invalid bytes are replaced. The suffix decides the
-    format, a hint overrides it, and anything else is sniffed."""
-    raw = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("binary").alias("b"))
+    format, a hint overrides it, and anything else is sniffed. ``only`` chooses files by length;
+    for files larger than a task see ``large``."""
+    raw = spark.read.format("binaryFile").load(path).where(F.lit(True) if only is None else only).select("path", F.col("content").cast("binary").alias("b"))
 
     @F.pandas_udf(T.StringType())
     def decode(b: pd.Series) -> pd.Series:
@@ -56,10 +59,13 @@ def sniff(text: Column) -> Column:
 
 
 def _refs(rows: DataFrame, **columns: Column) -> DataFrame:
-    """Rows (doc_id, pos, ...) with the given fields, as references."""
+    """Rows (doc_id, pos, ...) with the given fields, as references. A pos of two parts is a large
+    file's: the record or block, and the place in it; the reference's pos is the first."""
     made = rows.select("doc_id", "pos", *(c.alias(n) for n, c in columns.items()))
-    made = made.withColumn("doc_id", F.col("doc_id").cast("string"))
-    return conform(made.withColumn("ref_id", F.sha2(F.concat_ws("|", "doc_id", F.col("pos").cast("string")), 256)), REFS)
+    two = isinstance(made.schema["pos"].dataType, T.StructType)
+    place = F.to_json("pos") if two else F.col("pos").cast("string")
+    made = made.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("ref_id", F.sha2(F.concat_ws("|", "doc_id", place), 256))
+    return conform(made.withColumn("pos", F.col("pos")[made.schema["pos"].dataType.names[0]] if two else F.col("pos")), REFS)
 
 
 def _arxiv_in(urls: Column) -> Column:
@@ -70,44 +76,105 @@ def _outside_arxiv(urls: Column) -> Column:
     return F.coalesce(F.filter(urls, lambda u: (u != "") & ~u.contains("arxiv.org")), F.array().cast("array<string>"))
 
 
-def scan_entry(entry: str) -> dict[str, str] | None:
-    """S3 for one entry: its kind, key and fields, by counting braces."""
-    head = re.match(r"\s*@(\w+)\s*[{(]\s*([^,\s]*)\s*,", entry)
-    if not head or head[1].lower() in ("comment", "preamble", "string"):
-        return None
-    out, at = {"ENTRYTYPE": head[1].lower(), "ID": head[2]}, head.end()
-    while m := re.compile(r"\s*([\w-]+)\s*=\s*").match(entry, at):
-        at, depth, start = m.end(), 0, m.end()
-        quoted = entry[at : at + 1] == '"'
-        while at < len(entry):
-            c = entry[at]
-            if c == "{":
-                depth += 1
-            elif c == "}":
-                if not depth:
-                    break
-                depth -= 1
-            elif not depth and (c == '"' and quoted and at > start):
-                at += 1
-                break
-            elif not depth and c == "," and not quoted:
-                break
-            at += 1
-        value = entry[start:at].strip()
-        out[m[1].lower()] = value[1:-1] if value[:1] == '"' and value[-1:] == '"' and len(value) > 1 else value
-        at = re.compile(r"\s*,?").match(entry, at).end()
-    return out
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+#: A value is parts joined by #: text, or the name of a macro.
+PARTS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("text", T.StringType())]))
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def bibtex_entry(entries: pd.Series) -> pd.Series:
-    return entries.map(lambda e: scan_entry(e) if e else None)
+def scan_value(entry: str, at: int) -> tuple[list[dict[str, str | None]], int]:
+    """The parts of a value from ``at`` on, and where it ends."""
+    parts = []
+    while True:
+        at = re.compile(r"\s*").match(entry, at).end()
+        start, depth, c = at, 0, entry[at : at + 1]
+        if c in ("{", '"'):
+            at += 1
+            while at < len(entry) and not (depth == 0 and entry[at] == ("}" if c == "{" else '"')):
+                if entry[at] == "}" and not depth:
+                    break
+                depth += {"{": 1, "}": -1}.get(entry[at], 0)
+                at += 1
+            parts.append({"name": None, "text": entry[start + 1 : at]})
+            at += entry[at : at + 1] != "" and not (c == '"' and entry[at] == "}")
+        else:
+            at = re.compile(r"[^,#{}()]*").match(entry, at).end()
+            word = entry[start:at].strip()
+            macro = re.fullmatch(r"[^\W\d][\w:.+/-]*", word)
+            parts.append({"name": word.lower() if macro else None, "text": word})
+        joined = re.compile(r"\s*#").match(entry, at)
+        if not joined:
+            # what stands between a value's end and the next comma belongs to nobody
+            return parts, re.compile(r"[^,]*,?" if re.compile(r"\s*[^\s,})]").match(entry, at) else r"\s*,?").match(entry, at).end()
+        at = joined.end()
+
+
+def scan_entry(entry: str) -> tuple[str, dict[str, list]] | None:
+    """S3 for one entry: its kind and fields, by counting braces. A @string has its names as fields."""
+    head = re.match(r"\s*@(\w+)\s*[{(]\s*", entry)
+    if not head or head[1].lower() in ("comment", "preamble"):
+        return None
+    kind, out, at = head[1].lower(), {}, head.end()
+    if kind != "string":
+        key = re.compile(r"([^,\s]*)\s*,").match(entry, at)
+        if not key:
+            return None
+        at = key.end()
+    while m := re.compile(r"\s*([\w:.+/-]+)\s*=").match(entry, at):
+        out[m[1].lower()], at = scan_value(entry, m.end())
+    return kind, out
+
+
+@F.pandas_udf(T.StructType([T.StructField("kind", T.StringType()), T.StructField("fields", T.MapType(T.StringType(), PARTS))]))
+def bibtex_entry(entries: pd.Series) -> pd.DataFrame:
+    found = [(e and scan_entry(e)) or (None, None) for e in entries]
+    return pd.DataFrame({"kind": [k for k, _ in found], "fields": [f for _, f in found]})
+
+
+def _filled(parts: Column, values: Column) -> Column:
+    """Parts with the macros that ``values`` (a map) knows put in; of others the name stays."""
+    return F.transform(parts, lambda p: F.struct(F.when(values[p["name"]].isNull(), p["name"]).alias("name"), F.coalesce(values[p["name"]], p["text"]).alias("text")))
+
+
+def _text(parts: Column) -> Column:
+    return F.array_join(F.transform(parts, lambda p: p["text"]), "")
+
+
+def macros(entries: DataFrame, most: int = 8) -> DataFrame:
+    """(doc_id, name, value) of a file's @string entries; of a name that is set twice the last. Values
+    that are made of macros are filled in, from one to the next, up to ``most`` times; one that leads back to itself stays a name."""
+    rows = entries.where("kind = 'string'").select("doc_id", "pos", F.explode("fields").alias("name", "parts"))
+    rows = rows.groupBy("doc_id", "name").agg(F.max_by("parts", "pos").alias("parts"))
+    months = F.map_from_entries(F.array(*(F.struct(F.lit(m[:3].lower()), F.lit(m)) for m in MONTHS)))
+    rows = keep(rows.withColumn("parts", _filled(F.col("parts"), months)))
+    for _ in range(most):
+        open_ = rows.where(F.exists("parts", lambda p: p["name"].isNotNull()))
+        uses = open_.select("doc_id", "name", F.explode(F.filter("parts", lambda p: p["name"].isNotNull())).alias("p")).select("doc_id", "name", F.col("p.name").alias("of")).where("name <> of")
+        known = uses.join(rows.where(~F.exists("parts", lambda p: p["name"].isNotNull())).select("doc_id", F.col("name").alias("of"), _text(F.col("parts")).alias("value")), ["doc_id", "of"])
+        if known.isEmpty():
+            break
+        put = known.groupBy("doc_id", "name").agg(F.map_from_entries(F.collect_set(F.struct("of", "value"))).alias("m"))
+        better = keep(rows.join(put, ["doc_id", "name"], "left").select("doc_id", "name", F.when(F.col("m").isNull(), F.col("parts")).otherwise(_filled(F.col("parts"), F.col("m"))).alias("parts")))
+        discard(rows)
+        rows = better
+    return rows.select("doc_id", "name", _text(F.col("parts")).alias("value"))
 
 
 def parse_bibtex(texts: DataFrame) -> DataFrame:
-    """S3."""
-    parts = texts.select("doc_id", F.posexplode(F.split(F.concat(F.lit("\n"), "text"), r"(?m)^(?=[^\S\n]*@\w+\s*[{(])")).alias("pos", "raw")).where("raw rlike '@'")
-    rows = parts.select("doc_id", "pos", X.strip(F.col("raw")).alias("raw"), bibtex_entry("raw").alias("e")).where("e IS NOT NULL")
+    """S3. Macros hold in their own file; those of months are known everywhere. Each entry meets the
+    few that it names by a join, so a file's macros are never gathered."""
+    return _bibtex(texts.select("doc_id", F.posexplode(F.split(F.concat(F.lit("\n"), "text"), BIBTEX_ENTRY)).alias("pos", "raw")))
+
+
+def _bibtex(pieces: DataFrame) -> DataFrame:
+    parts = pieces.where("raw rlike '@'")
+    rows = keep(parts.select("doc_id", "pos", X.strip(F.col("raw")).alias("raw"), bibtex_entry("raw").alias("e")).where("e.kind IS NOT NULL").select("doc_id", "pos", "raw", "e.kind", "e.fields"))
+    named = F.array_distinct(F.flatten(F.transform(F.map_values("fields"), lambda v: F.transform(F.filter(v, lambda p: p["name"].isNotNull()), lambda p: p["name"]))))
+    works = rows.where("kind <> 'string'")
+    uses = works.select("doc_id", "pos", F.explode(named).alias("name"))
+    months = F.map_from_entries(F.array(*(F.struct(F.lit(m[:3].lower()), F.lit(m)) for m in MONTHS)))
+    put = uses.join(macros(rows), ["doc_id", "name"]).groupBy("doc_id", "pos").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m"))
+    works = works.join(put, ["doc_id", "pos"], "left").withColumn("m", F.coalesce("m", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
+    rows = works.withColumn("e", F.transform_values("fields", lambda _, v: _text(_filled(_filled(v, F.col("m")), months)))).drop("m", "fields")
     field = lambda n: present(X.strip(F.regexp_replace(F.regexp_replace(F.col("e")[n], r"[{}]", ""), r"\s+", " ")))
     url = field("url")
     authors = F.filter(F.transform(F.split(field("author"), r"(?i)\s+and\s+"), X.strip), lambda a: a != "")
@@ -119,11 +186,16 @@ def parse_bibtex(texts: DataFrame) -> DataFrame:
     )
 
 
+def _base(texts: DataFrame) -> Column:
+    """Where a text's records begin to count, for texts that are parts of files."""
+    return (F.col("base") if "base" in texts.columns else F.lit(0)).alias("base")
+
+
 def _tagged(texts: DataFrame, entry: str, line: str, fold: str | None = None) -> DataFrame:
     """Entries of ``TAG - value`` lines: (doc_id, pos, raw, t) with t an array of (tag, value)."""
     text = F.regexp_replace(F.col("text"), r"\r\n?", "\n")
     text = F.regexp_replace(text, fold, " ") if fold else text
-    parts = texts.select("doc_id", F.posexplode(F.split(text, entry)).alias("pos", "raw")).where(F.col("raw").rlike(line))
+    parts = texts.select("doc_id", _base(texts), F.posexplode(F.split(text, entry)).alias("pos", "raw")).where(F.col("raw").rlike(line)).withColumn("pos", F.col("base") + F.col("pos"))
     pairs = F.filter(
         F.transform(F.split("raw", "\n"), lambda x: F.struct(F.regexp_extract(x, line, 1).alias("tag"), X.strip(F.regexp_extract(x, line, 2)).alias("value"))), lambda p: p["tag"] != ""
     )
@@ -186,7 +258,7 @@ def parse_csl_json(texts: DataFrame) -> DataFrame:
 
 def parse_doi_list(texts: DataFrame) -> DataFrame:
     """S7."""
-    rows = texts.select("doc_id", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "raw"))
+    rows = texts.select("doc_id", _base(texts), F.posexplode(F.split("text", r"\r?\n")).alias("pos", "raw")).withColumn("pos", F.col("base") + F.col("pos"))
     return _refs(rows.withColumn("doi", X.find_doi(F.col("raw"))).where("doi IS NOT NULL"), raw=X.strip(F.col("raw")), doi=F.col("doi"))
 
 
@@ -202,7 +274,11 @@ TEI = (
 def parse_tei(texts: DataFrame) -> DataFrame:
     """Rows (doc_id, text) of TEI; works without title and identifiers are dropped."""
     one = F.regexp_extract_all("text", F.lit(r"(?s)<biblStruct\b.*?</biblStruct>"), F.lit(0))
-    rows = texts.select("doc_id", F.posexplode(one).alias("pos", "raw")).withColumn("e", F.from_xml("raw", f"struct<{', '.join(_ddl_fields(TEI))}>"))
+    return tei_refs(texts.select("doc_id", F.posexplode(one).alias("pos", "raw")).withColumn("e", F.from_xml("raw", f"struct<{', '.join(_ddl_fields(TEI))}>")))
+
+
+def tei_refs(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, pos, raw, e) with parsed works."""
     titles = F.coalesce(F.filter("e.analytic.title", lambda t: F.coalesce(t["_level"], F.lit("a")).isin("a", "m")), F.array().cast(TEI_TITLES))
     title = F.coalesce(F.get(titles, F.lit(0))["_VALUE"], F.get("e.monogr.title", F.lit(0))["_VALUE"])
     people = F.when(F.size("e.analytic.author") > 0, F.col("e.analytic.author")).otherwise(F.col("e.monogr.author"))
