@@ -16,6 +16,7 @@ from ..functions import similarity as S
 from ..functions import text as X
 from ..schemas import REGISTRY, present, sources
 from ..storage import discard, keep
+from .key_index import LAST, KeyIndex, keys_of, pages_of
 from .title_index import TitleIndex, build_index, search_index
 
 HIT = ["ref_id", "work_id", "source", "via", "rank"]
@@ -63,32 +64,30 @@ def _hits(pairs: DataFrame, via: str) -> DataFrame:
     return pairs.select("ref_id", "work_id", "source", F.lit(via).alias("via"), F.lit(1).alias("rank"))
 
 
-def _one_per_key(catalog: DataFrame, key: Column, named: Iterable[str]) -> DataFrame:
-    """(source, key, work_id): the first work of each source that has a key."""
-    rows = catalog.where(F.col("source").isin(*named)).select("source", key.alias("key"), "work_id").where("key IS NOT NULL")
-    return rows.groupBy("source", "key").agg(F.min("work_id").alias("work_id"))
+def _keys(catalog: DataFrame, keys: KeyIndex | None, kind: str, named: list[str]) -> DataFrame:
+    """(key, source, work_id) of some sources, from stored tables where there are any."""
+    return keys.keys(catalog.sparkSession, kind).where(F.col("source").isin(*named)) if keys else keys_of(catalog, kind, named)
 
 
-def lookup_doi(refs: DataFrame, catalog: DataFrame, tier: str = "core") -> DataFrame:
+def lookup_doi(refs: DataFrame, catalog: DataFrame, tier: str = "core", keys: KeyIndex | None = None) -> DataFrame:
     """Every source that has the identifier; arXiv's own identifiers also by arXiv id."""
     cited = refs.select("ref_id", X.effective_doi(F.col("doi"), F.col("urls")).alias("doi")).where("doi IS NOT NULL")
-    by_doi = cited.select("ref_id", X.doi_key(F.col("doi")).alias("key")).join(_one_per_key(catalog, X.doi_key(F.col("doi")), sources(tier, "doi")), "key")
+    by_doi = cited.select("ref_id", X.doi_key(F.col("doi")).alias("key")).join(_keys(catalog, keys, "doi", sources(tier, "doi")), "key")
     own = cited.select("ref_id", X.arxiv_key(X.group(F.col("doi"), r"(?i)^10\.48550/arxiv\.(.+)$")).alias("key")).where("key IS NOT NULL")
-    by_id = own.join(_one_per_key(catalog, X.arxiv_key(F.col("arxiv_id")), sources(None, "arxiv_doi")), "key")
+    by_id = own.join(_keys(catalog, keys, "arxiv_id", sources(tier, "arxiv_doi")), "key")
     return _hits(by_doi.unionByName(by_id).select("ref_id", "work_id", "source").distinct(), "doi")
 
 
-def lookup_arxiv(refs: DataFrame, catalog: DataFrame) -> DataFrame:
+def lookup_arxiv(refs: DataFrame, catalog: DataFrame, keys: KeyIndex | None = None) -> DataFrame:
     """J4."""
     cited = refs.select("ref_id", X.arxiv_key(F.col("arxiv_id")).alias("key")).where("key IS NOT NULL")
-    return _hits(cited.join(_one_per_key(catalog, X.arxiv_key(F.col("arxiv_id")), ["Semantic Scholar", "arXiv"]), "key"), "arxiv_id")
+    return _hits(cited.join(_keys(catalog, keys, "arxiv_id", sources("core", "arxiv_id")), "key"), "arxiv_id")
 
 
-def lookup_url(refs: DataFrame, catalog: DataFrame) -> DataFrame:
+def lookup_url(refs: DataFrame, catalog: DataFrame, keys: KeyIndex | None = None) -> DataFrame:
     """Works with the same landing page; the first source that has one."""
-    cited = refs.select("ref_id", F.explode("urls").alias("url")).distinct()
-    pages = catalog.select("work_id", "source", "source_priority", F.explode("urls").alias("url")).distinct()
-    found = cited.join(pages, "url")
+    cited = refs.select("ref_id", F.explode("urls").alias("key")).distinct()
+    found = cited.join(keys.keys(catalog.sparkSession, "url") if keys else pages_of(catalog), "key")
     best = found.groupBy("ref_id").agg(F.min(F.struct("source_priority", "work_id", "source")).alias("b"))
     return _hits(best.select("ref_id", "b.work_id", "b.source"), "url")
 
@@ -101,14 +100,14 @@ def search_titles(refs: DataFrame, catalog: DataFrame, asked: Column) -> DataFra
     return hits
 
 
-def lookup_domain(refs: DataFrame, catalog: DataFrame, mode: str = "auto", index: TitleIndex | None = None) -> DataFrame:
+def lookup_domain(refs: DataFrame, catalog: DataFrame, mode: str = "auto", index: TitleIndex | None = None, keys: KeyIndex | None = None) -> DataFrame:
     """Routed sources by PubMed id, identifier and title."""
     r = refs.withColumn("_to", routed(mode))
     known = catalog.where(F.col("source").isin(*sources("domain")))
     on_route = lambda hits: hits.join(r.select("ref_id", "_to"), "ref_id").where(F.array_contains("_to", F.col("source"))).select(*HIT)
     cited = r.select("ref_id", present(F.col("pmid")).alias("key")).where("key IS NOT NULL")
-    by_pmid = _hits(cited.join(_one_per_key(known, present(F.col("pmid")), sources("domain", "pmid")), "key"), "pmid")
-    by_doi = lookup_doi(refs, known, "domain")
+    by_pmid = _hits(cited.join(_keys(known, keys, "pmid", sources("domain", "pmid")), "key"), "pmid")
+    by_doi = lookup_doi(refs, known, "domain", keys)
     # a source searches by title what its identifiers did not find
     found = on_route(by_pmid.unionByName(by_doi))
     by_title = search_index(r, index, F.col("_to")) if index else search_titles(r, known, F.col("_to"))
@@ -129,16 +128,16 @@ def best_hits(scored: DataFrame) -> DataFrame:
     """One aggregate picks the best hit; ties go to the earlier tier, source, rank and id.
     All hits count as candidates."""
     tier = F.when(F.col("source").isin(*sources("domain")), 4).otherwise(F.array_position(F.array(*map(F.lit, ("doi", "arxiv_id", "title", "pmid", "url"))), F.col("via")))
-    order = F.struct((-F.col("composite")).alias("a"), tier.alias("b"), "source_priority", "rank", "work_id", "title_score", "composite")
+    order = F.struct((-F.col("composite")).alias("a"), tier.alias("b"), F.coalesce("source_priority", F.lit(LAST)).alias("c"), "rank", "work_id", "title_score", "composite")
     top = scored.groupBy("ref_id").agg(F.min(order).alias("m"), F.count("*").alias("n_candidates"))
     return top.select("ref_id", "m.work_id", "m.title_score", "m.composite", "n_candidates")
 
 
-def _core_hits(refs: DataFrame, catalog: DataFrame, search: bool, index: TitleIndex | None) -> DataFrame:
+def _core_hits(refs: DataFrame, catalog: DataFrame, search: bool, index: TitleIndex | None, keys: KeyIndex | None) -> DataFrame:
     """Identifier tiers and core title search. A tier's hits are kept, as later ones read them."""
     unmatched = lambda hits: refs.join(hits.select("ref_id").distinct(), "ref_id", "left_anti")
-    first = keep(lookup_doi(refs, catalog))
-    hits = keep(first.unionByName(lookup_arxiv(unmatched(first), catalog)))
+    first = keep(lookup_doi(refs, catalog, "core", keys))
+    hits = keep(first.unionByName(lookup_arxiv(unmatched(first), catalog, keys)))
     if search and index:
         found = search_index(unmatched(hits), index, F.array(*map(F.lit, sources("core"))))
         more = keep(hits.unionByName(found))
@@ -148,40 +147,40 @@ def _core_hits(refs: DataFrame, catalog: DataFrame, search: bool, index: TitleIn
     return hits
 
 
-def _with_links(refs: DataFrame, catalog: DataFrame, hits: DataFrame) -> DataFrame:
-    return lookup_url(refs.join(hits.select("ref_id").distinct(), "ref_id", "left_anti"), catalog)
+def _with_links(refs: DataFrame, catalog: DataFrame, hits: DataFrame, keys: KeyIndex | None) -> DataFrame:
+    return lookup_url(refs.join(hits.select("ref_id").distinct(), "ref_id", "left_anti"), catalog, keys)
 
 
-def scored_cascade(refs: DataFrame, catalog: DataFrame, domain_mode: str = "auto", search: bool = True, index: TitleIndex | None = None) -> DataFrame:
+def scored_cascade(refs: DataFrame, catalog: DataFrame, domain_mode: str = "auto", search: bool = True, index: TitleIndex | None = None, keys: KeyIndex | None = None) -> DataFrame:
     """J9 with the scores of each hit, each scored once. One title index serves both tiers; if
     none is given it is made and goes again. The result is kept; reading refs and catalog
     several times should be cheap (``keep``)."""
     own = build_index(catalog) if search and index is None else None
     index = index or own
-    hits = _core_hits(refs, catalog, search, index)
+    hits = _core_hits(refs, catalog, search, index, keys)
     scored = keep(score_hits(refs, catalog, hits))
     if search and domain_mode != "none":
         good = scored.groupBy("ref_id").agg(F.max("composite").alias("best")).where(F.col("best") >= DOMAIN_BELOW)
         weak = keep(refs.join(good.select("ref_id"), "ref_id", "left_anti"))
-        more = keep(scored.unionByName(score_hits(refs, catalog, lookup_domain(weak, catalog, domain_mode, index))))
+        more = keep(scored.unionByName(score_hits(refs, catalog, lookup_domain(weak, catalog, domain_mode, index, keys))))
         discard(scored, weak)
         scored = more
-    out = keep(scored.unionByName(score_hits(refs, catalog, _with_links(refs, catalog, scored))))
+    out = keep(scored.unionByName(score_hits(refs, catalog, _with_links(refs, catalog, scored, keys))))
     discard(hits, scored)
     if own:
         own.drop(catalog.sparkSession)
     return out
 
 
-def cascade(refs: DataFrame, catalog: DataFrame, domain_mode: str = "auto", search: bool = True, index: TitleIndex | None = None) -> DataFrame:
+def cascade(refs: DataFrame, catalog: DataFrame, domain_mode: str = "auto", search: bool = True, index: TitleIndex | None = None, keys: KeyIndex | None = None) -> DataFrame:
     """Hits tier by tier. Only the domain tier asks for scores; without it nothing is scored."""
     refs, catalog = keep(refs), keep(catalog)
     if search and domain_mode != "none":
-        out = scored_cascade(refs, catalog, domain_mode, search, index).select(*HIT)
+        out = scored_cascade(refs, catalog, domain_mode, search, index, keys).select(*HIT)
     else:
         own = build_index(catalog) if search and index is None else None
-        hits = _core_hits(refs, catalog, search, index or own)
-        out = keep(hits.unionByName(_with_links(refs, catalog, hits)))
+        hits = _core_hits(refs, catalog, search, index or own, keys)
+        out = keep(hits.unionByName(_with_links(refs, catalog, hits, keys)))
         discard(hits)
         if own:
             own.drop(catalog.sparkSession)

@@ -13,6 +13,7 @@ from ..operators import checks as C
 from ..operators import matching as M
 from ..operators import plaintext as P
 from ..operators import summary as A
+from ..operators.key_index import build_keys, open_keys
 from ..operators.title_index import build_index, open_index, search_index
 from ..schemas import CATALOG, REFS, Source, conform, priority, sources
 from ..sources import catalog as G
@@ -459,6 +460,16 @@ def j5_reopened_index(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def j3_stored_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Lookups by identifier and link in tables that are written once and opened again."""
+    path, refs, works = shared_path(spark, "keys"), D.refs(spark, sf), D.catalog(spark, sf)
+    build_keys(works, path)
+    keys = open_keys(spark, path)
+    out = keep(M.lookup_doi(refs, works, "core", keys).unionByName(M.lookup_arxiv(refs, works, keys)).unionByName(M.lookup_url(refs, works, keys)))
+    keys.drop(spark)
+    return out
+
+
 # Results of earlier runs: two thirds of the references, then all, then all after failures have expired.
 RUNS = (("2024-01-10 00:00:00", "pos % 3 > 0"), ("2024-01-10 12:00:00", "true"), ("2024-01-12 00:00:00", "true"))
 
@@ -546,7 +557,7 @@ QUERIES = {f.__name__: f for f in (
     verdict_counts, j3_doi_lookup, j4_arxiv_lookup, j7_url_lookup, j9_exact_cascade, j5_title_search, j8_routing, m2_m3_scores, c3_url_status, c5_url_audit, c7_relevance, c9_exact_verdicts,
     c12_enriched, a1_summary_by_document, a4_rate_by_year, s19_markdown, k1_identities, k2_fresh_results, k4_purged_cache, s3_bibtex, s4_ris, s5_csl_json, s6_nbib, s7_doi_list,
     s9_s10_s11_catalog, p19_mined_references, p12_apa_lists, p13_vancouver_lists, p14_lncs_lists, k3_upsert, s16_open_access, p20_recovery_prompts, a3_unparsed, p21_recovered, j6_domain_lookup, w1_best_hits,
-    j6_domain_titles, j5_reopened_index, c13_incremental_reports, c13_incremental_work, s17_registered_source,
+    j6_domain_titles, j5_reopened_index, j3_stored_keys, c13_incremental_reports, c13_incremental_work, s17_registered_source,
 )}
 
 ORACLES = {
@@ -584,6 +595,7 @@ ORACLES = {
     "w1_best_hits": BEST_HITS,
     "j6_domain_titles": DOMAIN_TITLES,
     "j5_reopened_index": TITLE_SEARCH,
+    "j3_stored_keys": f"SELECT * FROM ({DOI_HITS}) UNION ALL SELECT * FROM ({ARXIV_HITS}) UNION ALL SELECT * FROM ({URL_HITS})",
     "c13_incremental_reports": INCREMENTAL_REPORTS,
     "c13_incremental_work": INCREMENTAL_WORK,
     "s17_registered_source": REGISTERED,

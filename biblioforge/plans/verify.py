@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..operators import cache as K
 from ..operators import checks as C
+from ..operators.key_index import KeyIndex
 from ..operators.matching import scored_cascade
 from ..operators.title_index import TitleIndex
 from ..storage import discard, keep
@@ -32,9 +33,9 @@ class Options:
     domain_mode: str = "auto"
 
 
-def _existence(refs: DataFrame, catalog: DataFrame, opts: Options, index: TitleIndex | None) -> DataFrame:
+def _existence(refs: DataFrame, catalog: DataFrame, opts: Options, index: TitleIndex | None, keys: KeyIndex | None) -> DataFrame:
     """(ref_id, existence, best), kept."""
-    scored = scored_cascade(refs, catalog, opts.domain_mode, opts.search, index)
+    scored = scored_cascade(refs, catalog, opts.domain_mode, opts.search, index, keys)
     out = keep(C.check_existence(refs, catalog, scored))
     discard(scored)
     return out
@@ -56,12 +57,12 @@ def _reports(refs: DataFrame, existence: DataFrame, urls: DataFrame | None, rele
     return keep(done.withColumn("enriched", F.when(F.col("_on"), C.enriched(F.col("best")))).drop("_on", "best"))
 
 
-def verify(refs: DataFrame, catalog: DataFrame, fetch_log: DataFrame | None = None, pages: DataFrame | None = None, answers: DataFrame | None = None, opts: Options = Options(), index: TitleIndex | None = None) -> DataFrame:
-    """One report per reference, in (doc_id, pos) terms; order only at the sink. ``index`` is a
-    stored title index of the catalog; without it one is made and goes again. The reports are
+def verify(refs: DataFrame, catalog: DataFrame, fetch_log: DataFrame | None = None, pages: DataFrame | None = None, answers: DataFrame | None = None, opts: Options = Options(), index: TitleIndex | None = None, keys: KeyIndex | None = None) -> DataFrame:
+    """One report per reference, in (doc_id, pos) terms; order only at the sink. ``index`` and
+    ``keys`` are stored tables of the catalog; without an index one is made and goes again. The reports are
     kept; what they were made of is deleted."""
     refs, catalog = keep(refs), keep(catalog)
-    existence = _existence(refs, catalog, opts, index)
+    existence = _existence(refs, catalog, opts, index, keys)
     urls = C.check_urls(refs, C.url_status(fetch_log)) if opts.check_url and fetch_log is not None else None
     relevance = inputs = None
     if opts.check_relevance and pages is not None and answers is not None:
@@ -100,7 +101,7 @@ class Run:
 
 
 def verify_incremental(
-    refs: DataFrame, catalog: DataFrame, store: K.Store, now: Column, fetch_log: DataFrame | None = None, pages: DataFrame | None = None, answers: DataFrame | None = None, opts: Options = Options(), index: TitleIndex | None = None
+    refs: DataFrame, catalog: DataFrame, store: K.Store, now: Column, fetch_log: DataFrame | None = None, pages: DataFrame | None = None, answers: DataFrame | None = None, opts: Options = Options(), index: TitleIndex | None = None, keys: KeyIndex | None = None
 ) -> Run:
     """C13 over K1-K4: results in the store that are still fresh are taken as they are; only what is
     left is looked up, scored and judged, once for each identity, and goes into the store.
@@ -119,7 +120,7 @@ def verify_incremental(
     first = miss.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "pos", "ref_id")).alias("m")).select("key", F.col("m.ref_id").alias("lead"))
     follow = keep(miss.join(first, "key", "left").select("ref_id", F.coalesce("lead", "ref_id").alias("lead"), "_id", F.col("key").alias("_key")))
     todo = keep(refs.join(follow.where("ref_id = lead").select("ref_id"), "ref_id", "left_semi"))
-    new = _existence(todo, catalog, opts, index) if (references := todo.count()) else spark.createDataFrame([], T.StructType.fromDDL(f"ref_id string, existence {EXISTENCE}, best {BEST}"))
+    new = _existence(todo, catalog, opts, index, keys) if (references := todo.count()) else spark.createDataFrame([], T.StructType.fromDDL(f"ref_id string, existence {EXISTENCE}, best {BEST}"))
     shared = follow.join(new.withColumnRenamed("ref_id", "lead"), "lead").select("ref_id", "existence", "best")
     existence = keep(hit.select("ref_id", "r.existence", "r.best").unionByName(shared))
     entries = [follow.where("ref_id = lead AND _key IS NOT NULL").join(new, "ref_id").select(*_entry("existence", "existence", F.to_json(F.struct(F.struct("existence", "best").alias("r"))), now))]

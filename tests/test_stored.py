@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from biblioforge.operators import cache as K
+from biblioforge.operators import key_index as X
 from biblioforge.operators import matching as M
 from biblioforge.operators import title_index as I
 from biblioforge.plans.verify import Options, verify, verify_incremental
@@ -51,6 +52,24 @@ def test_index_is_read_without_a_shuffle(spark, tmp_path, capsys):
     assert not os.path.exists(tmp_path / "index")
 
 
+def test_stored_keys_need_no_shuffle_of_the_catalog(spark, tmp_path, capsys):
+    rows = [("w1", "Crossref", "A", 2000, [], "10.1/A", ["http://x/"]), ("w2", "Nobody's", "A", 2000, [], "10.1/a/", ["http://x/"]), ("w3", "OpenAlex", "B", 2000, [], None, ["http://y/"]), ("w0", "Crossref", "C", 2000, [], "10.1/a", [])]
+    catalog = conform(spark.createDataFrame(rows, WORK), CATALOG).withColumn("source_priority", F.when(F.col("source") == "OpenAlex", 2))
+    refs = conform(spark.createDataFrame([("r1", "d", 1, "A", 2000, [], "10.1/a", []), ("r2", "d", 2, "B", 2000, [], None, ["http://x/", "http://y/"])], REF), REFS)
+    keys = X.build_keys(catalog, str(tmp_path / "keys"))
+    assert X.open_keys(spark, str(tmp_path / "keys")) == keys
+    hits = lambda k: sorted(tuple(r) for r in M.lookup_doi(refs, catalog, "core", k).unionByName(M.lookup_url(refs, catalog, k)).collect())
+    assert hits(keys) == hits(None) == [("r1", "w0", "Crossref", "doi", 1), ("r2", "w3", "OpenAlex", "url", 1)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        refs.selectExpr("lower(doi) AS key").repartition(3).join(keys.keys(spark, "doi").where("source = 'Crossref'"), "key").explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+    keys.drop(spark)
+
+
 @pytest.mark.parametrize("frequent", [1, 4, 1000])
 def test_long_keys_lose_nothing(spark, frequent):
     """Few words, so that keys of several tokens are frequent too; against all pairs."""
