@@ -115,7 +115,7 @@ def check_relevance(inputs: DataFrame, answers: DataFrame) -> DataFrame:
     sure = F.when(F.col("reason") == "insufficient_reference_data", 0.0).when(F.col("reason").isNotNull(), 0.3).when(failed, 0.1).when(broken, 0.2).otherwise(confidence)
     told = F.when(F.col("reason") == "no_content_available", "CANNOT_DETERMINE").when(F.col("reason").isNotNull() | failed | broken, F.lit(None)).otherwise(label)
     check = F.struct(
-        status.alias("status"), sure.alias("confidence"), told.alias("label"), F.when(told.isNotNull(), F.coalesce("d.rationale", F.lit(""))).alias("rationale"),
+        status.alias("status"), sure.alias("confidence"), told.alias("label"), F.when(told.isNotNull(), F.coalesce(F.when(F.col("reason").isNull(), F.col("d.rationale")), F.lit(""))).alias("rationale"),
         F.coalesce(F.col("reason").isNull() & ~failed & broken, F.lit(False)).alias("parse_error"),
     )
     known = F.col("reason").isNotNull() | F.col("response").isNotNull() | F.col("error").isNotNull()

@@ -83,10 +83,11 @@ def m2_m3_scores(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("ref_id", S.author_overlap(F.col("ra"), F.col("ca")).alias("overlap"), S.year_score(F.col("ry"), F.col("cy")).alias("year_score"))
 
 
+OVERLAP = "CASE WHEN len(a) < len(b) * 0.5 THEN len(list_intersect(a, b))::DOUBLE / len(a) ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END"
 SCORES = f"""
 WITH p AS (SELECT r.ref_id, list_distinct(list_transform(r.authors, lambda x: lower(split_part(x, ',', 1)))) AS a, list_distinct(list_transform(c.authors, lambda x: lower(split_part(x, ',', 1)))) AS b,
   abs(r.year - c.year) AS gap FROM {REF} r JOIN {CAT} c ON 'r' || substr(c.work_id, 2) = r.ref_id)
-SELECT ref_id, CASE WHEN len(a) < len(b) * 0.5 THEN len(list_intersect(a, b))::DOUBLE / len(a) ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END AS overlap,
+SELECT ref_id, {OVERLAP} AS overlap,
   CASE gap WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS year_score FROM p
 """
 
@@ -152,12 +153,14 @@ def c9_exact_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return _exact_reports(spark, sf).select("ref_id", "verdict", F.array_join("notes", " / ").alias("notes"), "existence.work_id", F.col("existence.status").alias("existence_status"))
 
 
+TWO = "'[''' || array_to_string({}[1:2], ''', ''') || ''']'"
 # hits by identifier score 1; those by link only have the same year, authors and venue and a title that begins the work's
 VERDICTS = f"""
 WITH h AS ({EXACT_HITS}), u AS ({URL_AUDIT}),
 x AS (SELECT r.*, h.work_id, h.via, c.year AS cy, c.doi AS cdoi, c.authors AS ca, u.status AS us, len(coalesce(r.urls, [])) AS nu FROM {REF} r LEFT JOIN h USING (ref_id) LEFT JOIN {CAT} c USING (work_id) JOIN u USING (ref_id)),
-m AS (SELECT *, list_filter([CASE WHEN abs(year - cy) > 2 THEN 'year: cited=' || year || ', found=' || cy END,
-  CASE WHEN ref_id IS NOT NULL AND list_extract(authors, 1) = 'Nobody, N.' THEN 'authors: low overlap (0.00), cited=[''Nobody, N.'', ''Noone, M.''], found=[''' || ca[1] || ''', ''' || ca[2] || ''']' END], lambda z: z IS NOT NULL) AS mm FROM x),
+o AS (SELECT *, {OVERLAP} AS overlap FROM (SELECT *, list_distinct(list_transform(authors, lambda z: lower(split_part(z, ',', 1)))) AS a, list_distinct(list_transform(ca, lambda z: lower(split_part(z, ',', 1)))) AS b FROM x)),
+m AS (SELECT *, list_filter([CASE WHEN abs(year - cy) > 2 THEN 'year: cited=' || year || ', found=' || cy END, CASE WHEN trim(lower(doi), '/') <> lower(cdoi) THEN 'doi: cited=' || doi || ', found=' || cdoi END,
+  CASE WHEN overlap < 0.3 THEN 'authors: low overlap (' || printf('%.2f', overlap) || '), cited=' || {TWO.format('authors')} || ', found=' || {TWO.format('ca')} END], lambda z: z IS NOT NULL) AS mm FROM o),
 v AS (SELECT *, CASE WHEN work_id IS NULL THEN 'NOT_FOUND' WHEN len(mm) > 0 THEN 'METADATA_MISMATCH' WHEN nu > 0 AND us = 'FAIL' THEN 'DEAD_URL' ELSE 'VERIFIED' END AS verdict FROM m)
 SELECT ref_id, verdict, work_id, CASE WHEN work_id IS NULL THEN 'FAIL' WHEN len(mm) > 0 THEN 'WARN' ELSE 'PASS' END AS existence_status,
   CASE verdict WHEN 'NOT_FOUND' THEN '{C.NOTES["not_found"]}' WHEN 'DEAD_URL' THEN '{C.NOTES["dead"]}'
@@ -470,6 +473,64 @@ def j3_stored_keys(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def m4_m5_c1_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """Each work cited under a title that is half its own, by its own and by other authors and years: the
+    ratio of titles, the mixed score, and what the check makes of it, its middle band included."""
+    works = D.catalog(spark, sf).where("title IS NOT NULL").withColumn("n", F.substring("work_id", 2, 30).cast("long"))
+    refs = works.select(
+        F.concat(F.lit("r"), "n").alias("ref_id"), F.concat(F.substring_index("title", " ", 5), F.expr("element_at(array(' and other words', ' in short', ' seen from quite another side of it'), cast(n % 3 + 1 AS int))")).alias("title"),
+        F.when(F.col("n") % 4 < 3, F.col("authors")).otherwise(F.array(F.lit("Else, X."))).alias("authors"), (F.col("year") + F.col("n") % 2).cast("int").alias("year"), F.when(F.col("n") % 5 > 0, F.lower("venue")).alias("venue"),
+    )
+    refs = keep(conform(refs, REFS))
+    hits = refs.select("ref_id", F.concat(F.lit("w"), F.substring("ref_id", 2, 30)).alias("work_id"), F.lit("Crossref").alias("source"), F.lit("title").alias("via"), F.lit(1).alias("rank"))
+    found = C.check_existence(refs, works, M.score_hits(refs, works, hits))
+    out = keep(found.select("ref_id", "existence.title_score", "existence.composite", "existence.status", F.round("existence.confidence", 6).alias("confidence")))
+    discard(refs)
+    return out
+
+
+# The longest common subsequence by rows: a cell is the largest, up to it, of the cell above or, where the letters agree, the one before that and one more.
+BANDS = f"""
+WITH RECURSIVE p AS (SELECT 'r' || n AS ref_id, lower(array_to_string(string_split(title, ' ')[1:5], ' ') || [' and other words', ' in short', ' seen from quite another side of it'][n % 3 + 1]) AS t, lower(title) AS ct, n, CASE WHEN n % 5 > 0 THEN 1.0 ELSE 0.5 END AS venue
+  FROM (SELECT *, {N} AS n FROM {CAT} WHERE length(title) > 0)),
+w AS (SELECT *, list_filter(list_distinct(string_split_regex(t, '\\s+')), lambda z: z <> '') AS x, list_filter(list_distinct(string_split_regex(ct, '\\s+')), lambda z: z <> '') AS y FROM p),
+j AS (SELECT *, length(array_to_string(list_intersect(x, y), ' ')) AS sect, array_to_string(list_sort(list_filter(x, lambda z: NOT list_contains(y, z))), ' ') AS da, array_to_string(list_sort(list_filter(y, lambda z: NOT list_contains(x, z))), ' ') AS db FROM w),
+c AS (SELECT ref_id, string_split(da, '') AS a, string_split(db, '') AS b FROM j WHERE da <> '' AND db <> ''),
+l AS (SELECT ref_id, 0 AS i, list_transform(b, lambda z: 0) AS cells FROM c UNION ALL
+  SELECT l.ref_id, i + 1, list_transform(range(1, len(b) + 1), lambda k: list_max(list_transform(range(1, k + 1), lambda m: CASE WHEN b[m] = a[i + 1] THEN CASE WHEN m > 1 THEN cells[m - 1] ELSE 0 END + 1 ELSE cells[m] END))) FROM l JOIN c USING (ref_id) WHERE i < len(a)),
+r AS (SELECT j.*, length(da) AS na, length(db) AS nb, coalesce(cells[-1], 0) AS lcs, CASE WHEN sect > 0 THEN 1 ELSE 0 END AS gap FROM j LEFT JOIN (SELECT l.* FROM l JOIN c USING (ref_id) WHERE i = len(a)) USING (ref_id)),
+q AS (SELECT *, CASE WHEN sect > 0 AND (na = 0 OR nb = 0) THEN 100.0::DOUBLE WHEN sect = 0 THEN 100.0::DOUBLE - 100.0::DOUBLE * (na + nb - 2 * lcs) / (2 * gap + na + nb)
+  ELSE greatest(100.0::DOUBLE - 100.0::DOUBLE * (na + nb - 2 * lcs) / (2 * sect + 2 * gap + na + nb), 100.0::DOUBLE - 100.0::DOUBLE * (1 + na) / (2 * sect + gap + na), 100.0::DOUBLE - 100.0::DOUBLE * (1 + nb) / (2 * sect + gap + nb)) END / 100 AS title FROM r),
+s AS (SELECT *, CASE WHEN title = 0 THEN 0.0::DOUBLE ELSE 0.55::DOUBLE * title + 0.25::DOUBLE * CASE WHEN n % 4 < 3 THEN 1 ELSE 0 END + 0.15::DOUBLE * CASE WHEN n % 2 = 0 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END + 0.05::DOUBLE * venue END AS mixed FROM q),
+k AS (SELECT *, round(title, 3) >= 0.85 OR mixed * 100 >= 85 AS high, n % 4 = 3 AS bad FROM s)
+SELECT ref_id, round(title, 3) AS title_score, round(mixed, 3) AS composite, CASE WHEN high AND bad THEN 'WARN' WHEN high THEN 'PASS' WHEN mixed * 100 >= 70 THEN 'WARN' ELSE 'FAIL' END AS status,
+  round(CASE WHEN high AND bad THEN least(greatest(round(title, 3), mixed), 0.85) WHEN high THEN greatest(round(title, 3), mixed) WHEN mixed * 100 >= 70 THEN 0.7 * mixed ELSE 0.7 END, 6)::DOUBLE AS confidence FROM k
+"""
+
+
+def c9_relevance_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts and notes with judgements of the linked pages."""
+    reports = verify(D.refs(spark, sf), D.catalog(spark, sf), D.fetch_log(spark, sf), _pages_text(spark, sf), D.answers(spark, sf), Options(check_relevance=True, search=False, domain_mode="none"))
+    return reports.select("ref_id", "verdict", F.array_join("notes", " / ").alias("notes"))
+
+
+RELEVANCE_VERDICTS = f"""
+WITH v AS ({VERDICTS}), r AS ({RELEVANCE}), x AS (SELECT v.*, r.status AS rs, label, CASE label WHEN 'UNRELATED' THEN 'Other topic.' WHEN 'PARTIAL' THEN 'Same area.' WHEN 'RELEVANT' THEN 'Same work.' ELSE '' END AS why FROM v LEFT JOIN r USING (ref_id))
+SELECT ref_id, CASE WHEN verdict = 'VERIFIED' AND rs = 'FAIL' THEN 'CONTENT_DRIFT' ELSE verdict END AS verdict,
+  CASE WHEN verdict <> 'VERIFIED' THEN notes WHEN rs = 'FAIL' THEN 'Content relevance check: ' || label || '. ' || why
+    ELSE concat_ws(' / ', nullif(notes, ''), CASE WHEN rs = 'WARN' AND label <> '' THEN 'Relevance check: ' || label || '. ' || why END) END AS notes FROM x
+"""
+
+
+def j8_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Routing by words of venues: biomedical, computing, both, books and none."""
+    venue = F.expr("element_at(array('The Lancet', 'Proc. ICML', 'Brain and KDD', 'Springer', 'Letters'), cast(pos % 5 + 1 AS int))")
+    return D.refs(spark, sf).withColumn("venue", venue).select("ref_id", F.array_join(M.routed(), ",").alias("sources"))
+
+
+ROUTED_WORDS = f"""SELECT ref_id, concat_ws(',', CASE WHEN pos % 5 IN (0, 2) THEN 'PubMed' END, CASE WHEN pos % 5 IN (1, 2) OR arxiv_id IS NOT NULL THEN 'DBLP' END, CASE WHEN pos % 5 = 3 THEN 'Google Books' END) AS sources FROM {REF}"""
+
+
 # Results of earlier runs: two thirds of the references, then all, then all after failures have expired.
 RUNS = (("2024-01-10 00:00:00", "pos % 3 > 0"), ("2024-01-10 12:00:00", "true"), ("2024-01-12 00:00:00", "true"))
 
@@ -557,7 +618,7 @@ QUERIES = {f.__name__: f for f in (
     verdict_counts, j3_doi_lookup, j4_arxiv_lookup, j7_url_lookup, j9_exact_cascade, j5_title_search, j8_routing, m2_m3_scores, c3_url_status, c5_url_audit, c7_relevance, c9_exact_verdicts,
     c12_enriched, a1_summary_by_document, a4_rate_by_year, s19_markdown, k1_identities, k2_fresh_results, k4_purged_cache, s3_bibtex, s4_ris, s5_csl_json, s6_nbib, s7_doi_list,
     s9_s10_s11_catalog, p19_mined_references, p12_apa_lists, p13_vancouver_lists, p14_lncs_lists, k3_upsert, s16_open_access, p20_recovery_prompts, a3_unparsed, p21_recovered, j6_domain_lookup, w1_best_hits,
-    j6_domain_titles, j5_reopened_index, j3_stored_keys, c13_incremental_reports, c13_incremental_work, s17_registered_source,
+    j6_domain_titles, j5_reopened_index, j3_stored_keys, m4_m5_c1_bands, c9_relevance_verdicts, j8_words, c13_incremental_reports, c13_incremental_work, s17_registered_source,
 )}
 
 ORACLES = {
@@ -595,6 +656,9 @@ ORACLES = {
     "w1_best_hits": BEST_HITS,
     "j6_domain_titles": DOMAIN_TITLES,
     "j5_reopened_index": TITLE_SEARCH,
+    "m4_m5_c1_bands": BANDS,
+    "c9_relevance_verdicts": RELEVANCE_VERDICTS,
+    "j8_words": ROUTED_WORDS,
     "j3_stored_keys": f"SELECT * FROM ({DOI_HITS}) UNION ALL SELECT * FROM ({ARXIV_HITS}) UNION ALL SELECT * FROM ({URL_HITS})",
     "c13_incremental_reports": INCREMENTAL_REPORTS,
     "c13_incremental_work": INCREMENTAL_WORK,
