@@ -9,6 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Partitions of one exchange at most; beyond it a task works through several ranges, shards or
+#: buckets in turn, so that the driver's share stays bounded at any size of the input.
+MOST_TASKS = 50_000
+
+
+def tasks_for(size: int, each: int) -> int:
+    """How many partitions work of a size gets, ``each`` as one unit."""
+    return max(1, min(-(-size // each), MOST_TASKS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

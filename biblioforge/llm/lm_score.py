@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, tasks_for
 
 #: Classes of the words outside a vocabulary of given size. BUCKETS is read by tests only.
 CLASSES, BUCKETS = 256, 1 << 18
@@ -308,7 +308,7 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame, vocabulary_size:
         if ids is not None:
             yield result(ids, n, sums)
 
-    dealt = rows.mapInArrow(deal, "bucket int, chunk long, kind int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = rows.mapInArrow(deal, "bucket int, chunk long, kind int, data binary").repartition(tasks_for(buckets, 1), "bucket").sortWithinPartitions("bucket")
     back = dealt.mapInArrow(losses, "chunk long, kind int, data binary").repartition("chunk").sortWithinPartitions("chunk", "kind")
     return back.mapInArrow(add_up, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import induced
 from .anchors import anchored_runs, gram_hashes
-from .common import discard, map_batches, materialize, table
+from .common import discard, map_batches, materialize, table, tasks_for
 
 LENGTH, GRAM = 400, 176
 #: Bytes of distinct segments that one call of the sorter takes, if anchors end there.
@@ -218,7 +218,7 @@ def sort_segments(segments: DataFrame, length: int, total: int, across: bool = F
                 rows = []
         yield _found(rows)
 
-    return segments.repartition(-(-total // most), "anchor").sortWithinPartitions("anchor", "seg").mapInArrow(run, FOUND)
+    return segments.repartition(tasks_for(total, most), "anchor").sortWithinPartitions("anchor", "seg").mapInArrow(run, FOUND)
 
 
 def hot_windows(segments: DataFrame, length: int, across: bool = False) -> DataFrame:

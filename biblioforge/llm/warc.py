@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_folder, table
+from .common import materialize, shared_folder, table, tasks_for
 
 INDEX = "archive string, offset long, length long, url string, payload_digest string, record_type string, page_id long"
 PARSED = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -139,7 +139,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     """Parses the selected records (any subset of an index) back out of the archives."""
     size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     placed = index.select("archive", "offset", "length").withColumn("slab", F.floor(F.col("offset") / RANGE_BYTES))
-    sorted_ = placed.repartition(max(1, -(-size // RANGE_BYTES)), "archive", "slab").sortWithinPartitions("archive", "offset")
+    sorted_ = placed.repartition(tasks_for(size, RANGE_BYTES), "archive", "slab").sortWithinPartitions("archive", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
