@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table, tasks_for
 
-#: Classes of the words outside a vocabulary of given size. BUCKETS is read by tests only.
-CLASSES, BUCKETS = 256, 1 << 18
+#: Classes of the words outside a vocabulary of given size.
+CLASSES = 256
 #: Weight of the shorter model where a word's successors were seen so many times.
 MU, ALPHA = 8.0, 0.5
 FLUSH_WORDS = 300_000

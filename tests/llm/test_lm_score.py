@@ -15,7 +15,6 @@ def brute(rows, good, size):
     number = {w: i for i, w in enumerate(known)}
     start = len(known) + L.CLASSES
     ids = lambda t: [number.get(w, len(known) + zlib.crc32(w.encode()) % L.CLASSES) for w in (t or "").lower().split()]
-    cell = lambda a, b: ((((a * (start + 1) + b) * 0x9E3779B97F4A7C15) % 2**64) >> 40) % L.BUCKETS
     models = []
     for keep in (lambda d: d in good, lambda d: True):
         one, pre, two = Counter(), Counter(), Counter()
@@ -25,7 +24,7 @@ def brute(rows, good, size):
                 for a, b in zip([start, *x], x):
                     one[b] += 1
                     pre[a] += 1
-                    two[cell(a, b)] += 1
+                    two[a, b] += 1
         models.append((one, pre, two, sum(one.values())))
     out = []
     for d, t in rows:
@@ -36,7 +35,7 @@ def brute(rows, good, size):
         loss = []
         for one, pre, two, n in models:
             p1 = lambda b: (one[b] + L.ALPHA) / (n + L.ALPHA * (start + 1))
-            loss.append(-sum(math.log((two[cell(a, b)] + L.MU * p1(b)) / (pre[a] + L.MU)) for a, b in zip([start, *x], x)) / len(x))
+            loss.append(-sum(math.log((two[a, b] + L.MU * p1(b)) / (pre[a] + L.MU)) for a, b in zip([start, *x], x)) / len(x))
         out.append((d, len(x), round(loss[0], 4), round(loss[1], 4)))
     return sorted(out, key=str)
 
