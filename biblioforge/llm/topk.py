@@ -1,7 +1,10 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Queries and candidates are dealt into blocks of bounded size; each pair of blocks is a task
-of its own. Inside, both sides get a cover tree (nested centers, covering radii that halve),
+Vectors are dealt to the nearest of a bounded number of centers; each center's cell is cut into
+blocks of bounded size. A query first meets the blocks of its own cell, which gives it a k-th
+score that it cannot end below. Then it meets the cells that its bound, from its product with the
+center and the cell's radius, does not exclude. Each pair of a query block and a candidate block is a
+task of its own. Inside, both sides get a cover tree (nested centers, covering radii that halve),
 and a pair of nodes is pruned when its bound, from the centers' product and both radii, is
 below the worst k-th score of the query node. What remains is scored exactly in integers.
 Of equal vectors in a block only the k + 1 smallest ids can be in any result, so only those
@@ -15,16 +18,20 @@ candidates than k all are returned; an empty table gives no rows. Scores must fi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, table
+from .common import discard, map_batches, materialize, table
 
 K, SCALE = 20, 64
 QUERY_BLOCK, CANDIDATE_BLOCK, LEAF = 2048, 8192, 128
+#: Centers at most; they and a row for each cell are all that the driver holds.
+CENTERS = 1024
 #: Centers of a net, and the points that stay one leaf where so few centers cannot halve the radius.
 NET, SPREAD_LEAF = 16, 1024
 
@@ -161,16 +168,63 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _floats(column: pa.Array, width: int) -> np.ndarray:
+    return _matrix(column.to_pylist(), width).astype(np.float64)
+
+
+def _placed(centers: list[list[int]]) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Each vector's nearest center, and how far away it is."""
+    longest = max(map(len, centers), default=0)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        width = max(longest, max(map(len, batch.column(1).to_pylist()), default=0))
+        x, c = _floats(batch.column(1), width), _matrix(centers, width).astype(np.float64)
+        near = np.concatenate([(((c * c).sum(axis=1) - 2 * x[s : s + 1024] @ c.T).argmin(axis=1)) for s in range(0, len(x), 1024)])
+        away = np.sqrt(((x - c[near]) ** 2).sum(axis=1))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(away)], names=["vec_id", "x", "cell", "away"])
+
+    return run
+
+
+def _other_cells(centers: list[list[int]], radius: dict[int, float]) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """A row for each query and each cell but its own that can hold a score of its k-th or more."""
+    cells = np.array(sorted(radius))
+    far, longest = np.array([radius[c] for c in sorted(radius)]), max(map(len, centers), default=0)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        width = max(longest, max(map(len, batch.column(1).to_pylist()), default=0))
+        x, c = _floats(batch.column(1), width), _matrix([centers[i] for i in cells], width).astype(np.float64)
+        most = x @ c.T + far[None, :] * np.sqrt((x * x).sum(axis=1))[:, None]
+        least = np.array([-np.inf if v is None else v for v in batch.column(4).to_pylist()], np.float64)
+        i, j = np.nonzero((most + 1e-9 * np.abs(most) + 1e-6 >= least[:, None]) & (cells[None, :] != np.asarray(batch.column(2))[:, None]))
+        at = pa.array(i)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cells[j].astype(np.int32)), batch.column(3).take(at)], names=["vec_id", "x", "cell", "q"])
+
+    return run
+
+
 def exact_top_k(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows that ``is_query`` (of ``vec_id``) selects."""
     usable = materialize(scaled(vectors, id_col, vector_col))
-    queries = usable.where(is_query)
-    n, m = usable.count(), queries.count()
-    cb, qb = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    block = lambda name, count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int").alias(name)
-    every = lambda name, count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
-    asked = queries.select("vec_id", "x", F.lit(True).alias("asks"), block("q", qb), every("c", cb))
-    given = usable.select("vec_id", "x", F.lit(False).alias("asks"), block("c", cb), every("q", qb))
+    n, m = usable.count(), usable.where(is_query).count()
+    cells = max(1, min(-(-n // CANDIDATE_BLOCK), CENTERS))
+    chosen = [r.x for r in usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(cells).collect()]
+    placed = materialize(map_batches(usable, _placed(chosen), "vec_id long, x array<long>, cell int, away double"))
+    discard(usable)
+    sizes = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
+    blocks = F.create_map(*(F.lit(v) for c, r in sizes.items() for v in (c, -(-r.n // CANDIDATE_BLOCK)))) if sizes else F.create_map().cast("map<int, int>")
+    qb = max(1, -(-m // QUERY_BLOCK))
+    deal = lambda count: F.pmod(F.xxhash64("vec_id"), count).cast("int")
+    queries, own = placed.where(is_query).withColumn("q", deal(F.lit(qb))), F.col("cell")
+    each = F.explode(F.sequence(F.lit(0), blocks[own] - 1)).alias("c")
+    rows = ["vec_id", "x", "cell", "q", "c"]
+
+    def meet(asking: DataFrame) -> DataFrame:
+        """Queries (with the cells that they ask) and the blocks of those cells."""
+        asked = asking.select("vec_id", "x", "cell", "q", each).withColumn("asks", F.lit(True))
+        wanted = asking.select("cell", "q").distinct()
+        given = placed.withColumn("c", deal(blocks[own])).join(wanted, "cell").select(*rows).withColumn("asks", F.lit(False))
+        return asked.unionByName(given).groupBy("cell", "q", "c").applyInPandas(search, "query_id long, vec_id long, score long")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
@@ -185,8 +239,13 @@ def exact_top_k(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str
         out = pd.DataFrame({"query_id": who, "vec_id": ids.ravel(), "score": scores.ravel()})
         return out[(out["score"] != np.iinfo(np.int64).min).to_numpy()]
 
-    found = asked.unionByName(given).groupBy("q", "c").applyInPandas(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    first = materialize(meet(queries).withColumn("rank", rank).where(F.col("rank") <= k))
+    found = first.drop("rank")
+    if len(sizes) > 1:
+        least = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+        rest = map_batches(queries.join(least, "vec_id", "left").select("vec_id", "x", "cell", "q", "least"), _other_cells(chosen, {c: r.radius for c, r in sizes.items()}), "vec_id long, x array<long>, cell int, q int")
+        found = found.unionByName(meet(materialize(rest)))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
