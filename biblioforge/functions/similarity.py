@@ -134,7 +134,7 @@ def with_scores(rows: DataFrame, r: str, c: str) -> DataFrame:
 def mismatches(r: str, c: str) -> Column:
     """M6: messages on year, identifier and authors."""
     f = lambda s, n: F.col(f"{s}.{n}")
-    trim = lambda x: F.trim(F.lit("/"), F.lower(x))
+    trim = lambda x: F.trim(F.lower(x), F.lit("/"))
     overlap = author_overlap(f(r, "authors"), f(c, "authors"))
     two = lambda x: F.concat(F.lit("['"), F.array_join(F.slice(x, 1, 2), "', '"), F.lit("']"))
     year = F.when((f(r, "year") > 0) & (f(c, "year") > 0) & (F.abs(f(r, "year") - f(c, "year")) > 2), F.format_string("year: cited=%d, found=%d", f(r, "year"), f(c, "year")))

@@ -489,18 +489,24 @@ def m4_m5_c1_bands(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-# The longest common subsequence by rows: a cell is the largest, up to it, of the cell above or, where the letters agree, the one before that and one more.
+# Ratios of a table pairs(t, ct) of lower-case strings. The longest common subsequence goes by rows: a cell is the largest,
+# up to it, of the cell above or, where the letters agree, the one before that and one more.
+RATIO = """
+w AS (SELECT *, list_filter(list_distinct(string_split_regex(t, '\\s+')), lambda z: z <> '') AS x, list_filter(list_distinct(string_split_regex(ct, '\\s+')), lambda z: z <> '') AS y FROM pairs),
+j AS (SELECT *, row_number() OVER () AS id, length(array_to_string(list_intersect(x, y), ' ')) AS sect, array_to_string(list_sort(list_filter(x, lambda z: NOT list_contains(y, z))), ' ') AS da, array_to_string(list_sort(list_filter(y, lambda z: NOT list_contains(x, z))), ' ') AS db FROM w),
+jj AS MATERIALIZED (SELECT * FROM j),
+c AS (SELECT id, string_split(da, '') AS a, string_split(db, '') AS b FROM jj WHERE da <> '' AND db <> ''),
+l AS (SELECT id, 0 AS i, list_transform(b, lambda z: 0) AS cells FROM c UNION ALL
+  SELECT l.id, i + 1, list_transform(range(1, len(b) + 1), lambda k: list_max(list_transform(range(1, k + 1), lambda m: CASE WHEN b[m] = a[i + 1] THEN CASE WHEN m > 1 THEN cells[m - 1] ELSE 0 END + 1 ELSE cells[m] END))) FROM l JOIN c USING (id) WHERE i < len(a)),
+lc AS (SELECT jj.*, length(da) AS na, length(db) AS nb, coalesce(cells[-1], 0) AS lcs, CASE WHEN sect > 0 THEN 1 ELSE 0 END AS gap FROM jj LEFT JOIN (SELECT l.* FROM l JOIN c USING (id) WHERE i = len(a)) USING (id)),
+ratios AS MATERIALIZED (SELECT t, ct, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0::DOUBLE WHEN sect > 0 AND (na = 0 OR nb = 0) THEN 100.0::DOUBLE WHEN sect = 0 THEN 100.0::DOUBLE - 100.0::DOUBLE * (na + nb - 2 * lcs) / (2 * gap + na + nb)
+  ELSE greatest(100.0::DOUBLE - 100.0::DOUBLE * (na + nb - 2 * lcs) / (2 * sect + 2 * gap + na + nb), 100.0::DOUBLE - 100.0::DOUBLE * (1 + na) / (2 * sect + gap + na), 100.0::DOUBLE - 100.0::DOUBLE * (1 + nb) / (2 * sect + gap + nb)) END / 100 AS ratio FROM lc),
+"""
 BANDS = f"""
 WITH RECURSIVE p AS (SELECT 'r' || n AS ref_id, lower(array_to_string(string_split(title, ' ')[1:5], ' ') || [' and other words', ' in short', ' seen from quite another side of it'][n % 3 + 1]) AS t, lower(title) AS ct, n, CASE WHEN n % 5 > 0 THEN 1.0 ELSE 0.5 END AS venue
   FROM (SELECT *, {N} AS n FROM {CAT} WHERE length(title) > 0)),
-w AS (SELECT *, list_filter(list_distinct(string_split_regex(t, '\\s+')), lambda z: z <> '') AS x, list_filter(list_distinct(string_split_regex(ct, '\\s+')), lambda z: z <> '') AS y FROM p),
-j AS (SELECT *, length(array_to_string(list_intersect(x, y), ' ')) AS sect, array_to_string(list_sort(list_filter(x, lambda z: NOT list_contains(y, z))), ' ') AS da, array_to_string(list_sort(list_filter(y, lambda z: NOT list_contains(x, z))), ' ') AS db FROM w),
-c AS (SELECT ref_id, string_split(da, '') AS a, string_split(db, '') AS b FROM j WHERE da <> '' AND db <> ''),
-l AS (SELECT ref_id, 0 AS i, list_transform(b, lambda z: 0) AS cells FROM c UNION ALL
-  SELECT l.ref_id, i + 1, list_transform(range(1, len(b) + 1), lambda k: list_max(list_transform(range(1, k + 1), lambda m: CASE WHEN b[m] = a[i + 1] THEN CASE WHEN m > 1 THEN cells[m - 1] ELSE 0 END + 1 ELSE cells[m] END))) FROM l JOIN c USING (ref_id) WHERE i < len(a)),
-r AS (SELECT j.*, length(da) AS na, length(db) AS nb, coalesce(cells[-1], 0) AS lcs, CASE WHEN sect > 0 THEN 1 ELSE 0 END AS gap FROM j LEFT JOIN (SELECT l.* FROM l JOIN c USING (ref_id) WHERE i = len(a)) USING (ref_id)),
-q AS (SELECT *, CASE WHEN sect > 0 AND (na = 0 OR nb = 0) THEN 100.0::DOUBLE WHEN sect = 0 THEN 100.0::DOUBLE - 100.0::DOUBLE * (na + nb - 2 * lcs) / (2 * gap + na + nb)
-  ELSE greatest(100.0::DOUBLE - 100.0::DOUBLE * (na + nb - 2 * lcs) / (2 * sect + 2 * gap + na + nb), 100.0::DOUBLE - 100.0::DOUBLE * (1 + na) / (2 * sect + gap + na), 100.0::DOUBLE - 100.0::DOUBLE * (1 + nb) / (2 * sect + gap + nb)) END / 100 AS title FROM r),
+pairs AS (SELECT DISTINCT t, ct FROM p), {RATIO}
+q AS (SELECT p.*, ratio AS title FROM p JOIN ratios USING (t, ct)),
 s AS (SELECT *, CASE WHEN title = 0 THEN 0.0::DOUBLE ELSE 0.55::DOUBLE * title + 0.25::DOUBLE * CASE WHEN n % 4 < 3 THEN 1 ELSE 0 END + 0.15::DOUBLE * CASE WHEN n % 2 = 0 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END + 0.05::DOUBLE * venue END AS mixed FROM q),
 k AS (SELECT *, round(title, 3) >= 0.85 OR mixed * 100 >= 85 AS high, n % 4 = 3 AS bad FROM s)
 SELECT ref_id, round(title, 3) AS title_score, round(mixed, 3) AS composite, CASE WHEN high AND bad THEN 'WARN' WHEN high THEN 'PASS' WHEN mixed * 100 >= 70 THEN 'WARN' ELSE 'FAIL' END AS status,
@@ -522,6 +528,28 @@ SELECT ref_id, CASE WHEN verdict = 'VERIFIED' AND rs = 'FAIL' THEN 'CONTENT_DRIF
 """
 
 
+# The whole cascade: hits by identifier, title and link tier by tier, their scores, the best, and what the checks make of it. The works have no domain source.
+COUNTS = f"""
+WITH RECURSIVE d AS MATERIALIZED ({DOI_HITS}), a AS MATERIALIZED (SELECT * FROM ({ARXIV_HITS}) WHERE ref_id NOT IN (SELECT ref_id FROM d)),
+ts AS MATERIALIZED (SELECT * FROM ({TITLE_SEARCH}) WHERE ref_id NOT IN (SELECT ref_id FROM d UNION ALL SELECT ref_id FROM a)),
+u AS (SELECT * FROM ({URL_HITS}) WHERE ref_id NOT IN (SELECT ref_id FROM d UNION ALL SELECT ref_id FROM a UNION ALL SELECT ref_id FROM ts)),
+h AS (SELECT ref_id, work_id, 1 AS tier, rank FROM d UNION ALL SELECT ref_id, work_id, 2, rank FROM a UNION ALL SELECT ref_id, work_id, 3, rank FROM ts UNION ALL SELECT ref_id, work_id, 5, rank FROM u),
+cat AS MATERIALIZED (SELECT * FROM {CAT}), refs AS MATERIALIZED (SELECT * FROM {REF}),
+wide AS MATERIALIZED (SELECT h.*, c.source_priority, r.year, c.year AS cy, r.doi, c.doi AS cdoi, lower(nullif(r.title, '')) AS rt, lower(nullif(c.title, '')) AS cti, lower(r.venue) AS rv, lower(c.venue) AS cv,
+  coalesce(rtrim(lower(r.doi), '/') = lower(c.doi), false) OR coalesce(r.arxiv_id = c.arxiv_id, false) AS same,
+  list_distinct(list_transform(r.authors, lambda z: lower(split_part(z, ',', 1)))) AS a, list_distinct(list_transform(c.authors, lambda z: lower(split_part(z, ',', 1)))) AS b FROM h JOIN refs r USING (ref_id) JOIN cat c USING (work_id)),
+pairs AS (SELECT rt AS t, cti AS ct FROM wide WHERE NOT same AND rt IS NOT NULL AND cti IS NOT NULL UNION SELECT rv, cv FROM wide WHERE NOT same AND rv IS NOT NULL AND cv IS NOT NULL), {RATIO}
+s AS (SELECT wide.*, {OVERLAP} AS overlap, CASE WHEN same THEN 1.0::DOUBLE ELSE coalesce(x.ratio, 0.0::DOUBLE) END AS title, coalesce(y.ratio, 0.5::DOUBLE) AS venue FROM wide LEFT JOIN ratios x ON x.t = rt AND x.ct = cti LEFT JOIN ratios y ON y.t = rv AND y.ct = cv),
+m AS (SELECT *, CASE WHEN same THEN 1.0::DOUBLE WHEN title = 0 THEN 0.0::DOUBLE ELSE 0.55::DOUBLE * title + 0.25::DOUBLE * overlap + 0.15::DOUBLE * CASE abs(year - cy) WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END + 0.05::DOUBLE * venue END AS mixed FROM s),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY mixed DESC, tier, source_priority, rank, work_id) AS k FROM m) WHERE k = 1),
+e AS (SELECT *, round(title, 3) >= 0.85 OR mixed * 100 >= 85 AS high, abs(year - cy) > 2 OR coalesce(trim(lower(doi), '/') <> lower(cdoi), false) OR overlap < 0.3 AS bad FROM best),
+f AS (SELECT ref_id, CASE WHEN high AND bad THEN 'BAD' WHEN high THEN 'PASS' WHEN mixed * 100 >= 70 THEN 'WARN' ELSE 'FAIL' END AS found FROM e),
+v AS (SELECT CASE WHEN coalesce(found, 'FAIL') = 'FAIL' THEN 'NOT_FOUND' WHEN found = 'BAD' THEN 'METADATA_MISMATCH' WHEN len(coalesce(refs.urls, [])) > 0 AND k.status = 'FAIL' THEN 'DEAD_URL' WHEN g.status = 'FAIL' THEN 'CONTENT_DRIFT' ELSE 'VERIFIED' END AS verdict
+  FROM refs LEFT JOIN f USING (ref_id) LEFT JOIN ({URL_AUDIT}) k USING (ref_id) LEFT JOIN ({RELEVANCE}) g USING (ref_id))
+SELECT verdict, count(*) AS "references" FROM v GROUP BY 1
+"""
+
+
 def j8_words(spark: SparkSession, sf: str) -> DataFrame:
     """Routing by words of venues: biomedical, computing, both, books and none."""
     venue = F.expr("element_at(array('The Lancet', 'Proc. ICML', 'Brain and KDD', 'Springer', 'Letters'), cast(pos % 5 + 1 AS int))")
@@ -655,6 +683,7 @@ ORACLES = {
     "j6_domain_lookup": DOMAIN_HITS,
     "w1_best_hits": BEST_HITS,
     "j6_domain_titles": DOMAIN_TITLES,
+    "verdict_counts": COUNTS,
     "j5_reopened_index": TITLE_SEARCH,
     "m4_m5_c1_bands": BANDS,
     "c9_relevance_verdicts": RELEVANCE_VERDICTS,

@@ -127,3 +127,11 @@ def test_verdict_precedence(spark):
     got = C.with_verdict(spark.createDataFrame(rows, schema).coalesce(1)).collect()
     assert [r.verdict for r in got] == ["UNRESOLVABLE", "UNRESOLVABLE", "NOT_FOUND", "METADATA_MISMATCH", "DEAD_URL", "CONTENT_DRIFT", "VERIFIED"]
     assert len(got[3].notes) == 2 and got[5].notes == ["Content relevance check: UNRELATED. r"] and len(got[6].notes) == 2
+
+
+def test_mismatching_identifiers(spark):
+    rows = [("10.1/a", "10.1/A/"), ("/10.1/a/", "10.1/a"), ("10.1/a", "10.1/b"), (None, "10.1/b"), ("10.1/a", "")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    side = lambda c: F.struct(F.col(c).alias("doi"), F.lit(2001).alias("year"), F.array(F.lit("X, Y")).alias("authors")).alias(c + "s")
+    got = [r.m for r in df.select(side("a"), side("b")).select(S.mismatches("as", "bs").alias("m")).collect()]
+    assert got == [[], [], ["doi: cited=10.1/a, found=10.1/b"], [], []]
