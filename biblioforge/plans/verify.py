@@ -125,16 +125,17 @@ def verify_incremental(
     existence = keep(hit.select("ref_id", "r.existence", "r.best").unionByName(shared))
     entries = [follow.where("ref_id = lead AND _key IS NOT NULL").join(new, "ref_id").select(*_entry("existence", "existence", F.to_json(F.struct(F.struct("existence", "best").alias("r"))), now))]
 
-    urls, links = None, 0
+    urls, links, temporary = None, 0, []
     if opts.check_url and fetch_log is not None:
         cited = refs.select(F.explode("urls").alias("url")).distinct()
         known, unknown = store.lookup(_filed(cited, "url_liveness", K.identity("url_liveness")).withColumnRenamed("_key", "key"), now)
         fetched = keep(C.url_status(fetch_log.join(unknown.select("url").distinct(), "url", "left_semi")))
         links = fetched.count()
+        temporary.append(fetched)
         urls = C.check_urls(refs, known.select("url", _result("evidence", URL_RESULT).alias("result")).unionByName(fetched.select("url", F.col("result").cast(URL_RESULT).alias("result"))))
         entries.append(_filed(fetched, "url_liveness", K.identity("url_liveness")).select(*_entry("url_liveness", "result", F.to_json(F.struct(F.col("result").alias("r"))), now)))
 
-    relevance, judged, temporary = None, 0, []
+    relevance, judged = None, 0
     if opts.check_relevance and pages is not None and answers is not None:
         asks = _filed(refs.where("title IS NOT NULL OR doi IS NOT NULL"), "relevance", K.identity("relevance"))
         known, unknown = store.lookup(asks.select("ref_id", "doc_id", "pos", "_id", F.col("_key").alias("key")), now)
@@ -150,7 +151,7 @@ def verify_incremental(
         after = unknown.join(newest.select(F.col("_key").alias("key"), place("doc_id", "pos", "ref_id").alias("_first"), F.col("relevance").alias("_shared")), "key").where(place("doc_id", "pos", "ref_id") > F.col("_first"))
         both = found.join(after.select("ref_id", "_shared"), "ref_id", "full").select("ref_id", F.coalesce("_shared", "relevance").alias("relevance"))
         relevance = keep(known.unionByName(both))
-        temporary = [known, inputs, found, newest, relevance]
+        temporary += [known, inputs, found, newest, relevance]
         entries.append(newest.select(*_entry("relevance", "relevance", F.to_json(F.struct(F.col("relevance").alias("r"))), now)))
 
     reports = _reports(refs, existence, urls, relevance)
