@@ -141,3 +141,21 @@ assert (after - before) >> 10 < 40
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.remove_repeats(df).count() == 0
+
+
+def test_planted_passages_of_the_contract_length(spark, tmp_path):
+    """The query itself: passages of 400 bytes or more go from every holder, shorter ones stay
+    however many words they have, so only the bytes decide and never the words."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    prose = lambda k: " ".join(word() for _ in range(k))
+    at_bytes = lambda k: prose(k)[:k]
+    passages = [at_bytes(k) for k in (300, 394, 398, 399, 400, 401, 650)]
+    assert all(len(p.split()) > 45 for p in passages)
+    data = [prose(150) for _ in range(40)]
+    for i, p in enumerate(passages):  # each in three texts, between marks that differ
+        data += [f"{prose(60)}{3 * i + k:03d}<{p}>{3 * i + k:03d}{prose(60)}".replace("<", "ABC"[k]).replace(">", "ABC"[k]) for k in range(3)]
+    spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.op6_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(data))] == brute(data, 400)
+    assert [got[i][1] for i in range(len(data))] == [0] * 40 + [n for p in passages for n in [len(p) if len(p) >= 400 else 0] * 3]
