@@ -43,7 +43,7 @@ def large(tmp_path_factory):
     return con, folder
 
 
-@pytest.mark.parametrize("name", ["a1_summary_by_document", "c12_enriched", "c13_incremental_reports", "c13_incremental_work", "c9_exact_verdicts", "c9_relevance_verdicts"])
+@pytest.mark.parametrize("name", ["a1_summary_by_document", "c12_enriched", "c13_incremental_reports", "c13_incremental_work", "c9_exact_verdicts", "c9_relevance_verdicts", "s19_markdown"])
 def test_like_sql(spark, large, name):
     got, want = rows_of(spark, *large, name)
     assert got == want and len(want) > 2
