@@ -76,6 +76,18 @@ def test_lists_and_styles(spark):
     assert [r.title for r in rows] == ["A study of things", "Another study here"] and rows[0].authors == ["Smith, J"]
 
 
+def test_years_in_titles(spark):
+    """A title may hold numbers like years; the year is the first one beside it, or in it where there is no other."""
+    lists = [
+        '[1] A. Smith, "The +1 (235) 555-2058 calls again," in Proc. Things, 1998.\n\n[2] B. Jones, "Another quite long title," in Conf., 2001.\n\n[3] C. Green, "Looking back at 1984," unpublished.',
+        "Smith A, Jones B. 94 182 555 1902 Oring x. Journal. 2007;12(3):45-67.\n\nSmith A, Jones B. Things of now. Journal. 2008;12(3):45-67.",
+        "Smith, A., Jones, B.: The 555 1902 calls. Journal of Things (1996).\n\nSmith, A., Jones, B.: Things of now. Journal of Things (1997).",
+        "Smith, A. (2019). A study of 2058 things. Journal.\n\nDoe, A. (2020). Another study here. Journal.",
+    ]
+    rows = P.parse_lists(spark.createDataFrame([(str(i), t) for i, t in enumerate(lists)], "doc_id string, text string")).orderBy("doc_id", "pos").collect()
+    assert [r.year for r in rows] == [1998, 2001, 1984, 2007, 2008, 1996, 1997, 2019, 2020]
+
+
 def test_section():
     doc = "Title\n\nSome text about references here.\n" * 5 + "\nReferences\n[1] A.\n[2] B.\n[3] C.\n[4] D.\n[5] E.\n[6] F.\nAppendix\nmore"
     assert P.locate_section(doc).endswith("[6] F.") and P.locate_section(doc).startswith("[1] A.")
