@@ -2,9 +2,12 @@
 
 import os
 import shutil
+import time
 
 import pytest
 
+from biblioforge import storage
+from biblioforge.operators import title_index
 from biblioforge.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -58,3 +61,42 @@ def test_versions_with_title_search(spark, large):
     """With title search another version of an arXiv id does not pass by itself."""
     got, want = rows_of(spark, *large, "verdict_counts")
     assert got == want
+
+
+@pytest.mark.parametrize("most", [1 << 20, 40])
+def test_title_search_in_slices(spark, monkeypatch, most):
+    """Many slices of reference classes give the hits of one."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM read_parquet('{DATA}/{f}')")
+    monkeypatch.setattr(title_index, "PER_SLICE", most)
+    got, want = rows_of(spark, con, DATA, "j5_title_search")
+    assert got == want and len(want) > 300
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = {f.getName() for f in [disk.getAllFiles().apply(i) for i in range(disk.getAllFiles().size())]}
+    kept = storage.keep(spark.range(1000).repartition(3, "id"))
+    for _ in range(50):
+        files = disk.getAllFiles()
+        left = {files.apply(i).getName() for i in range(files.size())} - before
+        if not any(n.startswith("shuffle_") for n in left):
+            break
+        time.sleep(0.2)
+    assert not any(n.startswith("shuffle_") for n in left) and kept.count() == 1000
+    assert spark.conf.get(storage.CLEANUP) == "false"
+    storage.discard(kept)
+
+
+def test_keys_hold_no_tokens(spark):
+    """A class has many keys: they do not carry its tokens along."""
+    works = spark.createDataFrame([(f"w{i}", "Crossref", f"one two three number{i % 7}", 2000, ["A, B."]) for i in range(40)], "work_id string, source string, title string, year int, authors array<string>")
+    kept, real = [], title_index.keep
+    title_index.keep = lambda df: kept.append(df.columns) or real(df)
+    try:
+        title_index.build_index(works, frequent=2).drop(spark)
+    finally:
+        title_index.keep = real
+    assert any("key" in c for c in kept) and not any("key" in c and "known" in c for c in kept)
